@@ -26,7 +26,7 @@ from . import common
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Most segments a worker remembers, and the longest that it does.
-TABLE_ENTRIES, TABLE_CHARS = 400_000, 48
+TABLE_ENTRIES, TABLE_CHARS = 700_000, 48
 
 
 class PieceModel:
@@ -143,21 +143,22 @@ def sentencepiece_encode(docs: DataFrame, path: str, with_ids: bool = True) -> D
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 texts = [m.segments(t) if t else [] for t in part["text"]]
-                table = m.table
-                fresh = m.learn(set().union(*texts).difference(table))
+                table, segments = m.table, set().union(*texts)
+                fresh = segments.difference(table)
                 if len(table) + len(fresh) > TABLE_ENTRIES:
                     table.clear()
-                    fresh |= m.learn(set().union(*texts).difference(fresh))
-                for s, e in fresh.items():
-                    if len(s) <= TABLE_CHARS:
-                        table[s] = e
+                    fresh = segments
+                table.update(m.learn(fresh))
                 rows = []
                 for segs in texts:
-                    found = [table[s] if s in table else fresh[s] for s in segs]
+                    found = [table[s] for s in segs]
                     ids = ",".join([e[0] for e in found])
                     text = "".join([e[2] for e in found])
                     text = text[1:] if text.startswith(" ") else text
                     rows.append((ids, sum([e[1] for e in found]), text, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
+                for s in fresh:
+                    if len(s) > TABLE_CHARS:
+                        del table[s]
                 out = pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256"])
                 out.insert(0, "doc_id", part["doc_id"].values)
                 yield out if with_ids else out.drop(columns=["ids", "decoded"])
