@@ -18,9 +18,12 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,38 +32,84 @@ from . import common
 
 CAPACITY, GRAIN, END_ID = 2048, 32, 1
 #: Most words whose ids a worker remembers, and the longest such word.
-TABLE_ENTRIES, TABLE_CHARS = 600_000, 40
+TABLE_ENTRIES, TABLE_CHARS = 1_600_000, 40
+#: Documents encoded at once.
+CHUNK = 2048
 #: Simplex steps before the best basis so far is taken (rounding makes any basis valid).
 MAX_STEPS = 1500
 
 
 class WordIds:
-    """Ids of a text as packed bytes, word by word. The tokenizer drops white space and its merges
-    stay within words, so words between spaces and newlines encode independently."""
+    """Ids of texts, word by word. The tokenizer lower-cases, drops white space and
+    its merges stay within words, so words between spaces and newlines encode independently, and
+    so does a full stop or comma that ends a word behind a letter."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib, self.table = Tokenizer.from_file(path), {}
+        # for lower-case ASCII letters between spaces: the same model without steps that change nothing there
+        self.letters = Tokenizer(self.lib.model)
+        self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.lib.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.marks = {c: struct.pack("<I", vocab[c + "</w>"]) for c in ".,"}
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        todo = list(words)
-        found = self.lib.encode_batch(todo, add_special_tokens=False)
-        return {w: struct.pack(f"<{len(e.ids)}I", *e.ids) for w, e in zip(todo, found, strict=True)}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        fresh = self._learn(words.difference(self.table))
-        if len(self.table) + len(fresh) > TABLE_ENTRIES:
-            self.table.clear()
-            fresh |= self._learn(words.difference(fresh))
-        known = fresh | {w: self.table[w] for w in words if w in self.table}
-        self.table.update((w, b) for w, b in fresh.items() if len(w) <= TABLE_CHARS)
-        return [b"".join([known[w] for w in ws]) for ws in split]
+        """Words of letters alone are one pre-token each: they go to the library in one text, whose
+        ids split behind the pieces that end words."""
+        table, stems, plain, other, rest, out = self.table, {}, [], [], [], {}
+        for w in words:
+            stem = w[:-1] if w[-1:] in (".", ",") and "a" <= w[-2:-1] <= "z" else w
+            if stem is not w:
+                stems[w] = stem
+                if stem in table or stem in words:
+                    continue
+            (rest if not stem.isalpha() else plain if stem.isascii() and stem.islower() else other).append(stem)
+        for lib, some in [(lib, ws[lo : lo + 2048]) for lib, ws in ((self.letters, plain), (self.lib, other)) for lo in range(0, len(ws), 2048)]:
+            ids = np.array(lib.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            if len(cuts) != len(some) or cuts[-1] != len(ids):  # lower case of a letter isn't always one
+                rest += some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for w, end in zip(some, (4 * cuts).tolist(), strict=True):
+                out[w] = raw[begin:end]
+                begin = end
+        found = self.lib.encode_batch_fast(rest, add_special_tokens=False)
+        out.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(rest, found, strict=True))
+        for w, stem in stems.items():
+            out[w] = (out[stem] if stem in out else table[stem]) + self.marks[w[-1]]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and where each text's ids begin (and the last end). Splitting, looking
+        for distinct words and laying out ids is done on whole Arrow arrays."""
+        raw = pc.fill_null(texts, "")
+        low, special = pc.ascii_lower(raw), pc.match_substring(raw, "<|")
+        if pc.any(special).as_py():  # special tokens are matched before lower-casing
+            low = pc.if_else(special, raw, low)
+        split = pc.split_pattern(pc.replace_substring(low, pattern="\n", replacement=" "), pattern=" ")
+        coded = split.flatten().dictionary_encode()
+        words, at, table = coded.dictionary.to_pylist(), coded.indices.to_numpy(), self.table
+        fresh = set(filterfalse(table.__contains__, words))
+        if len(table) + 2 * len(fresh) > TABLE_ENTRIES:
+            table.clear()
+            fresh = set(words)
+        new = self._learn(fresh)
+        table.update(new)
+        found = [table[w] for w in words]
+        for w in new:
+            if len(w) > TABLE_CHARS:
+                del table[w]
+        ids, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        ends = np.r_[0, np.cumsum(size)]
+        return ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -85,27 +134,29 @@ def cut(total: int, capacity: int, grain: int) -> list[tuple[int, int, int]]:
 def pieces(docs: DataFrame, path: str, capacity: int, grain: int, end_id: int, keep_ids: bool) -> DataFrame:
     tail = struct.pack("<I", end_id)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _ENCODERS.setdefault(path, None) or WordIds(path)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank", *["ids"] * keep_ids]
+    types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * keep_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _ENCODERS.get(path) or WordIds(path)
         _ENCODERS[path] = encoder
         ranks, here = {}, TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part, rows = batch.iloc[lo : lo + 256], []
-                for doc_id, raw in zip(part["doc_id"].tolist(), encoder.encode(part["text"].tolist()), strict=True):
-                    ids = memoryview(raw + tail)
-                    total = len(ids) // 4
-                    for start, length, k in cut(total, capacity, grain):
-                        rank = ranks.get(k, 0)
-                        ranks[k] = rank + 1
-                        own = ids[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(own), total, k, here, rank, bytes(own) if keep_ids else None))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "class", "part", "rank", "ids"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out if keep_ids else out.drop(columns="ids")
+            for lo in range(0, batch.num_rows, CHUNK):
+                part, rows = batch.slice(lo, CHUNK), []
+                ids, at = encoder.encode(part.column("text"))
+                for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                    raw = memoryview(ids[at[k] : at[k + 1]].tobytes() + tail)
+                    total = len(raw) // 4
+                    for start, length, kind in cut(total, capacity, grain):
+                        rank = ranks.get(kind, 0)
+                        ranks[kind] = rank + 1
+                        own = raw[4 * start : 4 * (start + length)]
+                        rows.append((doc_id, start, length, zlib.crc32(own), total, kind, here, rank, *[bytes(own)] * keep_ids))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long" + ", ids binary" * keep_ids
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
