@@ -1,13 +1,15 @@
-"""Every query of the library by name."""
+"""Every query of the library by name, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-FLAGSHIP = "balance_score"
+from . import bpe_queries, metric_queries, text_queries  # noqa: F401
+
+FLAGSHIP = "bpe_balance_score"
 
 
 def queries() -> dict:
-    return {}
+    return dict(text_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(text_queries.SQL)
