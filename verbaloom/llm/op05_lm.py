@@ -11,8 +11,8 @@ the share of all unseen words. Both factors are normalised, so the product is a
   replicas, weighted by tokens, are averaged (a fixed number of bytes a partition).
 * Scoring: with two context cells the score matrix splits as S1[w1, w] + S2[w2, w], so a single
   matrix product exp(S1) exp(S2)^T normalises every context at once; tokens are then lookups.
-* Words beyond the head leave the scoring pass as (row, word, times) and meet their counts in a
-  shuffle join on the word; the sums go back to their row.
+* Words beyond the head leave the scoring pass as (row, word) and meet their counts in a shuffle
+  join on the word; the sums go back to their row.
 
 Null text counts as empty (the end token alone). A null doc_id counts as training. Repeated rows
 are scored each (rows carry their own key). An empty training set gives base scores of
@@ -33,11 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words sent to the workers with their counts: at most this many, some 8 MB.
-HEAD = 1 << 18
+#: Words sent to the workers with their counts: at most this many, some 6 MB.
+HEAD = 200_000
 #: Output cells: the end token, OWN frequent words, the rest hashed.
 CELLS, OWN = 1024, 767
-DIM, NOISE, BATCH, RATE, SEED = 24, 96, 8192, 0.15, 11
+DIM, NOISE, BATCH, RATE, SEED = 16, 96, 2048, 0.05, 11
 #: Words counted before a task hands over what it has.
 FLUSH = 400_000
 #: The end token; white space can't be part of a word.
@@ -134,8 +134,9 @@ class Trainer:
         q = p.near[w1] + p.far[w2]
         s_true = (q * p.out[w]).sum(axis=1) + p.bias[w] - self.log_noise[w] - np.float32(np.log(k))
         s_fake = q @ p.out[fake].T + (p.bias[fake] - self.log_noise[fake] - np.float32(np.log(k)))
-        g_true = 1 / (1 + np.exp(np.clip(s_true, -30, 30)))
-        g_fake = -np.float32(k / NOISE) / (1 + np.exp(-np.clip(s_fake, -30, 30)))
+        with np.errstate(over="ignore"):  # exp to infinity gives the right 0
+            g_true = 1 / (1 + np.exp(s_true))
+            g_fake = -np.float32(k / NOISE) / (1 + np.exp(-s_fake))
         g_q = g_true[:, None] * p.out[w] + g_fake @ p.out[fake]
         g_out, g_bias = _scatter(w, g_true[:, None] * q, CELLS), np.bincount(w, g_true, CELLS).astype(np.float32)
         np.add.at(g_out, fake, g_fake.T @ q)
@@ -199,9 +200,16 @@ def lm_score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, he
     cell = F.lit(1 + OWN) + F.crc32("word") % (CELLS - 1 - OWN)
     sums = {r["cell"]: (r["n"], r["v"]) for r in counts.groupBy(cell.alias("cell")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     total, distinct = sum(n for n, _ in sums.values()), sum(v for _, v in sums.values())
-    top = counts.orderBy(F.desc("c"), "word").limit(head_words).collect()
-    head_c = {bytes(r["word"]): r["c"] for r in top}
-    ranks = {w: r for r, w in enumerate([w for w in head_c if w != END][:OWN])}
+    # the head: words from the least count on of which no more than head_words are left; each
+    # distinct count is one row here, and their number grows as the square root of the corpus at most
+    steps = counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).limit(head_words).collect()
+    running = np.cumsum([r["n"] for r in steps]) if steps else np.zeros(0)
+    fit = int(np.searchsorted(running, head_words, side="right"))
+    head_c = {}
+    if fit:
+        for r in counts.filter(F.col("c") >= steps[fit - 1]["c"]).toLocalIterator():
+            head_c[bytes(r["word"])] = r["c"]
+    ranks = {w: r for r, w in enumerate(sorted((w for w in head_c if w != END), key=lambda w: (-head_c[w], w))[:OWN])}
     if END in head_c:
         ranks[END] = 0
     # tokens and words of each cell; those with a cell of their own leave the hashed ones
@@ -238,25 +246,25 @@ def lm_score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, he
                 owner, ends = np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - 1
                 cells, logs, hit = np.zeros(len(at), np.int64), np.zeros(len(at)), at >= 0
                 cells[hit], logs[hit] = cell_of[at[hit]], log_c[at[hit]]
-                rare: list[Counter] = [Counter() for _ in texts]
+                rare: list[list[bytes]] = [[] for _ in texts]
                 for i in np.flatnonzero(~hit).tolist():
                     w = flat_words[i]
                     cells[i] = 0 if w == END else hashed_cell(w)
-                    rare[owner[i]][w] += 1
+                    rare[owner[i]].append(w)
                 w1, w2 = contexts(cells, ends)
                 lp = (s1[w1, cells] + s2[w2, cells] - z[w1, w2]).astype(float) / np.log(10) - log_cell[cells] + logs
                 add = lambda x: np.bincount(owner, x, len(texts))  # noqa: E731, B023
                 yield pd.DataFrame({
                     "row": row + np.arange(len(texts)), "doc_id": part["doc_id"].values, "held_out": part["held_out"].values, "n_tokens": sizes,
                     "known": add(hit).astype(np.int64), "base": add(logs - floor), "model": add(lp),
-                    "rare": [[{"word": w, "n": n} for w, n in c.items()] for c in rare],
+                    "rare": rare,
                 })
                 row += len(texts)
 
-    scored = docs.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word:binary,n:long>>")
+    scored = docs.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>")
     scored = common.materialize(scored, "lm-scored")
-    rare = scored.select("row", F.explode("rare").alias("w")).select("row", F.col("w.word").alias("rare_word"), F.col("w.n").alias("n"))
-    met = rare.join(counts, F.col("rare_word") == F.col("word")).groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + F.lit(1.0))).alias("log_c"))
+    rare = scored.select("row", F.explode("rare").alias("rare_word"))
+    met = rare.join(counts, F.col("rare_word") == F.col("word")).groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("log_c"))
     met = met.withColumnRenamed("row", "met_row")
     return scored.drop("rare").join(met, F.col("row") == F.col("met_row"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
