@@ -1,7 +1,8 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the sign bits of an embedding's first 64 numbers. Codes are cut into segments of about
-log2(n) bits, so that an index bucket holds a few codes at any n. At radius r every open query
+A code is the sign bits of an embedding's first 64 numbers. Codes are cut into four segments of 16
+bits, or fewer and wider ones of about log2(n) bits beyond 65,536 codes, so that an index bucket
+holds a few codes at any n. At radius r every open query
 probes, in each segment, the values at distance r from its own; what it meets is verified on the
 whole code. After radius r in all of m segments every code within m*(r+1)-1 bits has been met, so
 a query closes once its k-th verified distance is within that: the result is exact.
@@ -33,7 +34,7 @@ def code(embedding: str) -> Column:
 
 
 def segment_widths(n: int) -> list[int]:
-    m = math.ceil(BITS / min(16, max(8, math.ceil(math.log2(max(2, n))))))
+    m = max(2, BITS // max(16, math.ceil(math.log2(max(2, n)))))
     return [BITS // m + (i < BITS % m) for i in range(m)]
 
 
