@@ -43,6 +43,12 @@ def drop_materialized(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A materialized table with a broadcast hint if it has few rows (a count of footers); else the
+    table itself, which joins by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

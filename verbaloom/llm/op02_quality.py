@@ -104,7 +104,7 @@ def estimates(vectors: DataFrame, h: float = H, steps: int = STEPS, min_group: i
     every = sized.withColumn("g", F.explode(F.array("g", F.lit(""))))
     start = every.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(_x(i), 0.5, 1000).alias(f"m{i}") for i in DIMS])
     start = common.materialize(start.filter((F.col("n") >= min_group) | (F.col("g") == "")), "mcd-medians")
-    of = lambda params: every.join(params.withColumnRenamed("g", "pg"), F.col("g") == F.col("pg")).drop("pg")
+    of = lambda params: every.join(common.small(params).withColumnRenamed("g", "pg"), F.col("g") == F.col("pg")).drop("pg")
     mads = of(start).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in DIMS], *[F.percentile_approx(F.abs(_x(i) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in DIMS])
     for i in DIMS:
         for j in range(i + 1):
@@ -112,7 +112,8 @@ def estimates(vectors: DataFrame, h: float = H, steps: int = STEPS, min_group: i
     params = common.materialize(mads.drop(*[f"a{i}" for i in DIMS]), "mcd-start")
     for _ in range(steps):
         cut = common.materialize(_distance(of(params)).groupBy("g").agg(F.percentile_approx("d2", h, 1000).alias("q")), "mcd-cut")
-        inner = _distance(of(params.join(cut, "g"))).filter("d2 <= q")
+        both = common.materialize(params.join(cut, "g"), "mcd-cuts")
+        inner = _distance(of(both)).filter("d2 <= q")
         params = common.materialize(_factor(inner.groupBy("g").agg(*_moments())), "mcd-step")
     mid = _distance(of(params)).groupBy("g").agg((F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("c"))
     # never below 1: floored scales must not be shrunk again
@@ -132,7 +133,7 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, ...] = ())
     # groups without an estimate of their own use the one over all texts (key ""), a single row
     known = common.materialize(stats.select("g").distinct().join(params.select(F.col("g").alias("pg")), F.col("g") == F.col("pg"), "left").select(F.col("g").alias("key"), F.coalesce("pg", F.lit("")).alias("use")), "mcd-keys")
     table = common.materialize(known.join(own, F.col("use") == F.col("pg"), "left").drop("use", "pg"), "mcd-of-key")
-    scored = _distance(stats.join(table, F.col("g") == F.col("key"), "left")).withColumn("d2", F.col("d2") / F.col("c"))
+    scored = _distance(stats.join(common.small(table), F.col("g") == F.col("key"), "left")).withColumn("d2", F.col("d2") / F.col("c"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),

@@ -29,9 +29,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The bound of the fitted sample, by class, and of its terms.
-EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 3000, 768, 64, 15
-#: Least G-squared of a kept term against independence of the label (chance about 1e-7).
-MIN_G2 = 28.0
+EXAMPLES, MAX_TERMS, MIN_DOCS, BLOCK, NEIGHBOURS = 3000, 768, 4, 64, 15
 #: Words whose terms a worker remembers.
 TABLE_ENTRIES = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -141,9 +139,9 @@ def fit(rows: pd.DataFrame, shares: dict[int, int], max_terms: int = MAX_TERMS)
     scored = []
     for t in seen[0].keys() | seen[1].keys():
         a, b = seen[1][t], seen[0][t]
-        g2 = 2 * sum(x * np.log(x / ((a + b) * n / (n0 + n1))) for x, n in ((a, n1), (b, n0)) if x)
-        if g2 >= MIN_G2:
-            scored.append((-g2, t, a + b, np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))))
+        if a + b >= MIN_DOCS:
+            gap = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
+            scored.append((-abs(gap) * (a + b) ** 0.5, t, a + b, gap))
     # a quarter of the terms at most speak for label 0
     scored.sort()
     for_1 = [x for x in scored if x[3] > 1.0][: max_terms - max_terms // 4]
