@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The bound of the fitted sample, by class, and of its terms.
-EXAMPLES, MAX_TERMS, MIN_DOCS, BLOCK, NEIGHBOURS = 3000, 768, 4, 64, 15
+EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 3000, 768, 64, 15
+#: Least G-squared of a kept term against independence of the label: about one of 100,000 terms
+#: without a link passes, whatever share of the sample label 1 has.
+MIN_G2 = 20.0
 #: Words whose terms a worker remembers.
 TABLE_ENTRIES = 300_000
 _WORD = re.compile(r"[^\W_]+")
@@ -124,7 +127,7 @@ class Index:
             self.steps = (np.array([p[2] / p[0] for p in pools]), np.array([(p[1] + self.prior) / (p[0] + 1) for p in pools]))
 
 
-def fit(rows: pd.DataFrame, shares: dict[int, int], max_terms: int = MAX_TERMS) -> Index:
+def fit(rows: pd.DataFrame, shares: dict[int, int], max_terms: int = MAX_TERMS, min_g2: float = MIN_G2) -> Index:
     """rows: text and toxic of the sample; shares: training rows by label, for class weights."""
     rows = rows.reset_index(drop=True)
     labels = rows["toxic"].to_numpy(dtype=float)
@@ -139,12 +142,12 @@ def fit(rows: pd.DataFrame, shares: dict[int, int], max_terms: int = MAX_TERMS)
     scored = []
     for t in seen[0].keys() | seen[1].keys():
         a, b = seen[1][t], seen[0][t]
-        if a + b >= MIN_DOCS:
-            gap = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-            scored.append((-abs(gap) * (a + b) ** 0.5, t, a + b, gap))
+        g2 = 2 * sum(x * np.log(x / ((a + b) * n / (n0 + n1))) for x, n in ((a, n1), (b, n0)) if x)
+        if g2 >= min_g2:
+            scored.append((-g2, t, a + b, np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))))
     # a quarter of the terms at most speak for label 0
     scored.sort()
-    for_1 = [x for x in scored if x[3] > 1.0][: max_terms - max_terms // 4]
+    for_1 = [x for x in scored if x[3] > 2.5][: max_terms - max_terms // 4]
     for_0 = [x for x in scored if x[3] < -1.0][: max_terms // 4]
     kept = sorted(for_1 + for_0, key=lambda x: x[1])
     terms = [x[1] for x in kept]
@@ -167,7 +170,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, modulus: int, remainder: i
     return own
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, examples: int = EXAMPLES) -> Index:
+def fit_on(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2, examples: int = EXAMPLES, min_g2: float = MIN_G2) -> Index:
     own = training_rows(docs, labels, modulus, remainder)
     shares = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [own.filter(F.col("toxic") == y).orderBy(F.xxhash64("label_id"), "label_id").limit(examples) for y in (0, 1)]
@@ -175,7 +178,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int
     # `examples` ids a class at most: bounded
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
-    return fit(rows[["text", "toxic"]], {0: shares.get(0, 0), 1: shares.get(1, 0)})
+    return fit(rows[["text", "toxic"]], {0: shares.get(0, 0), 1: shares.get(1, 0)}, min_g2=min_g2)
 
 
 def toxicity(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
