@@ -118,13 +118,13 @@ class Index:
         vote = self.votes(cosines, who)[~zero]
         pools: list[list[float]] = []
         for v, y, w in sorted(zip(vote, labels[~zero], weights[~zero], strict=True)):
-            pools.append([w, w * y, w * v])
+            pools.append([w, w * y, v, v])
             while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
                 last = pools.pop()
-                pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+                pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
         if pools:
-            # half a faint example of either label keeps scores off 0 and 1
-            self.steps = (np.array([p[2] / p[0] for p in pools]), np.array([(p[1] + self.prior) / (p[0] + 1) for p in pools]))
+            # flat over the votes of a pool; a faint example keeps scores off 0 and 1
+            self.steps = (np.array([v for p in pools for v in p[2:]]), np.array([(p[1] + self.prior) / (p[0] + 1) for p in pools for _ in p[2:]]))
 
 
 def fit(rows: pd.DataFrame, shares: dict[int, int], max_terms: int = MAX_TERMS, min_g2: float = MIN_G2) -> Index:
@@ -177,7 +177,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int
     chosen = chosen[0].unionByName(chosen[1])
     # `examples` ids a class at most: bounded
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id")
+    rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id").drop_duplicates("text")
     return fit(rows[["text", "toxic"]], {0: shares.get(0, 0), 1: shares.get(1, 0)}, min_g2=min_g2)
 
 
