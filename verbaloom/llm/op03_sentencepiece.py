@@ -26,7 +26,7 @@ from . import common
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Most segments a worker remembers, and the longest that it does.
-TABLE_ENTRIES, TABLE_CHARS = 700_000, 48
+TABLE_ENTRIES, TABLE_CHARS = 1_200_000, 48
 
 
 class PieceModel:
@@ -44,8 +44,23 @@ class PieceModel:
         self.crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self.table: dict[str, tuple[str, int, str]] = {}
 
-    def encode_segment(self, segment: str) -> list[int]:
-        symbols: list[str | None] = list(segment)
+    def merged(self, symbols: list[str]) -> list[str]:
+        """Merge by an agenda that lists the score of each adjacent pair in place: the best is its
+        first maximum. For segments of usual length."""
+        get, none = self.score.get, float("-inf")
+        agenda = [get(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while agenda and (best := max(agenda)) > none:
+            i = agenda.index(best)
+            symbols[i] = new = symbols[i] + symbols.pop(i + 1)
+            agenda.pop(i)
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + new, none)
+            if i < len(agenda):
+                agenda[i] = get(new + symbols[i + 1], none)
+        return symbols
+
+    def merged_long(self, symbols: list[str | None]) -> list[str]:
+        """The same with the agenda as a heap, in n log n for segments of any length."""
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
         score, agenda = self.score, []
         for i in range(len(symbols) - 1):
@@ -54,7 +69,7 @@ class PieceModel:
         heapq.heapify(agenda)
         while agenda:
             _, i, j, pair = heapq.heappop(agenda)
-            if symbols[i] is None or symbols[j] is None or symbols[i] + symbols[j] != pair or after[i] != j:
+            if symbols[i] is None or symbols[j] is None or after[i] != j or symbols[i] + symbols[j] != pair:
                 continue
             symbols[i], symbols[j] = pair, None
             after[i] = k = after[j]
@@ -64,16 +79,24 @@ class PieceModel:
                     heapq.heappush(agenda, (-score[new], i, k, new))
             if (h := before[i]) >= 0 and (new := symbols[h] + pair) in score:
                 heapq.heappush(agenda, (-score[new], h, i, new))
-        out: list[int] = []
-        for s in symbols:
-            if s is not None:
-                out += [self.ids[s]] if s in self.ids else [self.byte_ids[b] for b in s.encode()]
+        return [s for s in symbols if s is not None]
+
+    def encode_segment(self, segment: str) -> list[int]:
+        ids, out = self.ids, []
+        for s in (self.merged if len(segment) <= TABLE_CHARS else self.merged_long)(list(segment)):
+            if s in ids:
+                out.append(ids[s])
+            else:
+                out += [self.byte_ids[b] for b in s.encode()]
         return out
 
     def decode_ids(self, ids: list[int], strip: bool = True) -> str:
         """Pieces joined, bytes reassembled (malformed ones become U+FFFD each), marks to spaces;
         one leading space, the encoder's own, is dropped."""
         parts, run = [], bytearray()
+        if self.byte_of.keys().isdisjoint(ids) and self.silent.isdisjoint(ids):
+            text = "".join([self.pieces[i] for i in ids]).replace(MARK, " ")
+            return text[1:] if strip and text.startswith(" ") else text
         for i in ids:
             if i in self.byte_of:
                 run.append(self.byte_of[i])
