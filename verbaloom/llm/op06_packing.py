@@ -32,7 +32,7 @@ from . import common
 
 CAPACITY, GRAIN, END_ID = 2048, 32, 1
 #: Most words whose ids a worker remembers, and the longest such word.
-TABLE_ENTRIES, TABLE_CHARS = 1_600_000, 40
+TABLE_ENTRIES, TABLE_CHARS = 1_400_000, 40
 #: Documents encoded at once.
 CHUNK = 2048
 #: Simplex steps before the best basis so far is taken (rounding makes any basis valid).

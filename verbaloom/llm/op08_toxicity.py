@@ -34,7 +34,7 @@ EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 3000, 768, 64, 15
 #: without a link passes, whatever share of the sample label 1 has.
 MIN_G2 = 20.0
 #: Words whose terms a worker remembers.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 150_000
 _WORD = re.compile(r"[^\W_]+")
 
 
