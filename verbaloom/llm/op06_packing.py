@@ -18,7 +18,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pandas as pd
@@ -31,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 CAPACITY, GRAIN, END_ID = 2048, 32, 1
-#: Most words whose ids a worker remembers, and the longest such word.
-TABLE_ENTRIES, TABLE_CHARS = 1_400_000, 40
+#: Words whose ids a worker remembers in each of two generations, and the longest such word.
+GENERATION, TABLE_CHARS = 500_000, 40
 #: Documents encoded at once.
 CHUNK = 2048
 #: Simplex steps before the best basis so far is taken (rounding makes any basis valid).
@@ -50,7 +49,7 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.lib, self.table = Tokenizer.from_file(path), {}
+        self.lib, self.memo = Tokenizer.from_file(path), common.Remembered(GENERATION)
         # for lower-case ASCII letters between spaces: the same model without steps that change nothing there
         self.letters = Tokenizer(self.lib.model)
         self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -62,7 +61,7 @@ class WordIds:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Words of letters alone are one pre-token each: they go to the library in one text, whose
         ids split behind the pieces that end words."""
-        table, stems, plain, other, rest, out = self.table, {}, [], [], [], {}
+        table, stems, plain, other, rest, out = self.memo.new, {}, [], [], [], {}
         for w in words:
             stem = w[:-1] if w[-1:] in (".", ",") and "a" <= w[-2:-1] <= "z" else w
             if stem is not w:
@@ -95,12 +94,8 @@ class WordIds:
             low = pc.if_else(special, raw, low)
         split = pc.split_pattern(pc.replace_substring(low, pattern="\n", replacement=" "), pattern=" ")
         coded = split.flatten().dictionary_encode()
-        words, at, table = coded.dictionary.to_pylist(), coded.indices.to_numpy(), self.table
-        fresh = set(filterfalse(table.__contains__, words))
-        if len(table) + 2 * len(fresh) > TABLE_ENTRIES:
-            table.clear()
-            fresh = set(words)
-        new = self._learn(fresh)
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new, table = self._learn(self.memo.missing(words)), self.memo.new
         table.update(new)
         found = [table[w] for w in words]
         for w in new:
