@@ -4,7 +4,7 @@ A kind is a pattern whose matches (leftmost, without overlap) pass a validator.
 the gaps that split() leaves between the matches. Patterns that could be retried inside a long run
 of their own characters start at a run's first character or where the last match ended (\\G), and
 don't give back what they took, so that time stays linear and no match of the plain pattern is lost
-or changed. IBANs pass mod-97. Context words within `reach` characters raise a span's score; kinds
+or changed. IBANs have their country's length and pass mod-97. Context words within `reach` characters raise a span's score; kinds
 that have no checksum (ssn) need them.
 
 Null text counts as empty: no spans, hash of the empty string. Rows are independent: repeated rows
@@ -63,6 +63,25 @@ def mod97(m: Column) -> Column:
     return F.length(plain).between(15, 34) & (F.aggregate(F.split(moved, "", -1), F.lit(0), step) == 1)
 
 
+#: IBAN lengths of the registry by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """A country's IBANs have its length, so that no word behind one is taken in; else any length."""
+
+    def groups(length: int) -> str:
+        whole, rest = divmod(length - 4, 4)
+        return f"(?:\\x20?[A-Z0-9]{{4}}){{{whole}}}" + (f"\\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    known = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}{groups(n)}" for n, c in IBAN_LENGTHS.items())
+    return rf"(?:{known})(?![A-Za-z0-9])|[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+
+
 class Kind(NamedTuple):
     name: str
     gate: str  # a plain pattern without which there is no match
@@ -80,7 +99,7 @@ KINDS = (
     Kind("ip", "[0-9]\\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)", valid_ip, "ip|host|server|address|login|addr", 0.7, 0.9),
     Kind("card", "[0-9][ -]?[0-9]", r"[0-9](?:[\x20-]?[0-9])++", valid_card, "card|karte|carte|tarjeta|visa|pay|credit", 0.7, 0.95),
     Kind("phone", "\\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]", valid_phone, "tel|phone|call|fon|fax|llama|appel", 0.7, 0.9),
-    Kind("iban", "[A-Z][A-Z][0-9][0-9]", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", mod97, "iban|account|konto|compte|cuenta|bank", 0.9, 1.0, True),
+    Kind("iban", "[A-Z][A-Z][0-9][0-9]", iban_pattern(), mod97, "iban|account|konto|compte|cuenta|bank", 0.9, 1.0, True),
     Kind("ssn", "-[0-9][0-9]-", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", None, "ssn|social security", 0.2, 0.9, True),
 )
 BASE, REACH = ("email", "ip", "card", "phone"), 40
