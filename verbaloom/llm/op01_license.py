@@ -1,7 +1,8 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 Every rule is (priority, label, keyword, regex). A text is searched by a rule only if the rule's
-keyword occurs in it; one Aho-Corasick pass finds which keywords do. Detections are intervals;
+keyword occurs in it; one Aho-Corasick pass finds which keywords do. Both read the text with line
+breaks, comment prefixes and runs of white space as one blank, since license texts are wrapped. Detections are intervals;
 they are visited by (priority, start, longest, rule order) and one that lies inside an interval
 already kept is suppressed.
 
@@ -13,6 +14,7 @@ repeat their result and an empty table gives an empty result. Extra columns are
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -138,8 +140,26 @@ def build_rules() -> list[tuple[int, str, str, re.Pattern]]:
     return rules
 
 
+#: White space other than a single blank, with the comment prefixes of the lines that it opens.
+RUN = re.compile(r"[^\S\n]*\n\s*(?:(?:#+|//+|\*+(?!/)|;+|--+|%+|>+|!+|(?:dnl|rem)\b)\s*)*|[^\S\n]{2,}|[^\S\n ]")
+
+
+def unwrapped(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with each run as one blank; where its pieces start, there and in the text."""
+    parts, at, places, there = [], 0, [0], [0]
+    size = 0
+    for m in RUN.finditer(text):
+        parts += [text[at : m.start()], " "]
+        size += m.start() - at + 1
+        at = m.end()
+        places.append(size)
+        there.append(at)
+    return "".join([*parts, text[at:]]) if parts else text, places, there
+
+
 class Scanner:
-    """detect() gives kept detections (start, end, label, priority) of a lower-cased text."""
+    """detect() gives kept detections (start, end, label, priority) of a lower-cased text. Rules read
+    the text unwrapped; spans are those of the text itself."""
 
     def __init__(self, rules=None):
         import ahocorasick
@@ -155,6 +175,7 @@ class Scanner:
         self.words.make_automaton()
 
     def detect(self, text: str) -> list[tuple[int, int, str, int]]:
+        text, places, there = unwrapped(text)
         if next(self.gate.iter(text), None) is None:
             return []
         active = sorted({k for _, ks in self.words.iter(text) for k in ks})
@@ -163,7 +184,8 @@ class Scanner:
         for priority, start, end, k in sorted(found):
             if not any(s <= start and -end <= e for s, e, _, _ in kept):
                 kept.append((start, -end, self.rules[k][1], priority))
-        return sorted(kept)
+        back = lambda at: there[k := bisect_right(places, at) - 1] + at - places[k]
+        return sorted((back(s), back(e - 1) + 1, label, priority) for s, e, label, priority in kept)
 
 
 _PHRASES = [(re.compile(_EDGE_L + SEP.join(map(re.escape, phrase.split())) + _EDGE_R), phrase.split()[-1], label) for phrase, label in BASE]
