@@ -26,8 +26,9 @@ from .common import let
 
 WORDS = r"[^\x20\x09-\x0D]+"
 H, STEPS, MIN_GROUP = 0.75, 3, 100
-#: Floors of the scales in the transformed units below, and the median of chi-squared with as many degrees.
-FLOORS, CHI2_MEDIAN = (0.08, 0.5, 0.5, 0.5), 3.357
+#: Floors of the scales in the transformed units below (a variance below the floor's square is raised
+#: to it), and the median of chi-squared with as many degrees.
+FLOORS, CHI2_MEDIAN = (0.08, 0.2, 0.5, 0.5), 3.357
 #: Squared distance beyond which a text is rejected: chi-squared(4) has about 1e-9 beyond it.
 CUTOFF = 48.0
 DIMS = range(4)
@@ -84,7 +85,8 @@ def _factor(groups: DataFrame) -> DataFrame:
     """Cholesky factor l of the floored covariance s, column by column."""
     for i in DIMS:
         for j in range(i + 1):
-            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"s{i}{j}") + (FLOORS[i] ** 2 if i == j else 0.0))  # noqa: B023
+            own = F.greatest(F.col(f"s{i}{i}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"s{i}{j}")
+            rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), own)  # noqa: B023
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
     return groups.drop(*[f"s{i}{j}" for i in DIMS for j in range(i + 1)])
 
