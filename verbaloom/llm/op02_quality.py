@@ -1,34 +1,44 @@
 """Quality rules: base counts and robust multivariate outliers, in DataFrame functions only.
 
 Each text's counts become a vector of transformed ratios. For each (lang, source) the minimum
-covariance determinant is approached by concentration steps from a median/MAD start: keep the
-`h` share of least Mahalanobis distance, re-estimate mean and covariance on it, repeat. Scales have
-a floor, so ratios that are zero almost everywhere don't make every other text an outlier. Groups
-of fewer than `min_group` texts use the estimate over all texts. A text is rejected if its squared
-distance exceeds `cutoff`.
-
-Only one pass reads texts; its counts go to the shared folder, and every further step aggregates
-that small table with partial aggregation, so a source with a third of all rows is one row a task
-in each shuffle. Null lang or source form groups of their own. Null text has no words; a text
-without words fails the base rule and has no vector. Repeated rows count and repeat. An empty table
-gives an empty result; extra columns are ignored unless named in `keep`.
+covariance determinant (MCD) is sought by concentration steps: keep the `h` share of least
+Mahalanobis distance, re-estimate mean and covariance on it, repeat until the determinant stays.
+Two starts (mean and covariance of all; medians and quartile ranges) are run, and the end of least
+determinant is taken. Scales have a floor, so ratios that are zero almost everywhere don't make
+every other text an outlier. Every group's estimate is pooled with `prior` pseudo-rows of the
+estimate over all texts, so small groups lean on it without a threshold. A text is rejected if its
+squared distance exceeds `cutoff`.
+
+Only one pass reads texts; its counts go to the shared folder. Vectors are then counted by cell (a
+lattice of 1/UNIT), and every step aggregates cells, not rows: a source with a third of all rows has
+no more cells than values. Distances are counted in logarithmic bins, so a step is one partial
+aggregation to at most BINS rows a group; the subset of a step ends with the bin that reaches `h`.
+Sums are whole numbers, so estimates don't depend on partitions or order.
+
+Null lang or source form groups of their own. Null text has no words; a text without words fails
+the base rule and has no vector. Repeated rows count and repeat. An empty table gives an empty
+result; extra columns are ignored unless named in `keep`.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .common import let
 
 WORDS = r"[^\x20\x09-\x0D]+"
-H, STEPS, MIN_GROUP = 0.75, 3, 100
+H, MAX_STEPS, PRIOR = 0.75, 20, 50
+#: Lattice points a unit; distance bins an e-fold of 1 + 4 * d2, and their number.
+UNIT, FINE, BINS = 64, 32, 1024
 #: Floors of the scales in the transformed units below (a variance below the floor's square is raised
 #: to it), and the median of chi-squared with as many degrees.
 FLOORS, CHI2_MEDIAN = (0.08, 0.2, 0.5, 0.5), 3.357
+#: Rows of cells a file, and groups whose estimates are broadcast (some 200 bytes each).
+CELLS_A_FILE, BROADCAST_GROUPS, SALTS = 500_000, 100_000, 32
 #: Squared distance beyond which a text is rejected: chi-squared(4) has about 1e-9 beyond it.
 CUTOFF = 48.0
 DIMS = range(4)
@@ -76,9 +86,31 @@ def _x(i: int) -> Column:
     return F.col(f"x{i}")
 
 
-def _moments() -> list[Column]:
-    means = [F.avg(_x(i)).alias(f"m{i}") for i in DIMS]
-    return means + [F.covar_pop(_x(i), _x(j)).alias(f"s{i}{j}") for i in DIMS for j in range(i + 1)]
+PAIRS = [(i, j) for i in DIMS for j in range(i + 1)]
+PARAMS = ["n", *[f"m{i}" for i in DIMS], *[f"s{i}{j}" for i, j in PAIRS], "det"]
+
+
+def _sums(weight: str) -> list[Column]:
+    """Whole-number sums of cells: n, first and second moments."""
+    q = [F.col(f"q{i}") for i in DIMS]
+    n = F.col(weight)
+    return [F.sum(n).alias("n"), *[F.sum(n * q[i]).alias(f"a{i}") for i in DIMS], *[F.sum(n * q[i] * q[j]).alias(f"b{i}{j}") for i, j in PAIRS]]
+
+
+def _added() -> list[Column]:
+    return [F.sum(c).alias(c) for c in ("n", *[f"a{i}" for i in DIMS], *[f"b{i}{j}" for i, j in PAIRS])]
+
+
+def _estimate(sums: DataFrame, *keys: str) -> DataFrame:
+    """Mean m, covariance s and the determinant of its floored form."""
+    m = [F.col(f"a{i}") / F.col("n") / UNIT for i in DIMS]
+    s = [(F.col(f"b{i}{j}") / F.col("n") / UNIT**2 - m[i] * m[j]).alias(f"s{i}{j}") for i, j in PAIRS]
+    return _determined(sums.select(*keys, "n", *[x.alias(f"m{i}") for i, x in enumerate(m)], *s))
+
+
+def _determined(params: DataFrame) -> DataFrame:
+    kept = params.columns
+    return _factor(params).withColumn("det", reduce(lambda a, i: a * F.col(f"l{i}{i}") * F.col(f"l{i}{i}"), DIMS, F.lit(1.0))).select(*kept, "det")
 
 
 def _factor(groups: DataFrame) -> DataFrame:
@@ -88,7 +120,7 @@ def _factor(groups: DataFrame) -> DataFrame:
             own = F.greatest(F.col(f"s{i}{i}"), F.lit(FLOORS[i] ** 2)) if i == j else F.col(f"s{i}{j}")
             rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), own)  # noqa: B023
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups.drop(*[f"s{i}{j}" for i in DIMS for j in range(i + 1)])
+    return groups
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -99,27 +131,98 @@ def _distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in DIMS), F.lit(0.0))).drop(*[f"z{i}" for i in DIMS])
 
 
-def estimates(vectors: DataFrame, h: float = H, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """Per group key g: mean m, Cholesky factor l of the MCD covariance, consistency factor. The
-    key of the estimate over all texts is empty. vectors: g, x0.. (g never null or empty)."""
-    sized = vectors.filter(_x(0).isNotNull())
-    every = sized.withColumn("g", F.explode(F.array("g", F.lit(""))))
-    start = every.groupBy("g").agg(F.count("*").alias("n"), *[F.percentile_approx(_x(i), 0.5, 1000).alias(f"m{i}") for i in DIMS])
-    start = common.materialize(start.filter((F.col("n") >= min_group) | (F.col("g") == "")), "mcd-medians")
-    of = lambda params: every.join(common.small(params).withColumnRenamed("g", "pg"), F.col("g") == F.col("pg")).drop("pg")
-    mads = of(start).groupBy("g").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in DIMS], *[F.percentile_approx(F.abs(_x(i) - F.col(f"m{i}")), 0.5, 1000).alias(f"a{i}") for i in DIMS])
-    for i in DIMS:
-        for j in range(i + 1):
-            mads = mads.withColumn(f"l{i}{j}", F.greatest(1.4826 * F.col(f"a{i}"), F.lit(FLOORS[i])) if i == j else F.lit(0.0))
-    params = common.materialize(mads.drop(*[f"a{i}" for i in DIMS]), "mcd-start")
-    for _ in range(steps):
-        cut = common.materialize(_distance(of(params)).groupBy("g").agg(F.percentile_approx("d2", h, 1000).alias("q")), "mcd-cut")
-        both = common.materialize(params.join(cut, "g"), "mcd-cuts")
-        inner = _distance(of(both)).filter("d2 <= q")
-        params = common.materialize(_factor(inner.groupBy("g").agg(*_moments())), "mcd-step")
-    mid = _distance(of(params)).groupBy("g").agg((F.percentile_approx("d2", 0.5, 1000) / CHI2_MEDIAN).alias("c"))
+def _files(df: DataFrame, rows: int) -> DataFrame:
+    return df.coalesce(max(1, -(-rows // CELLS_A_FILE)))
+
+
+def cells(vectors: DataFrame) -> DataFrame:
+    """g, q0.. (lattice points) and n rows; the key of all texts together is empty."""
+    rows = vectors.count()  # of footers
+    q = [F.round(_x(i) * UNIT).cast("long").alias(f"q{i}") for i in DIMS]
+    names = [f"q{i}" for i in DIMS]
+    own = vectors.filter(_x(0).isNotNull()).select("g", *q).groupBy("g", *names).agg(F.count("*").alias("n"))
+    own = common.materialize(_files(own, rows), "quality-cells")
+    every = own.groupBy(*names).agg(F.sum("n").alias("n")).select(F.lit("").alias("g"), *names, "n")
+    return own.unionByName(common.materialize(_files(every, own.count()), "quality-cells"))
+
+
+def starts(table: DataFrame) -> DataFrame:
+    """Two starts a group: 0 from the moments of all its rows, 1 from medians and quartile ranges."""
+    moments = _estimate(table.groupBy("g").agg(*_sums("n")), "g")
+    values = table.select("g", "n", F.posexplode(F.array(*[F.col(f"q{i}") for i in DIMS])).alias("d", "q")).groupBy("g", "d", "q").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("g", "d").orderBy("q")
+    ranked = values.withColumns({"upto": F.sum("n").over(order), "all": F.sum("n").over(Window.partitionBy("g", "d"))})
+    at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("all"), F.col("q"))) / UNIT
+    spread = ranked.groupBy("g", "d").agg(at(0.5).alias("m"), ((at(0.75) - at(0.25)) / 1.349).alias("s"), F.max("all").alias("n"))
+    one = lambda c, i: F.max(F.when(F.col("d") == i, F.col(c)))
+    medians = spread.groupBy("g").agg(F.max("n").alias("n"), *[one("m", i).alias(f"m{i}") for i in DIMS], *[F.pow(one("s", i), 2).alias(f"s{i}{i}") for i in DIMS])
+    medians = medians.withColumns({f"s{i}{j}": F.lit(0.0) for i, j in PAIRS if i != j})
+    robust = _determined(medians.select("g", *PARAMS[:-1]))
+    return moments.withColumn("start", F.lit(0)).unionByName(robust.withColumn("start", F.lit(1)))
+
+
+def _with(rows: DataFrame, params: DataFrame, broadcast: bool) -> DataFrame:
+    """Rows beside their group's parameters (null without); beyond a broadcast, groups are dealt over
+    salts."""
+    own = params.withColumnRenamed("g", "pg")
+    if broadcast:
+        return rows.join(F.broadcast(own), F.col("g") == F.col("pg"), "left").drop("pg")
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("own_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(own, (F.col("g") == F.col("pg")) & (F.col("own_salt") == F.col("salt")), "left").drop("pg", "salt", "own_salt")
+
+
+def _binned(table: DataFrame, params: DataFrame, broadcast: bool) -> DataFrame:
+    """Cells beside their parameters with the bin of their distance."""
+    points = table.withColumnRenamed("n", "w").withColumns({f"x{i}": F.col(f"q{i}") / UNIT for i in DIMS})
+    found = _distance(_with(points, _factor(params), broadcast))
+    return found.withColumn("bin", F.least(F.floor(F.log1p(4 * F.col("d2")) * FINE), F.lit(BINS - 1)).cast("int"))
+
+
+def step(table: DataFrame, params: DataFrame, h: float, broadcast: bool) -> DataFrame:
+    """A concentration step for every (g, start); `moved` tells whether the determinant fell."""
+    known = params.select("g", "start", *PARAMS[1:])
+    sums = _binned(table, known, broadcast).groupBy("g", "start", "bin").agg(*_sums("w"), F.first("det").alias("old"))
+    key = Window.partitionBy("g", "start")
+    inside = sums.withColumns({"upto": F.sum("n").over(key.orderBy("bin")), "all": F.sum("n").over(key)}).filter(F.col("upto") - F.col("n") < h * F.col("all"))
+    added = inside.groupBy("g", "start").agg(*_added(), F.first("old").alias("old"))
+    return _estimate(added, "g", "start", "old").withColumn("moved", F.col("det") < F.col("old") * (1 - 1e-6)).drop("old")
+
+
+def pooled(best: DataFrame, sizes: DataFrame, prior: int) -> DataFrame:
+    """Each group's estimate pooled with `prior` pseudo-rows of the estimate over all texts."""
+    every = best.filter("g = ''").select(*[F.col(c).alias(f"e_{c}") for c in PARAMS if c not in ("n", "det")])
+    both = best.join(sizes.withColumnRenamed("g", "sg"), F.col("g") == F.col("sg")).crossJoin(F.broadcast(every))  # every: one row
+    w = F.col("size") / (F.col("size") + prior)
+    gap = [F.col(f"m{i}") - F.col(f"e_m{i}") for i in DIMS]
+    m = [(F.col(f"e_m{i}") + w * gap[i]).alias(f"m{i}") for i in DIMS]
+    s = [(w * F.col(f"s{i}{j}") + (1 - w) * F.col(f"e_s{i}{j}") + w * (1 - w) * gap[i] * gap[j]).alias(f"s{i}{j}") for i, j in PAIRS]
+    return both.select("g", *m, *s)
+
+
+def estimates(vectors: DataFrame, h: float = H, max_steps: int = MAX_STEPS, prior: int = PRIOR) -> tuple[DataFrame, bool]:
+    """Per group key g: mean m, Cholesky factor l of the pooled MCD covariance, consistency factor
+    c; and whether there are few enough groups to broadcast. vectors: g, x0.. (g never null or empty);
+    without any vector there is no row."""
+    table = cells(vectors)
+    params = common.materialize(starts(table).coalesce(1), "mcd-start")
+    groups = params.count() // 2
+    few = groups <= BROADCAST_GROUPS
+    sizes = params.filter("start = 0").select("g", F.col("n").alias("size"))
+    done = max_steps if groups else 0
+    while done:
+        params = common.materialize(_files(step(table, params, h, few), 2 * groups), "mcd-step")
+        done = done - 1 if not params.filter("moved").isEmpty() else 0
+    best = params.groupBy("g").agg(F.min_by(F.struct(*PARAMS), F.struct("det", "start")).alias("b")).select("g", "b.*")
+    final = common.materialize(_files(pooled(best, sizes, prior), groups), "mcd-pooled")
+    bins = _binned(table, final, few).groupBy("g", "bin").agg(F.sum("w").alias("n"))
+    key = Window.partitionBy("g")
+    half = bins.withColumns({"upto": F.sum("n").over(key.orderBy("bin")), "all": F.sum("n").over(key)}).filter(2 * F.col("upto") >= F.col("all"))
+    mid = half.groupBy(F.col("g").alias("mg")).agg((F.expm1((F.min("bin") + 0.5) / FINE) / 4).alias("d2"))
     # never below 1: floored scales must not be shrunk again
-    return common.materialize(params.join(mid.withColumn("c", F.greatest("c", F.lit(1.0))), "g"), "mcd")
+    c = F.greatest(F.col("d2") / CHI2_MEDIAN, F.lit(1.0)).alias("c")
+    factors = _factor(final).join(mid, F.col("g") == F.col("mg")).select("g", *[f"m{i}" for i in DIMS], *[f"l{i}{j}" for i, j in PAIRS], c)
+    return common.materialize(_files(factors, groups), "mcd"), few
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -130,12 +233,8 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, keep: tuple[str, ...] = ())
     prepared = docs.select(F.col("doc_id").alias("id"), "text", key.alias("g"), *carried)
     stats = base_counts(prepared, "id", "g", *[f"keep_{c}" for c in keep])
     stats = common.materialize(stats.withColumns({f"x{i}": v for i, v in enumerate(vector())}), "quality-counts")
-    params = estimates(stats.select("g", *[f"x{i}" for i in DIMS]))
-    own = params.withColumnRenamed("g", "pg")
-    # groups without an estimate of their own use the one over all texts (key ""), a single row
-    known = common.materialize(stats.select("g").distinct().join(params.select(F.col("g").alias("pg")), F.col("g") == F.col("pg"), "left").select(F.col("g").alias("key"), F.coalesce("pg", F.lit("")).alias("use")), "mcd-keys")
-    table = common.materialize(known.join(own, F.col("use") == F.col("pg"), "left").drop("use", "pg"), "mcd-of-key")
-    scored = _distance(stats.join(common.small(table), F.col("g") == F.col("key"), "left")).withColumn("d2", F.col("d2") / F.col("c"))
+    params, few = estimates(stats.select("g", *[f"x{i}" for i in DIMS]))
+    scored = _distance(_with(stats, params, few)).withColumn("d2", F.col("d2") / F.col("c"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return scored.select(
         F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
