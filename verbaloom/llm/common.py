@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, else (tests) a local one."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process
+    (tests, bench) gets a local one; on a cluster that would lose rows, so it raises."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "verbaloom-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -51,6 +54,21 @@ def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_hot(rows: DataFrame, table: DataFrame, key: str, other: str, limit: int = 1_000_000, how: str = "inner") -> DataFrame:
+    """rows joined to a table that has each `other` once. Keys of more than `limit` rows (of which there are at most
+    rows / limit) are dealt over salts, and their one row of the table is copied to each. `how`: inner or left."""
+    hot = rows.groupBy(F.col(key).alias("hot_key")).agg(F.count("*").alias("hot_n")).filter(F.col("hot_n") > limit)
+    hot = materialize(hot.select("hot_key", F.ceil(F.col("hot_n") / limit).cast("long").alias("hot_salts")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(table, F.col(key) == F.col(other), how)
+    hot = small(hot)
+    own = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("hot_salts")), F.lit(0))
+    dealt = rows.join(hot, F.col(key) == F.col("hot_key"), "left").withColumn("own_salt", own).drop("hot_key", "hot_salts")
+    copied = table.join(hot, F.col(other) == F.col("hot_key"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("hot_salts", F.lit(1)) - 1)))
+    joined = dealt.join(copied.drop("hot_key", "hot_salts"), (F.col(key) == F.col(other)) & (F.col("own_salt") == F.col("salt")), how)
+    return joined.drop("own_salt", "salt")
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -40,10 +40,14 @@ def fingerprint(text: str | None, width: int) -> int:
     if not words:
         return 0
     h, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = [h(join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))]
+    return majority(np.array([h(join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))], dtype=np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     total, ones = len(hashes), np.zeros(BITS, np.int64)
     for lo in range(0, total, 1 << 16):
-        raw = np.array(hashes[lo : lo + (1 << 16)], dtype=">u8").view(np.uint8).reshape(-1, 8)
+        raw = hashes[lo : lo + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
 
