@@ -214,22 +214,73 @@ def _groups(nodes, links):
     return {id(g): g for g in group.values()}.values()
 
 
+def tfidf(texts, terms, n, df):
+    """Dense unit vectors by plain loops."""
+    out = np.zeros((len(texts), len(terms)))
+    for r, t in enumerate(texts):
+        seen = Counter(x for w in re.findall(r"[^\W_]+", (t or "").lower()) for x in op08_toxicity.word_terms(w))
+        out[r] = [(1 + math.log(seen[x])) * math.log((1 + n) / (1 + d)) if seen[x] else 0 for x, d in zip(terms, df, strict=True)]
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1)
+
+
 def test_toxicity(spark, docs, empty):
     labels = spark.createDataFrame([(i, 0, int("idiot" in (t or ""))) for i, t in pairs(docs) if i is not None] + [(1, 0, None)], "doc_id long, quality int, toxic int")
     index = op08_toxicity.fit_on(docs, labels, min_g2=3.0)
     rows = op08_toxicity.toxicity(docs, index).collect()
     assert len(rows) == docs.count() and all(0 <= r["tox_score"] <= 1 and r["score"] == "s" for r in rows)
-    q = index.vectors([t for _, t in pairs(docs)])
-    vectors = np.concatenate([b.T for b in index.blocks])
+    texts = [t for _, t in pairs(docs)]
+    n, df = op08_toxicity.frequencies(docs, index.terms)
+    has = [{x for w in re.findall(r"[^\W_]+", t.lower()) for x in op08_toxicity.word_terms(w)} for t in texts]
+    assert n == len(texts) and df.tolist() == [sum(x in h for h in has) for x in index.terms]
+    # the sample: training rows, the least text of an id, equal texts once
+    sample = {}
+    for i, t in pairs(docs):
+        if i is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            sample[i] = min(t, sample.get(i, t))
+    examples = tfidf(sorted(set(sample.values())), index.terms, n, df)
+    q = index.vectors(texts)
+    assert np.allclose(q, tfidf(texts, index.terms, n, df))
     cosines, who = index.nearest(q, 5)
-    exact = q @ vectors.T
-    assert np.allclose(cosines, -np.sort(-exact, axis=1)[:, :5], atol=1e-5)
-    assert np.allclose(np.take_along_axis(exact, who, 1), cosines, atol=1e-5)
+    exact = np.round(q @ examples.T, 6)
+    assert np.allclose(cosines, -np.sort(-exact, axis=1)[:, :5], atol=2e-6)
+    # ids by brute force over the index's own order, ties to the lower number
+    stored = np.zeros((len(index.labels), len(index.terms)))
+    for b, (term, weight, begin, example, _) in enumerate(index.blocks):
+        stored[b * op08_toxicity.BLOCK + np.repeat(example, np.diff(np.r_[begin, len(term)])), term] = weight
+    brute = np.stack([np.concatenate([np.round(index.cosines(q, b), 6) for b in range(len(index.blocks))], axis=1)])[0]
+    assert np.allclose(brute, q @ stored.T, atol=2e-6)
+    assert (who == np.argsort(-brute, axis=1, kind="stable")[:, :5]).all()
     assert op08_toxicity.toxicity(empty, index).count() == 0
     none = op08_toxicity.fit_on(docs, labels.limit(0))
     assert {r["tox_score"] for r in op08_toxicity.toxicity(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_without_significant_terms(spark, docs):
+    labels = spark.createDataFrame([(i, i % 4 // 3) for i in range(60)], "doc_id long, toxic int")
+    index = op08_toxicity.fit_on(docs, labels, min_g2=1e9)
+    assert {r["tox_score"] for r in op08_toxicity.toxicity(docs, index).collect()} == {index.prior} and 0 < index.prior < 1
+
+
+def test_toxicity_repeated_label_rows(spark):
+    docs = spark.createDataFrame([(i, "idiot a b" if i % 2 else "rock a b") for i in range(40)] + [(1, "zzz")] * 30, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    index = op08_toxicity.fit_on(docs, labels, min_g2=3.0)
+    assert len(index.labels) == 2  # of equal texts one, of a repeated id the least
+
+
+def test_block_max_is_exact():
+    """Random sparse vectors over many blocks, with ties."""
+    rng = np.random.default_rng(3)
+    v = np.where(rng.random((700, 40)) < 0.1, rng.integers(1, 4, (700, 40)), 0).astype(float)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    index = op08_toxicity.Index([f"t{i}" for i in range(40)], np.ones(40), v, rng.integers(0, 2, 700).astype(float), 0.5, np.ones(700))
+    q = v[rng.permutation(700)[:90]]
+    brute = np.concatenate([np.round(index.cosines(q, b), 6) for b in range(len(index.blocks))], axis=1)
+    cosines, who = index.nearest(q, 15)
+    assert (who == np.argsort(-brute, axis=1, kind="stable")[:, :15]).all() and len(index.blocks) == 11
+
+
 def test_toxicity_separates(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(WORDS[:4] + WORDS[-4:]) for _ in range(40)) + (" idiot moron" if i % 5 == 0 else "")) for i in range(400)]

@@ -1,17 +1,24 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and word beginnings of four to six characters (lower case). On a bounded sample
-of labelled training rows (`examples`, chosen by hash, a documented limit) the terms that tell the
-labels apart best are kept (`max_terms`). The index stores, for each block of examples, its
-postings and each term's largest weight: an upper bound on any cosine in the block. A query visits
+Terms are words and word beginnings of four to six characters (lower case). The vocabulary are the
+terms whose link with the label is significant on a bounded sample of labelled training rows
+(`examples` a class, chosen by hash, a documented limit), in either direction and without any cap on
+their number; over all terms, chance overlap of common syllables decides the neighbours (README).
+Weights are plain TF-IDF, (1 + log tf) * log((1 + documents) / (1 + df)) with frequencies counted
+over all documents, and know no label.
+
+The index holds postings (term, example, weight) by block of examples, and for each term and block
+its largest weight: a query's product with these bounds any cosine in the block. A query visits
 blocks in order of their bounds and stops when no bound reaches its k-th cosine, so its k nearest
-examples are exact (ties: lower example number). Votes weigh each neighbour by cosine; examples
-share a text's zero vector only with other zero vectors. Votes are calibrated on the sample, each
-example scored without itself, by pooled adjacent violators.
+examples are exact (cosines to six digits; ties: lower example number). Votes weigh each neighbour
+by cosine. Votes are calibrated on the sample, each example scored without itself, by pooled
+adjacent violators.
 
 Inputs of a score are the text alone. Null text counts as empty; empty texts and texts without any
-kept term get the calibrated share of such examples. Without usable labels every score is 0.
-A doc_id labelled repeatedly counts as toxic if any label says so; null labels are ignored.
+kept term get the calibrated share of such examples. Without usable labels every score is 0; with
+labels but without any significant term, it is the share of label 1.
+A doc_id labelled repeatedly counts as toxic if any label says so; of rows that share a labelled
+doc_id the least text is the example; null labels are ignored.
 Repeated rows repeat their result; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -28,13 +35,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The bound of the fitted sample, by class, and of its terms.
-EXAMPLES, MAX_TERMS, BLOCK, NEIGHBOURS = 3000, 768, 64, 15
+#: The bound of the fitted sample, by class.
+EXAMPLES, BLOCK, NEIGHBOURS = 3000, 64, 15
 #: Least G-squared of a kept term against independence of the label: about one of 100,000 terms
 #: without a link passes, whatever share of the sample label 1 has.
 MIN_G2 = 20.0
-#: Words whose terms a worker remembers.
-TABLE_ENTRIES = 150_000
+#: Words whose terms a worker remembers in each of two generations; texts scored at once.
+GENERATION, CHUNK = 100_000, 256
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -42,41 +49,60 @@ def word_terms(word: str) -> list[str]:
     return [word, *("^" + word[:n] for n in (4, 5, 6) if len(word) > n)]
 
 
-class Index:
-    """Postings by block, dense within a block (terms x BLOCK), and block maxima."""
+class Terms:
+    """A fixed vocabulary; counts() gives a text's term numbers and frequencies."""
+
+    def __init__(self, terms: list[str]):
+        self.terms, self.ids, self.memo = terms, {t: i for i, t in enumerate(terms)}, common.Remembered(GENERATION)
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        words, out = Counter(_WORD.findall((text or "").lower())), {}
+        known = self.memo.new
+        new = {w: tuple(self.ids[t] for t in word_terms(w) if t in self.ids) for w in self.memo.missing(words)}
+        if self.memo.new is not known:
+            known = self.memo.new
+        known.update(new)
+        for word, n in words.items():
+            for t in known[word]:
+                out[t] = out.get(t, 0) + n
+        for w in new:
+            if len(w) > 40:
+                del known[w]
+        return out
+
+
+class Index(Terms):
+    """Postings by block of examples in order of example, and block maxima by term."""
 
     def __init__(self, terms: list[str], idf: np.ndarray, vectors: np.ndarray, labels: np.ndarray, prior: float, weights: np.ndarray):
-        order = np.lexsort((np.arange(len(labels)), -vectors.argmax(axis=1), -labels)) if len(labels) else np.arange(0)
-        self.terms, self.idf, self.labels, self.weights, self.prior = terms, idf, labels[order], weights[order], prior
-        self.ids = {t: i for i, t in enumerate(terms)}
+        super().__init__(terms)
+        # like examples share blocks: by label, then by heaviest term
+        order = np.lexsort((np.arange(len(labels)), -vectors.argmax(axis=1), -labels)) if len(labels) and len(terms) else np.arange(len(labels))
+        self.idf, self.labels, self.weights, self.prior, self.zero = idf, labels[order], weights[order], prior, prior
         vectors = vectors[order]
-        self.blocks = [vectors[i : i + BLOCK].T.copy() for i in range(0, len(vectors), BLOCK)]
-        self.maxima = np.stack([b.max(axis=1) for b in self.blocks], axis=1) if self.blocks else np.zeros((len(terms), 0), np.float32)
-        self.steps = (np.zeros(1), np.zeros(1))
-        self.table: dict[str, tuple[int, ...]] = {}
+        self.blocks = []
+        for i in range(0, len(vectors), BLOCK):
+            example, term = np.nonzero(vectors[i : i + BLOCK])
+            begin = np.flatnonzero(np.r_[True, example[1:] != example[:-1]]) if len(example) else np.zeros(0, int)
+            self.blocks.append((term, vectors[i + example, term], begin, example[begin], min(BLOCK, len(vectors) - i)))
+        self.maxima = np.stack([vectors[i : i + BLOCK].max(axis=0) for i in range(0, len(vectors), BLOCK)], axis=1) if self.blocks else np.zeros((len(terms), 0))
+        self.steps = (np.zeros(1), np.full(1, prior))
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.terms)), np.float32)
-        for r, text in enumerate(texts):
-            counts = Counter(_WORD.findall((text or "").lower()))
-            for word, n in counts.items():
-                own = self.table.get(word)
-                if own is None:
-                    own = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
-                    if len(self.table) > TABLE_ENTRIES:
-                        self.table.clear()
-                    if len(word) <= 40:
-                        self.table[word] = own
-                for t in own:
-                    out[r, t] += n
-        out = np.where(out > 0, 1 + np.log(np.maximum(out, 1)), 0) * self.idf
-        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-        return (out / np.where(norm > 0, norm, 1)).astype(np.float32)
+        return weigh([self.counts(t) for t in texts], self.idf)
+
+    def cosines(self, queries: np.ndarray, block: int) -> np.ndarray:
+        """Of all queries with the block's examples, from its postings."""
+        term, weight, begin, example, size = self.blocks[block]
+        out = np.zeros((len(queries), size))
+        if len(term):
+            out[:, example] = np.add.reduceat(queries[:, term] * weight, begin, axis=1)
+        return out
 
     def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and example numbers of each query's k nearest, largest cosine first."""
         bounds = queries @ self.maxima
-        best, who = np.full((len(queries), k), -1.0, np.float32), np.full((len(queries), k), -1)
+        best, who = np.full((len(queries), k), -1.0), np.full((len(queries), k), -1)
         order = np.argsort(-bounds, axis=1, kind="stable")
         for turn in range(len(self.blocks)):
             block = order[:, turn]
@@ -85,10 +111,10 @@ class Index:
                 break
             for b in np.unique(block[live]):
                 rows = live[block[live] == b]
-                got = queries[rows] @ self.blocks[b]
+                got = np.round(self.cosines(queries[rows], b), 6)
                 value = np.concatenate([best[rows], got], axis=1)
                 name = np.concatenate([who[rows], np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + got.shape[1]), got.shape)], axis=1)
-                top = np.lexsort((name, -np.round(value, 6)), axis=1)[:, :k]
+                top = np.lexsort((name, -value), axis=1)[:, :k]
                 best[rows], who[rows] = np.take_along_axis(value, top, 1), np.take_along_axis(name, top, 1)
         return best, who
 
@@ -100,12 +126,12 @@ class Index:
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated scores, and as evidence the neighbours and their cosines."""
-        if not self.blocks:
-            return np.zeros(len(texts)), np.full((len(texts), 1), -1), np.zeros((len(texts), 1))
         q = self.vectors(texts)
-        cosines, who = self.nearest(q, NEIGHBOURS)
-        score = np.interp(self.votes(cosines, who), *self.steps)
-        score[~q.any(axis=1)] = self.zero
+        score, some = np.full(len(texts), self.zero), np.flatnonzero(q.any(axis=1)) if self.blocks else np.zeros(0, int)
+        who, cosines = np.full((len(texts), NEIGHBOURS), -1), np.zeros((len(texts), NEIGHBOURS))
+        if len(some):
+            cosines[some], who[some] = self.nearest(q[some], NEIGHBOURS)
+            score[some] = np.interp(self.votes(cosines[some], who[some]), *self.steps)
         return np.clip(score, 0, 1), who, cosines
 
     def calibrate(self, q: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
@@ -127,40 +153,67 @@ class Index:
             self.steps = (np.array([v for p in pools for v in p[2:]]), np.array([(p[1] + self.prior) / (p[0] + 1) for p in pools for _ in p[2:]]))
 
 
-def fit(rows: pd.DataFrame, shares: dict[int, int], max_terms: int = MAX_TERMS, min_g2: float = MIN_G2) -> Index:
+def weigh(counts: list[dict[int, int]], idf: np.ndarray) -> np.ndarray:
+    """Unit TF-IDF vectors; zero without terms of weight."""
+    out = np.zeros((len(counts), len(idf)))
+    for r, own in enumerate(counts):
+        if own:
+            t = np.fromiter(own, int, len(own))
+            out[r, t] = (1 + np.log(np.fromiter(own.values(), float, len(own)))) * idf[t]
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    return out / np.where(norm > 0, norm, 1)
+
+
+def g_squared(a: int, n1: int, b: int, n0: int) -> float:
+    """Of the table label by presence: a of n1 and b of n0 have the term."""
+    share = (a + b) / (n1 + n0)
+    return 2 * sum(x * np.log(x / (n * p)) for x, n, p in ((a, n1, share), (b, n0, share), (n1 - a, n1, 1 - share), (n0 - b, n0, 1 - share)) if x)
+
+
+def significant(rows: pd.DataFrame, min_g2: float = MIN_G2) -> list[str]:
+    """Terms of the sample whose link with the label is beyond chance, in order."""
+    seen, n = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
+    for text, y in zip(rows["text"], rows["toxic"], strict=True):
+        n[int(y)] += 1
+        seen[int(y)].update({t for w in set(_WORD.findall((text or "").lower())) for t in word_terms(w)})
+    return sorted(t for t in seen[0].keys() | seen[1].keys() if g_squared(seen[1][t], n[1], seen[0][t], n[0]) >= min_g2)
+
+
+def frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those with each term, over all documents."""
+    sent = docs.sparkSession.sparkContext.broadcast(terms)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, total = Terms(sent.value), np.zeros(len(sent.value) + 1, np.int64)
+        for batch in batches:
+            total[-1] += len(batch)
+            for text in batch["text"]:
+                if found := own.counts(text):
+                    total[list(found)] += 1
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"term": at, "n": total[at]})
+
+    found = docs.select("text").mapInPandas(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(terms) + 1, np.int64)
+    out[found["term"].to_numpy(int)] = found["n"].to_numpy(int)
+    return int(out[-1]), out[:-1]
+
+
+def fit(rows: pd.DataFrame, shares: dict[int, int], terms: list[str], documents: int, df: np.ndarray) -> Index:
     """rows: text and toxic of the sample; shares: training rows by label, for class weights."""
-    rows = rows.reset_index(drop=True)
     labels = rows["toxic"].to_numpy(dtype=float)
     sampled = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
     weights = np.array([shares[int(y)] / sampled[int(y)] for y in labels])
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.0
-    seen = {0: Counter(), 1: Counter()}
-    for text, y in zip(rows["text"], labels, strict=True):
-        seen[int(y)].update({t for w in set(_WORD.findall((text or "").lower())) for t in word_terms(w)})
-    n1, n0 = float(sampled[1]), float(sampled[0])
-    scored = []
-    for t in seen[0].keys() | seen[1].keys():
-        a, b = seen[1][t], seen[0][t]
-        g2 = 2 * sum(x * np.log(x / ((a + b) * n / (n0 + n1))) for x, n in ((a, n1), (b, n0)) if x)
-        if g2 >= min_g2:
-            scored.append((-g2, t, a + b, np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))))
-    # a quarter of the terms at most speak for label 0
-    scored.sort()
-    for_1 = [x for x in scored if x[3] > 2.5][: max_terms - max_terms // 4]
-    for_0 = [x for x in scored if x[3] < -1.0][: max_terms // 4]
-    kept = sorted(for_1 + for_0, key=lambda x: x[1])
-    terms = [x[1] for x in kept]
-    idf = np.array([np.log((1 + len(rows)) / (1 + x[2])) + 1 for x in kept]) * np.array([abs(x[3]) for x in kept]) if kept else np.zeros(0)
-    draft = Index(terms, idf, np.zeros((0, len(terms)), np.float32), np.zeros(0), prior, np.zeros(0))
-    if not len(rows) or not terms:
-        index = draft
-        index.zero = prior
-        return index
-    v = draft.vectors(rows["text"].tolist())
-    index = Index(terms, idf, v, labels, prior, weights)
-    q = np.concatenate([b.T for b in index.blocks])
-    index.calibrate(q, index.labels, index.weights)
+    idf = np.log((1 + documents) / (1 + df)) if len(terms) else np.zeros(0)
+    draft = Terms(terms)
+    index = Index(terms, idf, weigh([draft.counts(t) for t in rows["text"]], idf), labels, prior, weights)
+    if len(rows) and terms:
+        q = np.zeros((len(rows), len(terms)))
+        for b, (term, weight, begin, example, _) in enumerate(index.blocks):
+            q[b * BLOCK + np.repeat(example, np.diff(np.r_[begin, len(term)])), term] = weight
+        index.calibrate(q, index.labels, index.weights)
     return index
 
 
@@ -177,8 +230,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int
     chosen = chosen[0].unionByName(chosen[1])
     # `examples` ids a class at most: bounded
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    rows = rows.select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"]).drop_duplicates("doc_id").drop_duplicates("text")
-    return fit(rows[["text", "toxic"]], {0: shares.get(0, 0), 1: shares.get(1, 0)}, min_g2=min_g2)
+    rows = rows.groupBy("doc_id").agg(F.min(common.text_of()).alias("text"), F.max("toxic").alias("toxic"))
+    rows = rows.toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text")[["text", "toxic"]].reset_index(drop=True)
+    terms = significant(rows, min_g2)
+    documents, df = frequencies(docs, terms) if terms else (0, np.zeros(0))
+    return fit(rows, {0: shares.get(0, 0), 1: shares.get(1, 0)}, terms, documents, df)
 
 
 def toxicity(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
@@ -191,8 +247,8 @@ def toxicity(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.iloc[lo : lo + 256]
+            for lo in range(0, len(batch), CHUNK):
+                part = batch.iloc[lo : lo + CHUNK]
                 score, who, cosines = own.score(part["text"].tolist())
                 evidence = [[{"example": int(a), "cosine": float(c)} for a, c in zip(x[:3], y[:3], strict=True) if c > 1e-6] for x, y in zip(who, cosines, strict=True)]
                 yield part.assign(tox_score=score, tox_predicted=(score >= threshold).astype(int), tox_evidence=evidence)
