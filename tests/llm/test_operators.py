@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -107,20 +108,69 @@ def test_sentencepiece_agendas_agree():
     assert m.decode_ids([m.byte_ids[0xE6], m.byte_ids[0x97]]) == m.lib.decode([m.byte_ids[0xE6], m.byte_ids[0x97]])
 
 
+def topk_by_hand(rows, k=10, every=100):
+    code = {}
+    for i, v in rows:
+        if i is not None and v is not None:
+            bits = sum(1 << (63 - j) for j, x in enumerate(v[:64]) if x is not None and x > 0)
+            signed = bits - (1 << 64) if bits >> 63 else bits
+            code[i] = min(signed, code.get(i, signed))
+    near = {q: sorted((bin((code[q] ^ code[v]) & (1 << 64) - 1).count("1"), v) for v in code if v != q)[:k] for q in code if q % every == 0}
+    return sorted((q, r + 1, v, d) for q, found in near.items() for r, (d, v) in enumerate(found))
+
+
 def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.standard_normal(64)]) for i in range(230)]
-    rows += [(300 + i, rows[0][1]) for i in range(40)] + [(None, rows[1][1]), (400, None), (500, rows[0][1])]
+    rows += [(300 + i, rows[0][1]) for i in range(40)] + [(None, rows[1][1]), (400, None), (500, rows[0][1]), (600, rows[5][1][:20]), (700, [None, *rows[5][1][1:], 9.0]), (3, rows[4][1]), (800, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(map(tuple, op04_topk.hamming_topk(table).collect()))
-    code = {i: np.array(v) > 0 for i, v in rows if i is not None and v is not None}
-    want = [(q, k + 1, v, d) for q in code if q % 100 == 0 for k, (d, v) in enumerate(sorted((int((code[q] != code[v]).sum()), v) for v in code if v != q)[:10])]
-    assert got == sorted(want)
+    assert sorted(map(tuple, op04_topk.hamming_topk(table).collect())) == topk_by_hand(rows)
     assert op04_topk.hamming_topk(table.limit(0)).count() == 0
     few = spark.createDataFrame(rows[:4], table.schema)
     assert op04_topk.hamming_topk(few).count() == 3
 
 
+def test_topk_crowded_buckets_and_scan(spark, monkeypatch):
+    """Codes of low entropy share segments; a query far from all is found by the scan."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(64)
+    rows = [(i + 1, [float(x) for x in np.where(rng.random(64) < 0.06, -base, base)]) for i in range(400)] + [(1000, [float(-x) for x in base])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = topk_by_hand(rows)
+    for bucket, block in ((8, 1), (4096, 1024)):
+        monkeypatch.setattr(op04_topk, "BUCKET", bucket)
+        monkeypatch.setattr(op04_topk, "SCAN_BLOCK", block)
+        assert sorted(map(tuple, op04_topk.hamming_topk(table).collect())) == want
+
+
+def test_topk_masks(spark):
+    for widths, r in (([16] * 4, 3), ([22, 21, 21], 2)):
+        got = [(x["mask_seg"], x["mask"]) for x in op04_topk.masks(spark, widths, r).collect()]
+        assert len(got) == len(set(got)) == sum(math.comb(w, r) for w in widths)
+        assert all(m.bit_count() == r and m < 1 << widths[s] for s, m in got)
+    assert all(sum(op04_topk.segment_widths(n)) == 64 and min(op04_topk.segment_widths(n)) >= min(21, math.log2(n)) for n in (2, 99, 5_000, 70_000, 5_000_000, 10**10))
+
+
+def test_topk_beyond_65536_codes(spark, tmp_path):
+    """70,000 codes, a cluster, and a lonely query: against brute force in numpy."""
+    rng = np.random.default_rng(6)
+    v = rng.standard_normal((70_000, 64)).astype(np.float32)
+    v[100:160] = v[100] * np.where(rng.random((60, 64)) < 0.05, -1, 1)
+    v[40_000] = -1  # far from most
+    pd.DataFrame({"vec_id": np.arange(len(v)) + 1, "embedding": list(v)}).to_parquet(tmp_path / "v.parquet")
+    table = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = {}
+    for r in op04_topk.hamming_topk(table, every=10_000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["distance"], r["vec_id"]))
+    words = np.packbits(v > 0, axis=1).view(np.uint64)[:, 0]
+    assert sorted(got) == list(range(10_000, 70_001, 10_000))
+    for q, found in got.items():
+        d = np.bitwise_count(words ^ words[q - 1]).astype(int)
+        d[q - 1] = 99
+        order = np.lexsort((np.arange(len(d)), d))[:10]
+        assert [(x, y) for _, x, y in sorted(found)] == [(int(d[i]), int(i) + 1) for i in order]
+
+
 def test_lm(docs, empty):
     rows = pairs(docs)
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2

@@ -1,40 +1,48 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the sign bits of an embedding's first 64 numbers. Codes are cut into four segments of 16
-bits, or fewer and wider ones of about log2(n) bits beyond 65,536 codes, so that an index bucket
-holds a few codes at any n. At radius r every open query
-probes, in each segment, the values at distance r from its own; what it meets is verified on the
-whole code. After radius r in all of m segments every code within m*(r+1)-1 bits has been met, so
-a query closes once its k-th verified distance is within that: the result is exact.
-
-Equal codes are one entry that carries its k+1 least ids, so a very common vector costs one row.
+A code is the sign bits of an embedding's first 64 numbers. Codes are cut into segments of log2(n)
+bits or more, so that an index bucket holds about one of n codes at any n (three segments at
+least). At radius r every open query probes, in each segment, the values at distance r from its own;
+what it meets is verified on the whole code. After radius r in all of m segments every code within
+m*(r+1)-1 bits has been met, so a query closes once its k-th verified distance is within that: the
+result is exact. Once a radius has more values than there are codes, the queries still open are
+compared with all codes instead, in blocks: distances are counted first, and only codes within the
+k-th distance are kept.
+
+Equal codes are one entry, so a very common vector costs one row; searches carry the code, its least
+id and its number of ids, and the k+1 least ids join at the end. Masks are made on the executors
+from a range. Buckets of many codes are dealt over salts.
 Queries are the rows whose id is divisible by `every`, against all rows; a row isn't its own
 neighbour. Ties go to the smaller id. Null embeddings and ids have no entry; null numbers count as 0
-(bit 0); shorter embeddings give shorter codes, with zeros in front. Fewer than k other rows: all
-of them. Repeated rows with one id count once. Empty tables give empty results; extra columns are
-ignored.
+(bit 0); shorter embeddings count as 0 behind their end, longer ones are cut. Fewer than k other
+rows: all of them. Repeated rows with one id count once, the one of least code. Empty tables give
+empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 K, EVERY, BITS = 10, 100, 64
+#: Codes of a bucket before it is dealt over salts; queries compared with all codes at once.
+BUCKET, SCAN_BLOCK = 4096, 1024
+SHAPE = "query_id long, rank int, vec_id long, distance int"
 
 
 def code(embedding: str) -> Column:
-    bit = lambda x: F.when(F.coalesce(x, F.lit(0.0)) > 0, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.slice(embedding, 1, BITS), F.lit(0).cast("long"), lambda a, x: F.shiftleft(a, 1).bitwiseOR(bit(x)))
+    """Bit 63 is the first number's."""
+    bit = lambda x, i: F.when(F.coalesce(x, F.lit(0.0)) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(BITS - 1) - i)).otherwise(F.lit(0).cast("long"))
+    return F.aggregate(F.transform(F.slice(embedding, 1, BITS), bit), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
 
 
 def segment_widths(n: int) -> list[int]:
-    m = max(2, BITS // max(16, math.ceil(math.log2(max(2, n)))))
+    """Bits of each segment: log2(n) or more, in 3 to 16 segments."""
+    m = min(16, max(3, BITS // math.ceil(math.log2(max(2, n)))))
     return [BITS // m + (i < BITS % m) for i in range(m)]
 
 
@@ -43,50 +51,97 @@ def _segments(column: str, widths: list[int]) -> Column:
     return F.posexplode(F.array(*[F.shiftrightunsigned(column, c).bitwiseAND(F.lit((1 << w) - 1)) for c, w in zip(cuts, widths, strict=True)]))
 
 
+def masks(spark: SparkSession, widths: list[int], r: int) -> DataFrame:
+    """(mask_seg, mask): every value of r bits for each segment. At most C(22, 11) = 705,432 values a
+    segment, since there are three segments or more."""
+    table = spark.range(1 << max(widths)).filter(F.bit_count("id") == r).select(F.col("id").alias("mask"))
+    wide = F.array(*[F.lit(w) for w in widths])
+    return table.select(F.posexplode(wide).alias("mask_seg", "width"), "mask").filter(F.col("mask") < F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))).drop("width")
+
+
+def best(met: DataFrame, k: int) -> DataFrame:
+    """q and its k+1 first entries of all that it met; an entry met again has the same rank."""
+    rank = F.dense_rank().over(Window.partitionBy("q").orderBy("e"))
+    return met.withColumn("r", rank).filter(F.col("r") <= k + 1).groupBy("q").agg(F.sort_array(F.collect_set("e")).alias("top"))
+
+
+def entry(query: str) -> Column:
+    return F.struct(F.bit_count(F.col(query).bitwiseXOR(F.col("found"))).alias("distance"), "least", "found", "ids_here").alias("e")
+
+
+def probe(open_: DataFrame, index: DataFrame, hot: DataFrame | None, widths: list[int], r: int, k: int) -> DataFrame:
+    """Open queries with the best that they have met up to radius r."""
+    probes = open_.select("q", _segments("q", widths).alias("probe_seg", "own")).join(F.broadcast(masks(open_.sparkSession, widths, r)), F.col("probe_seg") == F.col("mask_seg"))
+    probes = probes.select("q", "probe_seg", F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
+    on = (F.col("probe_seg") == F.col("seg")) & (F.col("probe") == F.col("value"))
+    if hot is not None:
+        probes = probes.join(hot, (F.col("probe_seg") == F.col("hot_seg")) & (F.col("probe") == F.col("hot_value")), "left")
+        probes = probes.withColumn("probe_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+        on = on & (F.col("probe_salt") == F.col("salt"))
+    met = probes.join(index, on).select("q", entry("q"))
+    old = open_.filter("top is not null").select("q", F.explode("top").alias("e"))
+    return open_.select("q").join(best(met.unionByName(old), k), "q", "left")
+
+
+def scan(queries: DataFrame, entries: DataFrame, enough: int, k: int) -> DataFrame:
+    """The best of a block of queries against all entries, in two passes: the first counts distances."""
+    every = entries.select(F.col("code").alias("found"), "least", "ids_here")
+    pairs = every.crossJoin(F.broadcast(queries.select("q")))  # a block of queries
+    counted = pairs.groupBy("q", F.bit_count(F.col("q").bitwiseXOR(F.col("found"))).alias("d")).agg(F.sum("ids_here").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("q").orderBy("d"))
+    reach = counted.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < enough).groupBy("q").agg(F.max("d").alias("reach"))
+    reach = common.materialize(reach, "scan-reach")
+    near = every.join(F.broadcast(reach), F.bit_count(F.col("q").bitwiseXOR(F.col("found"))) <= F.col("reach"))
+    return best(near.select("q", entry("q")), k)
+
+
 def hamming_topk(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank (from 1), vec_id, distance."""
     spark = vectors.sparkSession
-    coded = common.materialize(vectors.select("vec_id", code("embedding").alias("code")).filter("vec_id is not null and code is not null").dropDuplicates(["vec_id"]), "codes")
+    coded = vectors.select("vec_id", code("embedding").alias("code")).filter("vec_id is not null and code is not null").groupBy("vec_id").agg(F.min("code").alias("code"))
+    coded = common.materialize(coded, "codes")
     first = F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))
     entries = coded.withColumn("r", first).filter(F.col("r") <= k + 1).groupBy("code").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    entries = common.materialize(entries, "code-entries")
+    entries = common.materialize(entries.select("code", F.get("ids", F.lit(0)).alias("least"), F.size("ids").alias("ids_here"), "ids"), "code-entries")
     n, rows = entries.count(), coded.count()
+    if not rows:
+        return spark.createDataFrame([], SHAPE)
     widths = segment_widths(n)
     m = len(widths)
-    index = common.materialize(entries.select(F.col("code").alias("found"), "ids", _segments("code", widths).alias("seg", "value")), "code-index")
+    index = common.materialize(entries.select(F.col("code").alias("found"), "least", "ids_here", _segments("code", widths).alias("seg", "value")), "code-index")
+    crowded = index.groupBy(F.col("seg").alias("hot_seg"), F.col("value").alias("hot_value")).agg(F.count("*").alias("c")).filter(F.col("c") > BUCKET)
+    crowded = common.materialize(crowded.select("hot_seg", "hot_value", F.ceil(F.col("c") / BUCKET).cast("int").alias("salts")), "crowded-buckets")
+    hot = None
+    if not crowded.isEmpty():
+        hot = common.small(crowded)
+        dealt = index.join(hot, (F.col("seg") == F.col("hot_seg")) & (F.col("value") == F.col("hot_value")), "left")
+        index = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("found"), F.col("salts")), F.lit(0)).cast("int")).drop("hot_seg", "hot_value", "salts")
     asked = coded.filter(F.col("vec_id") % every == 0)
-    open_ = common.materialize(asked.select(F.col("code").alias("q")).distinct().withColumn("top", F.lit(None).cast("array<struct<distance:int,least:long,found:long,ids:array<long>>>")), "open-queries")
-    closed, enough, r = [], min(k + 1, rows), 0
-    while rows and r <= max(widths):
-        masks = [(s, sum(1 << b for b in c)) for s, w in enumerate(widths) for c in combinations(range(w), r)]
-        masks = spark.createDataFrame(masks, "mask_seg int, mask long")
-        # at most a few segments times C(16, r) rows, whatever the data
-        probes = open_.select("q", _segments("q", widths).alias("seg", "own")).join(F.broadcast(masks), F.col("seg") == F.col("mask_seg"))
-        probes = probes.select("q", F.col("seg").alias("probe_seg"), F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
-        met = probes.join(index, (F.col("probe_seg") == F.col("seg")) & (F.col("probe") == F.col("value")))
-        met = met.select("q", F.struct(F.bit_count(F.col("q").bitwiseXOR(F.col("found"))).alias("distance"), F.get("ids", F.lit(0)).alias("least"), "found", "ids").alias("e"))
-        old = open_.filter("top is not null").select("q", F.explode("top").alias("e"))
-        best = Window.partitionBy("q").orderBy("e.distance", "e.least")
-        # an entry may be met again in another segment: rank() puts repeats on one rank
-        top = met.unionByName(old).dropDuplicates(["q", "e"]).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
-        top = top.groupBy("q").agg(F.sort_array(F.collect_list("e")).alias("top"))
-        seen = common.materialize(open_.select("q").join(top, "q", "left"), "seen")
-        distances = F.flatten(F.transform("top", lambda e: F.transform(e["ids"], lambda _: e["distance"])))
+    top_type = "array<struct<distance:int,least:long,found:long,ids_here:int>>"
+    open_ = common.materialize(asked.select(F.col("code").alias("q")).distinct().withColumn("top", F.lit(None).cast(top_type)), "open-queries")
+    closed, enough = [], min(k + 1, rows)
+    for r in range(max(widths) + 1):
+        if sum(math.comb(w, r) for w in widths) > n:
+            blocks = -(-open_.count() // SCAN_BLOCK)
+            block = F.pmod(F.xxhash64("q"), F.lit(max(1, blocks)))
+            closed += [common.materialize(scan(open_.filter(block == b), entries, enough, k), "scanned") for b in range(blocks)]
+            break
+        seen = common.materialize(probe(open_, index, hot, widths, r, k), "seen")
+        distances = F.flatten(F.transform("top", lambda e: F.array_repeat(e["distance"], e["ids_here"])))
         covered = F.coalesce(F.get(distances, F.lit(enough - 1)) <= m * (r + 1) - 1, F.lit(False))
-        covered = covered if r < max(widths) else F.lit(True)
         closed.append(seen.filter(covered))
         open_ = common.materialize(seen.filter(~covered), "open-queries")
         if open_.isEmpty():
             break
-        r += 1
-    if not closed:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
     done = closed[0]
     for more in closed[1:]:
         done = done.unionByName(more)
-    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("code").alias("c")).join(done, F.col("c") == F.col("q"))
-    each = F.flatten(F.transform("top", lambda e: F.transform(e["ids"], lambda i: F.struct(e["distance"].alias("distance"), i.alias("vec_id")))))
-    others = F.slice(F.sort_array(F.filter(each, lambda x: x["vec_id"] != F.col("query_id"))), 1, k)
+    named = done.select("q", F.posexplode("top").alias("at", "e")).select("q", "e.distance", "e.found").join(entries.select("code", "ids"), F.col("found") == F.col("code"))
+    top = named.groupBy("q").agg(F.sort_array(F.flatten(F.collect_list(F.transform("ids", lambda i: F.struct("distance", i.alias("vec_id")))))).alias("top"))
+    # k neighbours and perhaps the query itself
+    top = common.materialize(top.withColumn("top", F.slice("top", 1, k + 1)), "top-lists")
+    pairs = common.join_hot(asked.select(F.col("vec_id").alias("query_id"), F.col("code").alias("c")), top, "c", "q", limit=10_000)
+    others = F.slice(F.filter("top", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
     out = pairs.select("query_id", F.posexplode(others).alias("at", "x"))
     return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.distance")
 
