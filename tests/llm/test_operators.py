@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -206,10 +207,40 @@ def test_packing(docs, empty, keep):
     for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == sequences.get(r["sequence_id"], 0)
         sequences[r["sequence_id"]] = r["offset"] + r["length"]
-    assert max(sequences.values()) <= 256 and len(sequences) <= -(-sum(sequences.values()) // 256) + 2
+    assert max(sequences.values()) <= 256 and len(sequences) <= 1.15 * sum(sequences.values()) / 256 + 2
+    assert all(r["length"] == r["doc_tokens"] for r in rows if r["doc_tokens"] <= 256)  # what fits stays whole
+    assert Counter(r["doc_id"] for r in rows) == Counter({i: -(-len(x) // 256) * copies[i] for i, x in ids.items()})
     assert op06_packing.pack(empty, path).count() == 0
 
 
+def test_packing_program():
+    """The linear program's value lies between its bound and any packing; whole numbers come close."""
+    rng = np.random.default_rng(1)
+    for trial in range(6):
+        lengths = np.unique(rng.integers(1, 60, rng.integers(1, 25)))
+        demand = rng.integers(1, 400, len(lengths))
+        basis, x, bound = op06_packing.column_generation(lengths, demand.astype(float), 64)
+        assert np.allclose(basis @ x, demand) and (lengths @ basis <= 64).all()
+        assert max(bound, lengths @ demand / 64) <= x.sum() + 1e-6 <= bound * (1 + op06_packing.TOLERANCE) + 2e-6
+        patterns = op06_packing.plan(dict(zip(lengths.tolist(), demand.tolist())), 64)
+        used = Counter()
+        for times, copies in patterns:
+            assert sum(k * n for k, n in copies.items()) <= 64
+            used.update({k: times * n for k, n in copies.items()})
+        assert used == dict(zip(lengths.tolist(), demand.tolist())) and sum(t for t, _ in patterns) <= bound + len(lengths) + 1
+    # three thirds: 2 of 21 and one of 22 fill 64
+    assert sum(t for t, _ in op06_packing.plan({21: 20, 22: 10}, 64)) == 10
+    assert op06_packing.plan({}, 64) == []
+
+
+def test_packing_chunks_hold_bytes(monkeypatch):
+    monkeypatch.setattr(op06_packing, "CHUNK_BYTES", 10)
+    texts = pa.array(["abc", None, "x" * 25, "", "abcdef", "abcdef"])
+    assert list(op06_packing.chunks(texts)) == [(0, 2), (2, 1), (3, 2), (5, 1)] and list(op06_packing.chunks(pa.array([], pa.string()))) == []
+
+
+
+
 def simhash(t, width):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), t).encode().split()
     if not w:

@@ -1,13 +1,14 @@
 """Packing by cutting-stock column generation.
 
-1. One pass tokenizes each document and cuts it: whole windows of `capacity` tokens, then the
-   longest rest that is a multiple of `grain`, then a crumb shorter than `grain`. Every piece so
-   has one of capacity/grain + grain - 1 length classes, whatever the corpus holds. The pieces go
-   to the shared folder with a rank within (class, partition).
-2. The class histogram (one number a class) is the demand of a linear program over patterns, which
-   a revised simplex solves on the driver; a knapsack dynamic program prices new columns.
-3. Patterns are rounded down, the rest is packed largest first, and since patterns are counts, the
-   piece of rank r in its class finds its sequence and offset in closed form: no further shuffle.
+1. One pass tokenizes each document. A document that fits a sequence stays whole; a longer one is cut
+   into whole sequences and a rest. The pieces go to the shared folder with their class (length in
+   units of `grain` tokens, rounded up) and a rank within (class, partition).
+2. The histogram of classes, at most capacity/grain numbers, is the demand of a linear program over
+   patterns, which a revised simplex solves on the driver; a knapsack dynamic program prices new
+   columns until the bound that they prove is within TOLERANCE.
+3. Patterns are rounded down, the rest is packed largest first. The piece of rank r in its class
+   finds its sequence and its place there in closed form. Offsets are sums of true lengths
+   within a sequence, so what rounding up costs (half a unit a piece) is padding at the end.
 
 Null text counts as empty: such a document holds its end id alone. Repeated rows are packed each.
 An empty table gives an empty result; extra columns are ignored.
@@ -15,6 +16,7 @@ An empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,13 +31,14 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CAPACITY, GRAIN, END_ID = 2048, 32, 1
+CAPACITY, GRAIN, END_ID = 2048, 16, 1
 #: Words whose ids a worker remembers in each of two generations, and the longest such word.
 GENERATION, TABLE_CHARS = 500_000, 40
-#: Documents encoded at once.
-CHUNK = 2048
-#: Simplex steps before the best basis so far is taken (rounding makes any basis valid).
-MAX_STEPS = 1500
+#: Documents encoded at once, and their bytes (one longer text is encoded alone).
+CHUNK, CHUNK_BYTES = 2048, 8 << 20
+#: Share by which a linear program's value may exceed its proven bound; simplex steps before the best
+#: basis so far is taken with a warning (rounding makes any basis valid).
+TOLERANCE, MAX_STEPS = 1e-4, 5000
 
 
 class WordIds:
@@ -110,20 +113,21 @@ class WordIds:
 _ENCODERS: dict[str, WordIds] = {}
 
 
-def class_length(k: int, capacity: int, grain: int) -> int:
-    """Classes 1..grain-1 are crumbs of that many tokens, then multiples of grain."""
-    return k if k < grain else (k - grain + 1) * grain
+def cut(total: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of a document's pieces."""
+    return [(s, min(capacity, total - s)) for s in range(0, total, capacity)]
 
 
-def cut(total: int, capacity: int, grain: int) -> list[tuple[int, int, int]]:
-    """(start, length, class) of a document's pieces."""
-    out = [(s, capacity, grain - 1 + capacity // grain) for s in range(0, total - capacity + 1, capacity)]
-    start = total // capacity * capacity
-    if main := (total - start) // grain * grain:
-        out.append((start, main, grain - 1 + main // grain))
-    if crumb := total % grain:
-        out.append((total - crumb, crumb, crumb))
-    return out
+def chunks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of texts that are encoded at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(ends):
+        held = ends[lo - 1] if lo else 0
+        hi = int(np.searchsorted(ends, held + CHUNK_BYTES, side="right"))
+        hi = max(lo + 1, min(hi, lo + CHUNK))
+        yield lo, hi - lo
+        lo = hi
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, grain: int, end_id: int, keep_ids: bool) -> DataFrame:
@@ -137,13 +141,14 @@ def pieces(docs: DataFrame, path: str, capacity: int, grain: int, end_id: int, k
         _ENCODERS[path] = encoder
         ranks, here = {}, TaskContext.get().partitionId()
         for batch in batches:
-            for lo in range(0, batch.num_rows, CHUNK):
-                part, rows = batch.slice(lo, CHUNK), []
+            for lo, n in chunks(batch.column("text")):
+                part, rows = batch.slice(lo, n), []
                 ids, at = encoder.encode(part.column("text"))
                 for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     raw = memoryview(ids[at[k] : at[k + 1]].tobytes() + tail)
                     total = len(raw) // 4
-                    for start, length, kind in cut(total, capacity, grain):
+                    for start, length in cut(total, capacity):
+                        kind = -(-length // grain)
                         rank = ranks.get(kind, 0)
                         ranks[kind] = rank + 1
                         own = raw[4 * start : 4 * (start + length)]
@@ -155,10 +160,8 @@ def pieces(docs: DataFrame, path: str, capacity: int, grain: int, end_id: int, k
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """Unbounded knapsack: the pattern of most value within capacity."""
+    """Unbounded knapsack: the pattern of most value within capacity. lengths ascend."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lengths, values = lengths[order], values[order]
     fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for w in range(1, capacity + 1):
         best[w] = best[w - 1]
@@ -171,66 +174,76 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float
         if choice[w] < 0:
             w -= 1
         else:
-            pattern[order[choice[w]]] += 1
+            pattern[choice[w]] += 1
             w -= lengths[choice[w]]
     return float(best[capacity]), pattern
 
 
-def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (columns) and fractional uses of least total with A x = demand."""
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Patterns (columns), fractional uses of least total with A x = demand, and a lower bound of the
+    total (the dual value over the best price). The basis's inverse is kept by row operations."""
     m = len(lengths)
     basis = np.diag((capacity // lengths).astype(float))
-    x = demand / np.diag(basis)
-    for _ in range(MAX_STEPS if m else 0):
-        dual = np.linalg.solve(basis.T, np.ones(m))
-        value, pattern = price(np.maximum(dual, 0), lengths, capacity)
-        if value <= 1 + 1e-9:
+    inverse = np.diag(1 / np.diag(basis)) if m else np.zeros((0, 0))
+    x, bound = inverse @ demand, 0.0
+    for n in range(MAX_STEPS if m else 0):
+        dual = np.maximum(inverse.sum(axis=0), 0)
+        value, pattern = price(dual, lengths, capacity)
+        bound = max(bound, float(dual @ demand) / max(value, 1.0))
+        if value <= 1 + 1e-9 or x.sum() <= bound * (1 + TOLERANCE):
             break
-        step = np.linalg.solve(basis, pattern)
+        step = inverse @ pattern
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
-        x = np.maximum(x - ratio[out] * step, 0)
-        x[out], basis[:, out] = ratio[out], pattern
-    return basis, x
-
-
-def plan(counts: dict[int, int], capacity: int, grain: int) -> list[tuple[int, dict[int, int]]]:
-    """(times, {class: copies}) whose copies hold each class's count exactly."""
-    whole = grain - 1 + capacity // grain
-    classes = [k for k in sorted(counts) if k != whole and counts[k]]
-    lengths = np.array([class_length(k, capacity, grain) for k in classes], dtype=int)
+        basis[:, out] = pattern
+        pivot = inverse[out] / step[out]
+        inverse -= np.outer(step, pivot)
+        inverse[out] = pivot
+        if n % 200 == 199:
+            inverse = np.linalg.inv(basis)
+        x = np.maximum(inverse @ demand, 0)
+    else:
+        if m:
+            logging.getLogger(__name__).warning("column generation stopped after %d steps at %.1f, bound %.1f", MAX_STEPS, x.sum(), bound)
+    return basis, x, bound
+
+
+def plan(counts: dict[int, int], units: int) -> list[tuple[int, dict[int, int]]]:
+    """(times, {class: copies}) whose copies hold each class's count exactly; a class is its length."""
+    classes = [k for k in sorted(counts) if k != units and counts[k]]
+    lengths = np.array(classes, dtype=int)
     left = np.array([counts[k] for k in classes], dtype=np.int64)
-    basis, x = column_generation(lengths, left.astype(float), capacity)
-    out = [(counts[whole], {whole: 1})] if counts.get(whole) else []
-    for j in range(len(classes)):
+    basis, x, _ = column_generation(lengths, left.astype(float), units)
+    out = [(counts[units], {units: 1})] if counts.get(units) else []
+    for j in np.argsort(-x, kind="stable"):
         copies = basis[:, j].astype(np.int64)
         times = int(min([int(x[j] + 1e-6), *(left[copies > 0] // copies[copies > 0])]))
         if times > 0:
             left -= times * copies
             out.append((times, {classes[i]: int(copies[i]) for i in np.flatnonzero(copies)}))
     while left.any():  # the rounded rest, largest first
-        room, copies = capacity, {}
+        room, copies = units, {}
         for i in np.argsort(-lengths):
             if n := min(int(left[i]), room // int(lengths[i])):
-                copies[classes[i]] = n
+                copies[i] = n
                 room -= n * int(lengths[i])
-        idx = [classes.index(k) for k in copies]
-        n = np.array(list(copies.values()))
+        idx, n = np.array(list(copies)), np.array(list(copies.values()))
         times = int((left[idx] // n).min())
         left[idx] -= times * n
-        out.append((times, copies))
+        out.append((times, {classes[i]: k for i, k in copies.items()}))
     return out
 
 
-def slots(patterns: list[tuple[int, dict[int, int]]], capacity: int, grain: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """By class: pieces placed by earlier patterns, first sequence, copies a sequence, offset."""
+def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndarray, ...]]:
+    """By class: pieces placed by earlier patterns, first sequence, copies a sequence, place of the
+    first copy."""
     out: dict[int, list] = {}
     first = 0
     for times, copies in patterns:
-        offset = 0
+        place = 0
         for k in sorted(copies, reverse=True):
-            out.setdefault(k, []).append((times * copies[k], first, copies[k], offset))
-            offset += copies[k] * class_length(k, capacity, grain)
+            out.setdefault(k, []).append((times * copies[k], first, copies[k], place))
+            place += copies[k]
         first += times
     return {k: (np.cumsum([0, *(r[0] for r in rows)])[:-1], *(np.array([r[i] for r in rows]) for i in (1, 2, 3))) for k, rows in out.items()}
 
@@ -238,10 +251,9 @@ def slots(patterns: list[tuple[int, dict[int, int]]], capacity: int, grain: int)
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row a piece with its sequence and offset; keep_ids adds the piece's ids as bytes."""
     cuts = common.materialize(pieces(docs, path, capacity, grain, end_id, keep_ids), "pieces")
-    sizes = cuts.groupBy("class", "part").agg(F.count("*").alias("n"))
-    sizes = common.materialize(sizes, "piece-counts")
+    sizes = common.materialize(cuts.groupBy("class", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    place = slots(plan(counts, capacity, grain), capacity, grain)
+    place = slots(plan(counts, capacity // grain))
     before = Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col("class").alias("k"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = cuts.join(starts, (F.col("class") == F.col("k")) & (F.col("part") == F.col("p"))).drop("k", "p")
@@ -249,7 +261,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAI
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rank = (batch["rank"] + batch["base"]).to_numpy()
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+            sequence, slot = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
             kinds = batch["class"].to_numpy()
             for k in np.unique(kinds):
                 at = np.flatnonzero(kinds == k)
@@ -257,11 +269,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAI
                 j = np.searchsorted(done, rank[at], side="right") - 1
                 r = rank[at] - done[j]
                 sequence[at] = first[j] + r // copies[j]
-                offset[at] = begin[j] + r % copies[j] * class_length(int(k), capacity, grain)
-            yield batch.drop(columns=["class", "part", "rank", "base"]).assign(sequence_id=sequence, offset=offset)
+                slot[at] = begin[j] + r % copies[j]
+            yield batch.drop(columns=["class", "part", "rank", "base"]).assign(sequence_id=sequence, slot=slot)
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids + ", sequence_id long, offset long"
-    return ranked.mapInPandas(run, schema)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids + ", sequence_id long, slot int"
+    ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a sequence: capacity / grain pieces at most
+    return ranked.mapInPandas(run, schema).withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("slot")
 
 
 def op6_packing(spark, sf_dir) -> DataFrame:
