@@ -432,8 +432,36 @@ def test_pii_sql(spark, docs):
     rel = con.execute(ORACLE_SQL["op10_pii"])
     names = [c[0] for c in rel.description]
     want = {r[0]: dict(zip(names, r)) for r in rel.fetchall()}
-    for r in op10_pii.with_spans(docs.filter("doc_id is not null")).select("doc_id", op10_pii.joined(F.col("pii")).alias("s")).collect():
-        assert want[r["doc_id"]]["spans"] == r["s"]
+    for r in op10_pii.with_spans(docs.filter("doc_id is not null")).select("doc_id", op10_pii.joined(F.col("pii")).alias("s"), F.array_max(F.transform("pii", lambda x: x["score"])).alias("top")).collect():
+        assert want[r["doc_id"]]["spans"] == r["s"] and want[r["doc_id"]]["score"] == (r["top"] or 0)
+
+
+def test_pii_long_text(spark):
+    """2 MB with 100,000 matches in seconds, and redacted."""
+    import time
+
+    t = "é a@b.de, 10.0.0.7 " * 50_000 + "x" * 1_000_000
+    table = spark.createDataFrame([(t,), ("a@b.de",)], "text string").coalesce(1)
+    op10_pii.with_spans(table.limit(0)).collect()
+    began = time.perf_counter()
+    rows = op10_pii.with_spans(table).select(F.size("pii").alias("n"), F.get("pii", 49_999).alias("last"), F.md5(op10_pii.redact(F.col("text"), F.col("pii"))).alias("x")).collect()
+    assert time.perf_counter() - began < 60
+    assert [r["n"] for r in rows] == [100_000, 1] and rows[0]["last"]["start"] == 49_999 * 19 + 2
+    assert rows[0]["x"] == hashlib.md5(("é [EMAIL], [IP] " * 50_000 + "x" * 1_000_000).encode()).hexdigest()
+
+
+def test_pii_overlapping_spans_are_one(spark):
+    t = "pay 4111 1111 1111 1111@x.de now"
+    row = op10_pii.with_spans(spark.createDataFrame([(t,)], "text string")).select("pii", op10_pii.redact(F.col("text"), F.col("pii")).alias("x")).first()
+    assert [s["kind"] for s in row["pii"]] == ["email", "card"] and row["x"] == "pay [CARD] now"
+
+
+def test_running(spark):
+    for n in (0, 1, 2, 5, 17, 100):
+        values = [random.Random(n).randint(-5, 9) for _ in range(n)]
+        table = spark.createDataFrame([(values,)], "v array<int>")
+        got = table.select(op10_pii.running(F.col("v"), lambda a, b: a + b).alias("s"), op10_pii.running(F.col("v"), lambda a, b: F.greatest(a, b), -9).alias("m")).first()
+        assert got["s"] == [sum(values[: i + 1]) for i in range(n)] and got["m"] == [max(values[: i + 1]) for i in range(n)]
 
 
 def test_materialize_and_drop(spark, docs):

@@ -4,7 +4,8 @@ A kind is a pattern whose matches (leftmost, without overlap) pass a validator.
 the gaps that split() leaves between the matches. Patterns that could be retried inside a long run
 of their own characters start at a run's first character or where the last match ended (\\G), and
 don't give back what they took, so that time stays linear and no match of the plain pattern is lost
-or changed. IBANs have their country's length and pass mod-97. Context words within `reach` characters raise a span's score; kinds
+or changed. Starts are running sums in two levels, and what stands around a span is cut from blocks
+of the text, so a text of n characters and k spans takes time n + k * BLOCK. IBANs have their country's length and pass mod-97. Context words within `reach` characters raise a span's score; kinds
 that have no checksum (ssn) need them.
 
 Null text counts as empty: no spans, hash of the empty string. Rows are independent: repeated rows
@@ -102,37 +103,72 @@ KINDS = (
     Kind("iban", "[A-Z][A-Z][0-9][0-9]", iban_pattern(), mod97, "iban|account|konto|compte|cuenta|bank", 0.9, 1.0, True),
     Kind("ssn", "-[0-9][0-9]-", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", None, "ssn|social security", 0.2, 0.9, True),
 )
-BASE, REACH = ("email", "ip", "card", "phone"), 40
+BASE, REACH, BLOCK = ("email", "ip", "card", "phone"), 40, 1000
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
 
+def running(values: Column, op: Callable[[Column, Column], Column], neutral: int = 0) -> Column:
+    """Inclusive running op (associative) of an int array: within blocks of about sqrt(n), then over
+    blocks, since an array grows by copying."""
+    last = lambda a: F.get(a, F.size(a) - 1)
+    none = F.array().cast("array<int>")
+
+    def scan(block: Column) -> Column:
+        return F.aggregate(block, none, lambda acc, x: F.concat(acc, F.array(op(F.coalesce(last(acc), F.lit(neutral)), x))))
+
+    def scanned(v: Column) -> Column:
+        n, b = F.size(v), F.ceil(F.sqrt(F.size(v))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.floor((n - 1) / b).cast("int")), lambda i: scan(F.slice(v, i * b + 1, b)))
+
+    def summed(s: Column) -> Column:
+        bases = F.aggregate(s, F.array(F.lit(neutral)), lambda acc, block: F.concat(acc, F.array(op(last(acc), last(block)))))
+        return let(bases, lambda z: F.flatten(F.transform(s, lambda block, i: F.transform(block, lambda x: op(F.get(z, i), x)))))
+
+    return let(values, lambda v: F.when(F.size(v) == 0, none).otherwise(let(scanned(v), summed)))
+
+
+def blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, length: Column) -> Column:
+    """A substring (start from 0) of the text whose blocks are parts."""
+    first = F.floor(start / BLOCK).cast("int")
+    whole = F.array_join(F.slice(parts, first + 1, F.floor((start + length) / BLOCK).cast("int") - first + 1), "")
+    # slice() copies its array, get() doesn't
+    two = F.concat(F.coalesce(F.get(parts, first), F.lit("")), F.coalesce(F.get(parts, first + 1), F.lit("")))
+    return F.substring(F.when(length <= BLOCK, two).otherwise(whole), F.pmod(start, F.lit(BLOCK)) + 1, length)
+
+
 def kind_spans(text: Column, kind: Kind) -> Column:
     """Array of spans of one kind; most texts stop at the gate."""
     hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
     gaps = F.split(text, kind.pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
 
-    def walk(acc: Column, z: Column) -> Column:
-        start = acc["at"] + F.length(z["g"])
-        end = start + F.length(F.coalesce(z["h"], F.lit("")))
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), z["h"].alias("m")))
-        return F.struct(end.alias("at"), F.when(z["h"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], one)).alias("out"))
+    def placed(h: Column) -> Column:
+        sizes = F.transform(F.arrays_zip(gaps.alias("g"), h.alias("h")), lambda z: F.length(z["g"]) + F.length(F.coalesce(z["h"], F.lit(""))))
+        return let(running(sizes, lambda a, b: a + b), lambda ends: F.transform(h, lambda m, i: F.struct((F.get(ends, i) - F.length(m)).alias("start"), F.get(ends, i).alias("end"), m.alias("m"))))
 
-    placed = F.aggregate(F.arrays_zip(gaps.alias("g"), hits.alias("h")), state, walk, lambda acc: acc["out"])
-    around = lambda s: F.lower(F.substring(text, F.greatest(s["start"] - REACH, F.lit(0)) + 1, s["end"] - s["start"] + 2 * REACH))
+    def judged(parts: Column) -> Column:
+        def one(s: Column) -> Column:
+            """start, end, text around, place in it."""
+            at = F.greatest(s["start"] - REACH, F.lit(0))
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), cut(parts, at, s["end"] - s["start"] + 2 * REACH).alias("around"), (s["start"] - at).alias("own"))
 
-    def good(s: Column) -> Column:
-        ok = F.lit(True) if kind.valid is None else kind.valid(s["m"])
-        if kind.bounded:
-            before = F.when(s["start"] > 0, F.substring(text, s["start"], F.lit(1))).otherwise("")
-            ok = ~before.rlike("[A-Za-z0-9]") & ~F.substring(text, s["end"] + 1, F.lit(1)).rlike("[A-Za-z0-9]") & ok
-        return ok
+        def untouched(s: Column) -> Column:
+            before = F.when(s["own"] > 0, F.substring(s["around"], s["own"], F.lit(1))).otherwise("")
+            after = F.substring(s["around"], s["own"] + s["end"] - s["start"] + 1, F.lit(1))
+            return ~before.rlike("[A-Za-z0-9]") & ~after.rlike("[A-Za-z0-9]")
 
-    def scored(s: Column) -> Column:
-        score = F.when(around(s).rlike(kind.context), kind.near).otherwise(kind.alone)
-        return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
+        def scored(s: Column) -> Column:
+            score = F.when(F.lower(s["around"]).rlike(kind.context), kind.near).otherwise(kind.alone)
+            return F.struct(F.lit(kind.name).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score.alias("score"))
 
-    found = F.filter(F.transform(F.filter(placed, good), scored), lambda s: s["score"] >= 0.5)
+        valid = (lambda s: F.lit(True)) if kind.valid is None else (lambda s: kind.valid(s["m"]))
+        around = F.transform(F.filter(let(hits, placed), valid), one)
+        return F.filter(F.transform(F.filter(around, untouched) if kind.bounded else around, scored), lambda s: s["score"] >= 0.5)
+
+    found = let(blocks(text), judged)
     return F.when(text.contains(kind.gate) if kind.gate == "@" else text.rlike(kind.gate), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
@@ -146,20 +182,28 @@ def joined(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """Spans become [KIND]; of overlapping spans the first to start, then the longest, stays."""
+    """Spans become [KIND]; overlapping spans are one, named by the first to start, then the longest."""
     ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def walk(acc: Column, s: Column) -> Column:
-        new = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
-        return F.when(s["start"] < acc["at"], acc).otherwise(new)
+    def cleaned(o: Column) -> Column:
+        reach = running(F.transform(o, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+        return let(reach, lambda r: let(blocks(text), lambda parts: F.array_join(F.transform(heads(o, r), lambda z: piece(z, parts)), "")))
+
+    def heads(o: Column, r: Column) -> Column:
+        """Spans that start behind all before them, with where those end; then the end of the text."""
+        each = F.transform(o, lambda x, i: F.struct(F.coalesce(F.get(r, i - 1), F.lit(0)).alias("after"), x["start"].alias("start"), x["kind"].alias("kind")))
+        end = F.struct(F.get(r, F.size(r) - 1).alias("after"), F.length(text).alias("start"), F.lit(None).cast("string").alias("kind"))
+        return F.concat(F.filter(each, lambda z: z["start"] >= z["after"]), F.array(end))
+
+    def piece(z: Column, parts: Column) -> Column:
+        return F.concat(cut(parts, z["after"], z["start"] - z["after"]), F.when(z["kind"].isNull(), "").otherwise(F.concat(F.lit("["), F.upper(z["kind"]), F.lit("]"))))
 
-    done = F.aggregate(ordered, state, walk, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
-    return F.when(F.size(spans) == 0, text).otherwise(done)
+    return F.when(F.size(spans) == 0, text).otherwise(let(ordered, cleaned))
 
 
 def op10_pii(spark, sf_dir) -> DataFrame:
     docs = with_spans(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     count = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return docs.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+    top = F.coalesce(F.array_max(F.transform("pii", lambda s: s["score"])), F.lit(0.0))
+    return docs.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), top.alias("score"))

@@ -38,8 +38,13 @@ def _pii() -> str:
         ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "length(p) BETWEEN 15 AND 34 AND NOT touched AND list_reduce(list_concat([0], list_transform(string_split(substr(p, 5) || substr(p, 1, 4), ''), lambda c: CASE WHEN ascii(c) < 58 THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: CASE WHEN v < 10 THEN (a * 10 + v) % 97 ELSE (a * 100 + v) % 97 END) = 1"),
         ("ssn", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "NOT touched AND regexp_matches(around, 'ssn|social security')"),
     )
+    # context words, score with and without them
+    scores = (
+        ("mail|contact|kontakt|correo|courriel|write", 1.0, 0.9), ("ip|host|server|address|login|addr", 0.9, 0.7), ("card|karte|carte|tarjeta|visa|pay|credit", 0.95, 0.7),
+        ("tel|phone|call|fon|fax|llama|appel", 0.9, 0.7), ("iban|account|konto|compte|cuenta|bank", 1.0, 0.9), ("ssn|social security", 0.9, 0.2),
+    )
     parts = [
-        f"""SELECT doc_id, {n} AS k, '{name}' AS kind, s, e FROM (
+        f"""SELECT doc_id, {n} AS k, '{name}' AS kind, s, e, CASE WHEN regexp_matches(around, '{scores[n][0]}') THEN CAST({scores[n][1]} AS DOUBLE) ELSE CAST({scores[n][2]} AS DOUBLE) END AS score FROM (
   SELECT doc_id, s, s + length(m) AS e, m, regexp_replace(m, '[^0-9]', '', 'g') AS d, replace(m, ' ', '') AS p, lower(substr(t, greatest(s - 40, 0) + 1, length(m) + 80)) AS around,
     regexp_matches(CASE WHEN s > 0 THEN substr(t, s, 1) ELSE '' END || substr(t, s + length(m) + 1, 1), '[A-Za-z0-9]') AS touched
   FROM (SELECT doc_id, t, hits[i] AS m, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
@@ -53,9 +58,9 @@ def _pii() -> str:
     counts = ", ".join(f"count(*) FILTER (k = {n}) AS n_{name}" for n, (name, _, _) in enumerate(kinds[:4]))
     return f"""
 WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({spans}),
-digests AS (SELECT doc_id, {counts}, sha256({listed.format(" FILTER (k < 4)")}) AS base_sha256, {listed.format("")} AS spans FROM spans GROUP BY doc_id)
+digests AS (SELECT doc_id, {counts}, sha256({listed.format(" FILTER (k < 4)")}) AS base_sha256, {listed.format("")} AS spans, max(score) AS score FROM spans GROUP BY doc_id)
 SELECT t.doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(score, 0.0) AS score
 FROM texts t LEFT JOIN digests USING (doc_id)
 """
 
