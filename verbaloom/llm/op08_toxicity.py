@@ -40,8 +40,8 @@ EXAMPLES, BLOCK, NEIGHBOURS = 3000, 64, 15
 #: Least G-squared of a kept term against independence of the label: about one of 100,000 terms
 #: without a link passes, whatever share of the sample label 1 has.
 MIN_G2 = 20.0
-#: Words whose terms a worker remembers in each of two generations; texts scored at once.
-GENERATION, CHUNK = 100_000, 256
+#: Words whose terms a worker remembers between texts; texts scored at once.
+REMEMBERED, CHUNK = 100_000, 256
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -53,21 +53,22 @@ class Terms:
     """A fixed vocabulary; counts() gives a text's term numbers and frequencies."""
 
     def __init__(self, terms: list[str]):
-        self.terms, self.ids, self.memo = terms, {t: i for i, t in enumerate(terms)}, common.Remembered(GENERATION)
+        self.terms, self.ids = terms, {t: i for i, t in enumerate(terms)}
+        # what a word must begin with to have any term
+        self.heads, self.memo = {t.removeprefix("^")[:4] for t in terms}, {}
 
     def counts(self, text: str | None) -> dict[int, int]:
-        words, out = Counter(_WORD.findall((text or "").lower())), {}
-        known = self.memo.new
-        new = {w: tuple(self.ids[t] for t in word_terms(w) if t in self.ids) for w in self.memo.missing(words)}
-        if self.memo.new is not known:
-            known = self.memo.new
-        known.update(new)
-        for word, n in words.items():
-            for t in known[word]:
-                out[t] = out.get(t, 0) + n
-        for w in new:
-            if len(w) > 40:
-                del known[w]
+        heads, memo, out = self.heads, self.memo, {}
+        for word in [w for w in _WORD.findall((text or "").lower()) if w[:4] in heads]:
+            own = memo.get(word)
+            if own is None:
+                own = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
+                if len(word) <= 40:
+                    memo[word] = own
+            for i in own:
+                out[i] = out.get(i, 0) + 1
+        if len(memo) > REMEMBERED:
+            memo.clear()
         return out
 
 
