@@ -92,6 +92,76 @@ NAMES = (
     ("cecill-2.1", "cecill", r"cecill(?:-[bc])? licen[sc]e"),
     ("lppl-1.3c", "latex", r"latex project public licen[sc]e"),
     ("vim", "vim", r"vim licen[sc]e"),
+    ("cc-by-nc-sa-4.0", "commons", r"creative commons attribution[- ]non-?commercial[- ]share-?alike(?: \d\.\d)?(?: international| unported)?(?: licen[sc]e)?"),
+    ("cc-by-nc-nd-4.0", "commons", r"creative commons attribution[- ]non-?commercial[- ]no-?deriv(?:s|atives)(?: \d\.\d)?(?: international| unported)?(?: licen[sc]e)?"),
+    ("cc-by-3.0", "commons", r"creative commons attribution 3\.0(?: unported)?(?: licen[sc]e)?"),
+    ("cc-pddc", "commons", r"creative commons public domain dedication"),
+    ("mit-modern-variant", "mit", r"modern mit licen[sc]e"),
+    ("blueoak-1.0.0", "blue", r"blue oak model licen[sc]e(?: 1\.0\.0)?"),
+    ("apsl-2.0", "apple", r"apple public source licen[sc]e(?:,? version 2\.0)?"),
+    ("rpl-1.5", "reciprocal", r"reciprocal public licen[sc]e"),
+    ("qpl-1.0", "public", r"q public licen[sc]e"),
+    ("spl-1.0", "sun", r"sun public licen[sc]e"),
+    ("sissl", "sun", r"sun industry standards source licen[sc]e"),
+    ("bcl", "binary", r"(?:oracle|sun) binary code licen[sc]e(?: agreement)?"),
+    ("otn", "oracle", r"oracle technology network licen[sc]e(?: agreement)?"),
+    ("nasa-1.3", "nasa open source", r"nasa open source agreement"),
+    ("npl-1.1", "netscape", r"netscape public licen[sc]e"),
+    ("nposl-3.0", "non-profit", r"non-profit open software licen[sc]e"),
+    ("intel", "intel", r"intel open source licen[sc]e"),
+    ("lpl-1.02", "lucent", r"lucent public licen[sc]e"),
+    ("mulanpsl-2.0", "mulan", r"mulan permissive software licen[sc]e(?:,? version 2)?"),
+    ("osgi", "osgi", r"osgi specification licen[sc]e"),
+    ("ecl-2.0", "educational", r"educational community licen[sc]e(?:,? version 2\.0)?"),
+    ("eudatagrid", "datagrid", r"eu datagrid software licen[sc]e"),
+    ("fair", "fair", r"(?:the )?fair licen[sc]e"),
+    ("entessa", "entessa", r"entessa public licen[sc]e"),
+    ("frameworx-1.0", "frameworx", r"frameworx open licen[sc]e"),
+    ("catosl-1.1", "trusted", r"computer associates trusted open source licen[sc]e"),
+    ("cua-opl-1.0", "cua", r"cua office public licen[sc]e"),
+    ("motosoto", "motosoto", r"motosoto open source licen[sc]e"),
+    ("nokia", "nokia", r"nokia open source licen[sc]e"),
+    ("oclc-2.0", "oclc", r"oclc research public licen[sc]e"),
+    ("ogtsl", "open group", r"open group test suite licen[sc]e"),
+    ("rscpl", "ricoh", r"ricoh source code public licen[sc]e"),
+    ("sleepycat", "sleepycat", r"sleepycat licen[sc]e"),
+    ("vsl-1.0", "vovida", r"vovida software licen[sc]e"),
+    ("watcom-1.0", "watcom", r"sybase open watcom public licen[sc]e"),
+    ("xnet", "x.net", r"x\.net licen[sc]e"),
+    ("zpl-2.1", "zope", r"zope public licen[sc]e"),
+    ("hpnd", "historical permission", r"historical permission notice and disclaimer"),
+    ("ipa", "ipa", r"ipa font licen[sc]e"),
+    ("lal-1.3", "art l", r"(?:licence art libre|free art licen[sc]e)"),
+    ("odc-by-1.0", "commons", r"open data commons attribution licen[sc]e"),
+    ("pddl-1.0", "commons", r"open data commons public domain dedication(?: and licen[sc]e)?"),
+    ("ogl-uk-3.0", "government", r"open government licen[sc]e(?: v?\d\.0)?"),
+    ("etalab-2.0", "licence ouverte", r"licence ouverte(?: v?2\.0)?"),
+    ("dl-de-by-2.0", "datenlizenz", r"datenlizenz deutschland[- –]*(?:namensnennung)?"),
+    ("cdla-permissive-2.0", "community data", r"community data licen[sc]e agreement[- –]*permissive"),
+    ("cdla-sharing-1.0", "community data", r"community data licen[sc]e agreement[- –]*sharing"),
+    ("polyform-noncommercial-1.0.0", "polyform", r"polyform noncommercial licen[sc]e"),
+    ("polyform-small-business-1.0.0", "polyform", r"polyform small business licen[sc]e"),
+    ("commons-clause", "commons clause", r"commons clause licen[sc]e condition"),
+    ("parity-7.0.0", "parity", r"parity public licen[sc]e"),
+    ("hippocratic-2.1", "hippocratic", r"hippocratic licen[sc]e"),
+    ("jpnic", "jpnic", r"jpnic licen[sc]e"),
+    ("bittorrent-1.1", "bittorrent", r"bittorrent open source licen[sc]e"),
+    ("openrail", "rail", r"(?:creativeml )?open ?rail(?:\+\+)?-m licen[sc]e"),
+    ("llama-community", "llama", r"llama \d(?:\.\d)? community licen[sc]e(?: agreement)?"),
+    ("bigscience-rail-1.0", "bigscience", r"bigscience (?:open )?rail licen[sc]e"),
+    ("opl-1.0", "open publication", r"open publication licen[sc]e"),
+    ("opencontent", "opencontent", r"opencontent licen[sc]e"),
+    ("gfdl-invariant", "no invariant", r"with no invariant sections"),
+    ("beerware", "beer", r"(?:the )?beer-?ware licen[sc]e"),
+    ("json", "json", r"(?:the )?json licen[sc]e"),
+    ("icu", "icu", r"icu licen[sc]e"),
+    ("unicode-3.0", "unicode", r"unicode(?:, inc\.)? licen[sc]e(?: agreement| v3)?"),
+    ("bzip2-1.0.6", "bzip2", r"bzip2 licen[sc]e"),
+    ("ftl", "freetype", r"freetype (?:project )?licen[sc]e"),
+    ("ijg", "jpeg", r"independent jpeg group licen[sc]e"),
+    ("tcl", "tcl", r"tcl/?tk licen[sc]e"),
+    ("info-zip", "info-zip", r"info-?zip licen[sc]e"),
+    ("perl", "terms as perl", r"same terms as perl(?: itself)?"),
 )
 
 #: Passages that mark one license's own text; label, keyword, regex.
@@ -120,6 +190,85 @@ PASSAGES = (
     ("cc0-1.0", "creativecommons.org", r"https?://creativecommons\.org/publicdomain/zero/1\.0"),
     ("all-rights-reserved", "all rights reserved", r"copyright .{0,80}?all rights reserved"),
     ("proprietary", "proprietary", r"proprietary and confidential"),
+    ("mit", "copyright notice", r"the above copyright notice and this permission notice (?:\(including the next paragraph\) )?shall be included in all copies"),
+    ("mit", "event shall the authors", r"in no event shall the authors or copyright holders be liable for any claim, damages or other liability"),
+    ("mit", "merge", r"without limitation the rights to use, copy, modify, merge, publish, distribute, sublicen[sc]e,? and/?(?:or)? sell"),
+    ("mit-0", "granted, free of charge", r"granted, free of charge, to any person obtaining a copy of this software .{0,300}?to whom the software is furnished to do so\. the software"),
+    ("x11", "not be used in advertising", r"shall not be used in advertising or otherwise to promote the sale, use or other dealings in this software"),
+    ("isc", "without fee", r"for any purpose with or without fee is hereby granted, provided that the above copyright notice"),
+    ("0bsd", "without fee", r"for any purpose with or without fee is hereby granted\. the software is provided"),
+    ("bsd", "bsd-style", r"governed by a bsd-style licen[sc]e that can be found in"),
+    ("bsd-3-clause", "endorse or promote", r"may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", "following acknowledg", r"must display the following acknowledge?ment: this product includes software developed by"),
+    ("bsd", "express or implied warranties", r"this software is provided by the (?:copyright holders and contributors|authors?|regents(?: and contributors)?) \"?as is\"? and any express or implied warranties"),
+    ("apache-2.0", "unless required", r"unless required by applicable law or agreed to in writing, software distributed under the licen[sc]e is distributed on an \"?as is\"? basis"),
+    ("apache-2.0", "contributor license", r"licensed to the apache software foundation \(asf\) under one or more contributor licen[sc]e agreements"),
+    ("apache-2.0", "patent", r"each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable .{0,60}?patent licen[sc]e"),
+    ("apache-1.1", "apache software", r"this product includes software developed by the apache software foundation"),
+    ("gpl-3.0-only", "version 3", r"under the terms of (?:version 3 of the gnu general public licen[sc]e|the gnu general public licen[sc]e,? version 3)(?: only)?"),
+    ("gpl-2.0-only", "version 2", r"under the terms of (?:version 2 of the gnu general public licen[sc]e|the gnu general public licen[sc]e,? version 2)(?: only)?"),
+    ("gpl", "fitness", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu general public licen[sc]e"),
+    ("lgpl", "fitness", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl-3.0", "fitness", r"without even the implied warranty of merchantability or fitness for a particular purpose\. see the gnu affero general public licen[sc]e"),
+    ("agpl-3.0", "through a computer network", r"offer all users interacting with it remotely through a computer network"),
+    ("lgpl", "library is free software", r"this library is free software[:;,] you can redistribute it and/?(?:or)? modify"),
+    ("lgpl-2.1-or-later", "version 2.1", r"either version 2\.1 of the licen[sc]e, or \(at your option\) any later version"),
+    ("gpl", "verbatim", r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document"),
+    ("gpl", "copyleft", r"the gnu general public licen[sc]e is a free, copyleft licen[sc]e"),
+    ("gpl-exception", "as a special exception", r"as a special exception, (?:the copyright holders|you may|if you link|the author)"),
+    ("gpl-2.0-with-classpath-exception", "classpath exception", r"gnu general public licen[sc]e .{0,60}?classpath exception"),
+    ("gcc-exception-3.1", "gcc runtime library", r"gcc runtime library exception"),
+    ("fdl-1.3", "documentation", r"permission is granted to copy, distribute and/?(?:or)? modify this document under the terms of the gnu free documentation"),
+    ("mpl-2.0", "mozilla public", r"this source code form is subject to the terms of the mozilla public licen[sc]e, v\. 2\.0"),
+    ("mpl-1.1", "mozilla public", r"the contents of this file are subject to the mozilla public licen[sc]e version 1\.[01]"),
+    ("mpl-2.0", "covered software", r"covered software is provided under this licen[sc]e on an \"?as is\"? basis"),
+    ("epl", "eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e"),
+    ("epl-2.0", "eclipse.org", r"https?://(?:www\.)?eclipse\.org/legal/epl-(?:v20|2\.0)"),
+    ("epl-1.0", "eclipse.org", r"https?://(?:www\.)?eclipse\.org/legal/epl-v10"),
+    ("cddl-1.0", "cddl", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e"),
+    ("cddl-1.0", "cddl", r"https?://(?:www\.)?(?:sun\.com|opensolaris\.org)/(?:cddl|os/licensing)"),
+    ("eupl-1.2", "eupl", r"licen[sc]ed under the eupl(?:,? version 1\.[12])?"),
+    ("artistic-1.0", "state the conditions", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "artistic", r"https?://(?:www\.)?perlfoundation\.org/artistic_license_2_0"),
+    ("bsl-1.0", "boost.org", r"https?://(?:www\.)?boost\.org/license_1_0\.txt"),
+    ("busl-1.1", "change date", r"change date: .{0,200}?change licen[sc]e"),
+    ("sspl-1.0", "to third parties as a service", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", "managed service", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("zlib", "must not be misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered source", r"altered source versions must be plainly marked as such"),
+    ("unlicense", "unlicense.org", r"https?://(?:www\.)?unlicense\.org"),
+    ("wtfpl", "wtfpl", r"https?://(?:www\.|sam\.zoy\.org/)?wtfpl(?:\.net)?"),
+    ("cc0-1.0", "waived all copyright", r"(?:has|have) waived all copyright and related or neighbou?ring rights"),
+    ("cc-by-nc-sa", "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nc-sa/\d\.\d"),
+    ("cc-by-nc-nd", "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nc-nd/\d\.\d"),
+    ("cc-by-nd", "creativecommons.org", r"https?://creativecommons\.org/licenses/by-nd/\d\.\d"),
+    ("public-domain", "creativecommons.org", r"https?://creativecommons\.org/publicdomain/mark/1\.0"),
+    ("odbl-1.0", "opendatacommons.org", r"https?://(?:www\.)?opendatacommons\.org/licenses/odbl"),
+    ("ofl-1.1", "scripts.sil.org", r"https?://scripts\.sil\.org/ofl"),
+    ("ofl-1.1", "reserved font", r"with reserved font names?"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("python-2.0", "psf is making", r"psf is making python available to licensee on an \"?as is\"? basis"),
+    ("php-3.01", "php software", r"this product includes php software, freely available from"),
+    ("postgresql", "without fee", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("hpnd", "software and its documentation", r"permission to use, copy, modify,? (?:and )?distribute,? (?:and sell )?this software and its documentation for any purpose (?:and without fee )?is hereby granted"),
+    ("ncsa", "deal with the software", r"deal with the software without restriction"),
+    ("w3c", "w3.org", r"https?://(?:www\.)?w3\.org/consortium/legal"),
+    ("ms-pl", "patent claim", r"if you bring a patent claim against any contributor over patents that you claim are infringed by the software"),
+    ("upl-1.0", "lrgrwrks", r"any piece of software and/?(?:or)? hardware listed in the lrgrwrks\.txt"),
+    ("vim", "copies of vim", r"there are no restrictions on distributing unmodified copies of vim"),
+    ("json", "not evil", r"the software shall be used for good, not evil"),
+    ("beerware", "buy me a beer", r"you can buy me a beer in return"),
+    ("curl", "without fee", r"permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted .{0,60}?copyright holder"),
+    ("ijg", "independent jpeg group", r"this software is based in part on the work of the independent jpeg group"),
+    ("proprietary", "written ", r"(?:no part of this|may not be) .{0,80}?(?:reproduced|copied|distributed) .{0,80}?without (?:the )?(?:express |prior )*written (?:permission|consent)"),
+    ("proprietary", "contains ", r"contains (?:confidential|proprietary) (?:information|trade secrets)"),
+    ("proprietary", "reverse engineer", r"(?:may|shall) not (?:copy, |modify, |decompile, |disassemble, |or )*reverse engineer"),
+    ("proprietary", "unauthori", r"unauthori[sz]ed (?:copying|use|reproduction|distribution) of (?:this|any) .{0,60}?is (?:strictly )?prohibited"),
+    ("all-rights-reserved", "rechte vorbehalten", r"alle rechte vorbehalten"),
+    ("all-rights-reserved", "tous droits", r"tous droits r[eé]serv[eé]s"),
+    ("all-rights-reserved", "todos los derechos", r"todos los derechos reservados"),
+    ("non-commercial", "use only", r"for (?:non-?commercial|personal|academic|research) use only"),
+    ("no-redistribution", "redistribution ", r"redistribution (?:is|of this .{0,40}? is) (?:not permitted|prohibited)"),
 )
 
 
@@ -128,8 +277,8 @@ def build_rules() -> list[tuple[int, str, str, re.Pattern]]:
     forms (priority 2, 3, 4, 5; 1 is strongest)."""
     forms = (
         (2, "spdx-license-identifier", r"spdx-license-identifier\s*:\s*{tag}" + _EDGE_R),
-        (3, None, r"(?:licensed|released|distributed|available|made available) under (?:the )?(?:terms of )?(?:the )?{name}"),
-        (4, None, r"(?:see|refer to|subject to|governed by|terms of|under) (?:the )?(?:terms of )?(?:the )?{name}"),
+        (3, None, r"(?<!not )(?<!never )(?<!n't )(?:licensed|released|distributed|available|made available) under (?:the )?(?:terms of )?(?:the )?{name}"),
+        (4, None, r"(?<!not )(?<!never )(?<!n't )(?:see|refer to|subject to|governed by|terms of|(?<!licensed )(?<!released )(?<!distributed )(?<!available )under) (?:the )?(?:terms of )?(?:the )?{name}"),
         (5, None, _EDGE_L + r"{name}" + _EDGE_R),
     )
     rules = [(1, label, keyword, re.compile(rx, re.S)) for label, keyword, rx in PASSAGES]
@@ -157,6 +306,28 @@ def unwrapped(text: str) -> tuple[str, list[int], list[int]]:
     return "".join([*parts, text[at:]]) if parts else text, places, there
 
 
+class Cover:
+    """Largest end of the intervals added that start at a place or before it, in log n: a Fenwick
+    tree of maxima over the starts that will be asked for."""
+
+    def __init__(self, starts: list[int]):
+        self.starts = sorted(set(starts))
+        self.ends = [-1] * (len(self.starts) + 1)
+
+    def add(self, start: int, end: int) -> None:
+        i = bisect_right(self.starts, start)
+        while i < len(self.ends):
+            self.ends[i] = max(self.ends[i], end)
+            i += i & -i
+
+    def end(self, start: int) -> int:
+        i, out = bisect_right(self.starts, start), -1
+        while i:
+            out = max(out, self.ends[i])
+            i -= i & -i
+        return out
+
+
 class Scanner:
     """detect() gives kept detections (start, end, label, priority) of a lower-cased text. Rules read
     the text unwrapped; spans are those of the text itself."""
@@ -166,7 +337,9 @@ class Scanner:
 
         self.rules = build_rules() if rules is None else rules
         self.gate = ahocorasick.Automaton()
-        for stem in ("licen", "copyright", "public domain", "creativecommons", "cc0", "permission", "redistributions", "proprietary", "software is provided", "neither the name", "advertising materials", "apache.org", "mozilla.org", "free software", "unlicense", "mit no attribution", "share", "option)", "general public", "creative commons"):
+        # every match holds "licen" or the keyword of a rule that can do without
+        loose = {k for _, k, rx in (*NAMES, *PASSAGES) if rx.endswith("licen[sc]e)?") or "licen[sc]e" not in rx} if rules is None else {r[2] for r in self.rules}
+        for stem in sorted(loose | {"licen"}):
             self.gate.add_word(stem, stem)
         self.gate.make_automaton()
         self.words = ahocorasick.Automaton()
@@ -180,9 +353,10 @@ class Scanner:
             return []
         active = sorted({k for _, ks in self.words.iter(text) for k in ks})
         found = [(self.rules[k][0], m.start(), -m.end(), k) for k in active for m in self.rules[k][3].finditer(text)]
-        kept: list[tuple[int, int, str, int]] = []
+        kept, cover = [], Cover([f[1] for f in found])
         for priority, start, end, k in sorted(found):
-            if not any(s <= start and -end <= e for s, e, _, _ in kept):
+            if cover.end(start) < -end:
+                cover.add(start, -end)
                 kept.append((start, -end, self.rules[k][1], priority))
         back = lambda at: there[k := bisect_right(places, at) - 1] + at - places[k]
         return sorted((back(s), back(e - 1) + 1, label, priority) for s, e, label, priority in kept)
