@@ -185,6 +185,12 @@ def test_lm(docs, empty):
     assert op05_lm.lm_score(empty).count() == 0
 
 
+def test_lm_does_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(op05_lm, "SHARD_TOKENS", 700)  # several shards
+    score = lambda n: {(r["doc_id"], r["n_tokens"]): round(r["score"], 6) for r in op05_lm.lm_score(docs.repartition(n)).collect()}
+    assert score(1) == score(5)
+
+
 def test_lm_is_normalised():
     p = op05_lm.Params.start(np.log(np.full(op05_lm.CELLS, 1 / op05_lm.CELLS)))
     s1, s2, z = p.tables()
@@ -275,6 +281,29 @@ def test_simhash(docs, empty, block_rows):
     assert op07_simhash.simhash_components(empty).count() == 0
 
 
+def test_block_keys_grow_with_n():
+    assert [op07_simhash.blocks_for(n, 4) for n in (1, 2_000_000, 3_000_000, 10**8, 10**9)] == [6, 6, 7, 7, 8]
+
+
+@pytest.mark.parametrize("blocks", [6, 7, 8])
+def test_block_masks_cover(blocks):
+    """A pair within the radius agrees on some mask."""
+    rng = random.Random(blocks)
+    masks = op07_simhash.block_masks(blocks, 4)
+    for _ in range(500):
+        flips = sum(1 << b for b in rng.sample(range(64), 4))
+        assert any(flips & m == 0 for m in masks)
+
+
+def test_keep_one_of_rows_equal_in_id_and_text(spark):
+    rows = [(1, "a b c", x) for x in "zxy"] + [(2, "q", "m")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, other string")
+        kept = sorted((r["doc_id"], r["other"]) for r in op07_simhash.keep_one(docs, op07_simhash.simhash_components(docs)).collect())
+        assert len(kept) == 2 and kept[1] == (2, "m") and (order is rows or kept == before)
+        before = kept
+
+
 def test_bucket_links_are_complete():
     rng = np.random.default_rng(9)
     base = rng.integers(0, 1 << 62, 6, dtype=np.uint64)

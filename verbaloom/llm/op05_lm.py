@@ -7,8 +7,9 @@ the share of all unseen words. Both factors are normalised, so the product is a
 
 * Counts of all training words come from one pass with map-side counting and one shuffle; their
   table stays distributed. Only the `head` most frequent words go to the workers (bounded).
-* Training: every partition of training documents runs one epoch of NCE from the same start; the
-  replicas, weighted by tokens, are averaged (a fixed number of bytes a partition).
+* Training: documents are dealt to shards by a hash of id and text, some SHARD_TOKENS tokens each. Every
+  shard runs one epoch of NCE from the same start in the order of that hash; the replicas, weighted by
+  tokens, are averaged (a fixed number of bytes a shard). Scores so don't depend on files or partitions.
 * Scoring: with two context cells the score matrix splits as S1[w1, w] + S2[w2, w], so a single
   matrix product exp(S1) exp(S2)^T normalises every context at once; tokens are then lookups.
 * Words beyond the head leave the scoring pass as (row, word) and meet their counts in a shuffle
@@ -38,6 +39,8 @@ HEAD = 200_000
 #: Output cells: the end token, OWN frequent words, the rest hashed.
 CELLS, OWN = 1024, 767
 DIM, NOISE, BATCH, RATE, SEED = 16, 96, 2048, 0.05, 11
+#: Training tokens of a shard, and the most shards (beyond, they hold more tokens).
+SHARD_TOKENS, MAX_SHARDS = 1_000_000, 65_536
 #: Words counted before a task hands over what it has.
 FLUSH = 400_000
 #: The end token; white space can't be part of a word.
@@ -148,39 +151,56 @@ class Trainer:
         self.seen += n
 
 
-def train(docs: DataFrame, head: dict[bytes, int], bias: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """Average of the partitions' replicas after one epoch over all training documents."""
+def train(docs: DataFrame, head: dict[bytes, int], bias: np.ndarray, noise: np.ndarray, shards: int) -> np.ndarray:
+    """Average of the shards' replicas after one epoch over all training documents."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(head)
     size = len(Params.start(bias).flat())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = {w: 0 if w == END else 1 + r for w, r in sent.value.items() if r < OWN}
-        trainer = Trainer(Params.start(bias), noise, TaskContext.get().partitionId())
-        held: list[np.ndarray] = []
+        for batch in batches:
+            for lo in range(0, len(batch), 500):
+                part = batch.iloc[lo : lo + 500]
+                cells = [np.array([own[w] if w in own else hashed_cell(w) for w in tokens(t)], dtype="<u2").tobytes() for t in part["text"]]
+                yield pd.DataFrame({"shard": part["shard"], "order": part["order"], "cells": cells})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, trainer, held, waiting = None, None, [], 0
 
-        def learn(cells: np.ndarray) -> None:
+        def learn() -> None:
+            cells = np.concatenate(held).astype(np.int64)
             w1, w2 = contexts(cells, np.flatnonzero(cells == 0))
             order = trainer.rng.permutation(len(cells))
             for lo in range(0, len(cells), BATCH):
                 at = order[lo : lo + BATCH]
                 trainer.step(cells[at], w1[at], w2[at])
 
-        waiting = 0
+        def replica() -> pd.DataFrame:
+            flat = trainer.p.flat().astype(np.float64) * trainer.seen
+            return pd.DataFrame({"at": np.arange(0, size, 1024), "n": trainer.seen, "part": [flat[i : i + 1024].tolist() for i in range(0, size, 1024)]})
+
         for batch in batches:
-            for text in batch["text"]:
-                held.append(np.array([own[w] if w in own else hashed_cell(w) for w in tokens(text)], dtype=np.int64))
+            for own, raw in zip(batch["shard"], batch["cells"], strict=True):
+                if own != shard:
+                    if held:
+                        learn()
+                    if trainer is not None:
+                        yield replica()
+                    shard, trainer, held, waiting = own, Trainer(Params.start(bias), noise, own), [], 0
+                held.append(np.frombuffer(raw, "<u2"))
                 waiting += len(held[-1])
                 if waiting > 1 << 18:
-                    learn(np.concatenate(held))
+                    learn()
                     held, waiting = [], 0
         if held:
-            learn(np.concatenate(held))
-        if trainer.seen:
-            flat = trainer.p.flat().astype(np.float64) * trainer.seen
-            yield pd.DataFrame({"at": np.arange(0, size, 1024), "n": trainer.seen, "part": [flat[i : i + 1024].tolist() for i in range(0, size, 1024)]})
+            learn()
+        if trainer is not None:
+            yield replica()
 
-    parts = docs.select("text").mapInPandas(run, "at int, n long, part array<double>")
+    dealt = docs.select("text", F.xxhash64("doc_id", "text").alias("order")).withColumn("shard", F.pmod("order", F.lit(shards)).cast("int"))
+    coded = dealt.mapInPandas(code, "shard int, order long, cells binary").repartition(shards, "shard").sortWithinPartitions("shard", "order")
+    parts = coded.mapInPandas(run, "at int, n long, part array<double>")
     values = parts.select("at", "n", F.posexplode("part").alias("i", "x")).groupBy("at", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
     rows = values.select((F.col("at") + F.col("i")).alias("at"), (F.col("x") / F.col("n")).alias("x")).toPandas()
     sent.unpersist()
@@ -222,7 +242,7 @@ def lm_score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, he
         n_cell[hashed_cell(w)] -= head_c[w]
         v_cell[hashed_cell(w)] -= 1
     share = (n_cell + v_cell + 1) / (n_cell + v_cell + 1).sum()
-    flat = train(training, ranks, np.log(share), share)
+    flat = train(training, ranks, np.log(share), share, max(1, min(MAX_SHARDS, -(-total // SHARD_TOKENS))))
     floor = float(np.log10(total + 1.0 * (distinct + 1)))
     log_cell = np.log10(n_cell + v_cell + 1)
     sent = spark.sparkContext.broadcast((head_c, ranks, flat.astype(np.float32)))

@@ -2,7 +2,8 @@
 
 1. Each text gets a fingerprint; equal fingerprints become one class, so copies never multiply.
 2. Fingerprints within `radius` differing bits agree on at least blocks - radius of `blocks` bit
-   blocks; each combination of that many blocks is a bucket key. No all-pairs step exists.
+   blocks; each combination of that many blocks is a bucket key. There are so many blocks that a key
+   has log2(n) bits or more for n distinct fingerprints, so buckets stay small at any n.
 3. In a bucket, a table of Hamming distances to `pivots` reference fingerprints discards pairs
    whose distances to some pivot differ by more than radius (triangle inequality); survivors are
    verified by xor and bit count. A bucket's links leave as a spanning forest.
@@ -18,6 +19,7 @@ their component. Repeated rows repeat. Empty tables give empty results; extra co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -63,6 +65,14 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, "doc_id long, text_hash long, fp long")
 
 
+def blocks_for(n: int, radius: int) -> int:
+    """The least number of blocks whose keys have log2(n) bits."""
+    blocks = radius + 2
+    while BITS * (blocks - radius) // blocks < math.log2(max(2, n)):
+        blocks += 1
+    return blocks
+
+
 def block_masks(blocks: int, radius: int) -> list[int]:
     """Masks of every combination of blocks on which a pair within radius must agree somewhere."""
     cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
@@ -98,7 +108,9 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
             if not len(left):
                 break
         left = left[np.bitwise_count(fps[left] ^ fps[left + shift]) <= radius]
-        for i in left.tolist():
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        for i in left[parent[left] != parent[left + shift]].tolist():
             x, y = _root(parent, i), _root(parent, i + shift)
             if x != y:
                 parent[max(x, y)] = min(x, y)
@@ -167,16 +179,17 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4, blocks: int = 6, block_rows: int = 4096) -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4, blocks: int | None = None, block_rows: int = 4096) -> DataFrame:
     """doc_id, text_hash, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
     marked = common.materialize(fingerprints(docs, width), "fingerprints")
     classes = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    blocks = blocks or blocks_for(classes.count(), radius)
     tree = components(common.materialize(links(classes, radius, blocks, block_rows), "links"))
     rooted = common.materialize(classes.join(tree, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     ids = common.materialize(ids, "component-ids")
-    of_class = common.materialize(rooted.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id"), "class-components")
-    return marked.join(of_class, F.col("fp") == F.col("f")).select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_class = common.materialize(common.join_hot(rooted, ids, "root", "r").select(F.col("fp").alias("f"), "component_id"), "class-components")
+    return common.join_hot(marked, of_class, "fp", "f").select("doc_id", "text_hash", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -188,7 +201,8 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     stay = found.groupBy(*name).agg(F.min(rank).alias("r")).select(F.coalesce("r.doc_id", F.lit(-(2**63))).alias("stay_id"), F.col("r.text_hash").alias("stay_hash"))
     own_id, own_hash = F.coalesce(docs["doc_id"], F.lit(-(2**63))), F.xxhash64(docs["text"])
     kept = docs.withColumns({"__id": own_id, "__hash": own_hash}).join(stay, (F.col("__id") == F.col("stay_id")) & (F.col("__hash") == F.col("stay_hash")), "left_semi")
-    return kept.dropDuplicates(["__id", "__hash"]).select(*docs.columns)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.groupBy("__id", "__hash").agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:
