@@ -41,12 +41,97 @@ def test_kernel_is_exact(table, merges):
     assert bpe.train_kernel(words, [table[w] for w in words], letters, merges) == slow_train(words, [table[w] for w in words], letters, merges)
 
 
+def test_kernel_at_length():
+    """Hundreds of merges on random words, runs of one letter among them."""
+    rng = random.Random(8)
+    table = {"".join(rng.choice("aaab" if i % 3 else "abcdefgh") for _ in range(rng.randint(1, 14))): rng.randint(1, 30) for i in range(150)}
+    words = sorted(table)
+    letters = sorted({"z", *"".join(words)})
+    counts = [table[w] for w in words]
+    assert bpe.train_kernel(words, counts, letters, 400) == slow_train(words, counts, letters, 400)
+    assert bpe.train_kernel([], [], [], 5) == [] and bpe.train_kernel(["a", ""], [1, 1], ["a"], 5) == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.dictionaries(st.text("abcdefgh", min_size=1, max_size=9), st.integers(1, 30), min_size=1, max_size=25), st.integers(1, 25), st.sampled_from([2, 3, 5, 1000]))
+def test_batches_are_the_next_merges(table, merges, top):
+    """Batches from the most frequent pairs, as the distributed trainer takes them, give the same merges."""
+    words = sorted(table)
+    counts, letters = [table[w] for w in words], sorted(set("".join(words)))
+    ids, split, out = {c: i for i, c in enumerate(letters)}, [list(w) for w in words], []
+    while len(out) < merges:
+        total = {}
+        for s, n in zip(split, counts, strict=True):
+            for p in zip(s, s[1:], strict=False):
+                total[p] = total.get(p, 0) + n
+        if not total:
+            break
+        rows = [(*p, n) for p, n in sorted(total.items(), key=lambda r: -r[1])[:top]]
+        floor = rows[-1][2] if len(rows) == top else 0
+        if floor == rows[0][2]:
+            rows = [(*min((p for p in total if total[p] == floor), key=lambda p: (ids[p[0]], ids[p[1]])), floor)]
+        pairs = bpe.batch_of(sorted(rows, key=lambda r: (-r[2], ids[r[0]], ids[r[1]])), floor, merges - len(out))
+        for a, b in pairs:
+            ids.setdefault(a + b, len(ids))
+        out += pairs
+        for k, s in enumerate(split):
+            t = []
+            for x in s:
+                if t and (t[-1], x) in pairs:
+                    t[-1] += x
+                else:
+                    t.append(x)
+            split[k] = t
+    assert out == slow_train(words, counts, letters, merges)
+
+
 def test_distributed_training_is_the_same(spark):
     rng = random.Random(3)
-    rows = [("x", "".join(rng.choice("abca") for _ in range(rng.randint(1, 7))), rng.randint(1, 5)) for _ in range(40)]
+    rows = [("x", "".join(rng.choice("abca\x01\x02") for _ in range(rng.randint(1, 7))), rng.randint(1, 5)) for _ in range(40)]
     freq = spark.createDataFrame(rows, "lang string, piece string, n long").groupBy("lang", "piece").agg(F.sum("n").alias("n"))
-    one, two = bpe.train(freq, 6), bpe.train(freq, 6, kernel_words=1)
+    one, two = bpe.train(freq, {"x": 6}), bpe.train(freq, 6, kernel_words=1)
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    table = {r["piece"]: r["n"] for r in freq.collect()}
+    letters = sorted(set("".join(table)))
+    assert [(r["left"], r["right"]) for r in one.orderBy("rank").collect()] == slow_train(list(table), list(table.values()), letters, 6)
+    assert bpe.train_distributed(freq, letters, 6, top=2) == slow_train(list(table), list(table.values()), letters, 6)
+
+
+def test_in_place_encoding(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "GENERATION", 2)  # forgets all the time
+    merges = {"en": [("a", "b"), ("ab", "c")], "*": [("b", "c")]}
+    docs = spark.createDataFrame([(1, "en", "abc▁ab▁abc▁x▁abc"), (2, "de", "abc"), (3, "en", ""), (4, "en", None)], "doc_id long, lang string, text string")
+    pieces = F.split("text", "▁")
+    rows = sorted((r["doc_id"], r["at"], r["tokens"]) for r in bpe.encode_texts(docs, pieces, merges).collect())
+    assert rows == [(1, 0, ["abc"]), (1, 1, ["ab"]), (1, 2, ["abc"]), (1, 3, ["x"]), (1, 4, ["abc"]), (2, 0, ["a", "bc"]), (3, 0, [])]
+    counted = {r["lang"]: (r["tokens"], r["unknown"]) for r in bpe.count_tokens(docs, pieces, merges, {"en": set("abc")}).collect()}
+    assert counted == {"en": (5, 1), "de": (3, 3)}
+
+
+def test_recoder_counts_like_encoding():
+    rng = random.Random(4)
+    for _ in range(40):
+        words = [("".join(rng.choice("abc") for _ in range(rng.randint(1, 9))), rng.randint(1, 5)) for _ in range(6)]
+        merges = list({p for p in [("a", "b"), ("ab", "c"), ("b", "c"), ("a", "bc"), ("c", "a"), ("a", "a"), ("aa", "b")]})
+        recoder = bpe.Recoder(words, set(merges))
+        for _ in range(6):
+            order = rng.sample(merges, rng.randint(0, len(merges)))
+            ranks = {p: i for i, p in enumerate(order)}
+            assert recoder.count(ranks) == sum(n * len(bpe.encode_piece(w, ranks, None, "?")) for w, n in words)
+
+
+def test_weight_search(spark):
+    """The grid's gaps are those of interleaving and encoding by hand; the earliest of equals wins."""
+    table = {"x": [("abab", 3), ("abc", 1)], "y": [("cbc", 2), ("ccb", 2)]}
+    lists = {"x": [("a", "b"), ("ab", "ab"), ("ab", "c")], "y": [("c", "b"), ("cb", "c"), ("c", "cb")]}
+    freq = spark.createDataFrame([(k, w, n) for k, ws in table.items() for w, n in ws], "lang string, piece string, n long")
+    got = {r["combo"]: r for r in bpe.weight_search(freq, lists, ["x", "y"], ["a", "b", "c"], {"x": 4, "y": 4}, 8, range(1, 4), ("x", 1.0)).collect()}
+    for combo in range(9):
+        w = {"x": combo // 3 + 1, "y": combo % 3 + 1}
+        ids, merges = bpe.interleave(lists, ["x", "y"], ["a", "b", "c"], w, ["<unk>"], 8)
+        ranks = {p: i for i, p in enumerate(merges)}
+        fert = {k: sum(n * len(bpe.encode_piece(p, ranks, None, "?")) for p, n in ws) / 4 for k, ws in table.items()}
+        assert len(ids) == 8 and got[combo]["fertility"] == fert and got[combo]["weights"] == w and got[combo]["within"] == (fert["x"] <= 1.0)
 
 
 @settings(max_examples=60, deadline=None)

@@ -1,23 +1,30 @@
 """Byte-pair encoding over characters: word tables, training, interleaving, encoding.
 
 The only shuffle of a corpus is the word table. A language whose table has at most `kernel_words`
-rows trains in one task by an incremental kernel; a larger one trains by DataFrame steps, one
-aggregation over the distinct words a merge. Both give the same merges: the best pair has the
-largest count, then the smaller left id, then the smaller right id; ids number the specials, the
-sorted alphabet, then merges in order.
+rows trains in one task by an incremental kernel on arrays; a larger one trains by DataFrame steps,
+one aggregation over the distinct words for each batch of merges that can't influence each other.
+Both give the same merges: the best pair has the largest count, then the smaller left id, then the
+smaller right id; ids number the specials, the sorted alphabet, then merges in order.
+Texts are encoded in place: a worker remembers the pieces that it has met, within a bound.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verbaloom.memo import Remembered
+from verbaloom.storage import drop_materialized, materialize
+
 KERNEL_WORDS = 2_000_000
+#: Pairs that a distributed step brings to the driver, the pieces a worker remembers (a generation), and
+#: rows that it hands over at once.
+TOP_PAIRS, GENERATION, ROWS = 1000, 200_000, 20_000
 MERGES_SCHEMA = "lang string, rank int, left string, right string, token string"
 
 
@@ -40,94 +47,163 @@ def pair_counts(freq: DataFrame, syms: Column, *by: str) -> DataFrame:
     return rows.groupBy(*by, "p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
+class Symbols:
+    """Symbols of all words in one array, linked to their neighbours within a word."""
+
+    def __init__(self, words: list[str], counts: list[int], alphabet: list[str]):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        points, known = np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), np.array([ord(c) for c in alphabet], np.uint32)
+        order = np.argsort(known)
+        self.sym = order[np.searchsorted(known[order], points)].astype(np.int64)
+        self.weight = np.repeat(np.array(counts, np.int64), sizes)
+        self.before, self.after = np.arange(-1, len(points) - 1), np.arange(1, len(points) + 1)
+        full = sizes > 0
+        self.before[(ends - sizes)[full]] = -1
+        self.after[ends[full] - 1] = -1
+
+    def pairs(self, at: np.ndarray) -> np.ndarray:
+        """Keys of the pairs that start there; keys order as (left id, right id)."""
+        return self.sym[at] << 32 | self.sym[self.after[at]]
+
+    def places(self, candidates: np.ndarray, key: int) -> np.ndarray:
+        """Where the pair still stands, leftmost first without overlap."""
+        at = np.unique(candidates)
+        at = at[(self.sym[at] == key >> 32) & (self.after[at] >= 0)]
+        at = at[self.sym[self.after[at]] == key & 0xFFFFFFFF]
+        if key >> 32 == key & 0xFFFFFFFF and len(at):  # every second one of a run
+            number = np.arange(len(at))
+            first = np.maximum.accumulate(np.where(np.r_[True, at[1:] != self.after[at[:-1]]], number, 0))
+            at = at[(number - first) % 2 == 0]
+        return at
+
+    def merge(self, at: np.ndarray, new: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Merge the pairs at these places: pairs lost and gained by place, with weights."""
+        second, left = self.after[at], self.before[at]
+        lost = np.unique(np.concatenate([left[left >= 0], at, second[self.after[second] >= 0]]))
+        gone = self.pairs(lost)
+        right = self.after[second]
+        self.sym[at], self.sym[second], self.after[at] = new, -1, right
+        self.before[right[right >= 0]] = at[right >= 0]
+        left = self.before[at]
+        gained = np.unique(np.concatenate([left[left >= 0], at[right >= 0]]))
+        return gone, self.weight[lost], gained, self.weight[gained]
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of keys, distinct keys, and where each begins in the order."""
+    order = np.argsort(keys, kind="stable")
+    begin = np.flatnonzero(np.r_[True, keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return order, keys[order][begin], begin
+
+
 def train_kernel(words: list[str], counts: list[int], alphabet: list[str], merges: int) -> list[tuple[str, str]]:
-    """Up to `merges` merges; only words that hold the merged pair are touched."""
-    names = list(alphabet)
-    ids = {c: i for i, c in enumerate(names)}
-    split = [[ids[c] for c in w] for w in words]
-    total: dict[tuple[int, int], int] = defaultdict(int)
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, s in enumerate(split):
-        for pair in zip(s, s[1:], strict=False):
-            total[pair] += counts[k]
-            where[pair].add(k)
-    heap = [(-n, *pair) for pair, n in total.items()]
+    """Up to `merges` merges; only places of the merged pair are touched, all of them at once."""
+    names, ids = list(alphabet), {c: i for i, c in enumerate(alphabet)}
+    state = Symbols(words, counts, alphabet)
+    at = np.flatnonzero(state.after >= 0)
+    order, keys, begin = _groups(state.pairs(at))
+    total = dict(zip(keys.tolist(), np.add.reduceat(state.weight[at][order], begin).tolist() if len(begin) else [], strict=True))
+    where = {k: [x] for k, x in zip(keys.tolist(), np.split(at[order], begin[1:]), strict=False)}
+    heap = [(-n, k) for k, n in total.items()]
     heapq.heapify(heap)
     out: list[tuple[str, str]] = []
     while heap and len(out) < merges:
-        n, a, b = heapq.heappop(heap)
-        if total.get((a, b), 0) != -n or not n:
+        n, key = heapq.heappop(heap)
+        if total.get(key) != -n:
             continue
-        token = names[a] + names[b]
-        out.append((names[a], names[b]))
-        new = ids.setdefault(token, len(names))
+        left, right = names[key >> 32], names[key & 0xFFFFFFFF]
+        out.append((left, right))
+        new = ids.setdefault(left + right, len(names))
         if new == len(names):
-            names.append(token)
-        changed = set()
-        for k in where.pop((a, b)):
-            s, c = split[k], counts[k]
-            for pair in zip(s, s[1:], strict=False):
-                total[pair] -= c
-                changed.add(pair)
-            t, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
-                    t.append(new)
-                    i += 2
-                else:
-                    t.append(s[i])
-                    i += 1
-            split[k] = t
-            for pair in zip(t, t[1:], strict=False):
-                total[pair] += c
-                where[pair].add(k)
-                changed.add(pair)
-        total[(a, b)] = 0
-        for pair in changed:
-            if total[pair] > 0:
-                heapq.heappush(heap, (-total[pair], *pair))
+            names.append(left + right)
+        gone, lost, gained, weight = state.merge(state.places(np.concatenate(where.pop(key)), key), new)
+        fresh = state.pairs(gained)
+        order, keys, begin = _groups(np.concatenate([gone, fresh]))
+        change = np.add.reduceat(np.concatenate([-lost, weight])[order], begin)
+        for k, c in zip(keys.tolist(), change.tolist(), strict=True):
+            left_over = total.pop(k, 0) + c
+            if left_over > 0:
+                total[k] = left_over
+                if c:
+                    heapq.heappush(heap, (-left_over, k))
+        order, keys, begin = _groups(fresh)
+        for k, x in zip(keys.tolist(), np.split(gained[order], begin[1:]), strict=False):
+            where.setdefault(k, []).append(x)
     return out
 
 
-def train_distributed(freq: DataFrame, alphabet: list[str], merges: int) -> list[tuple[str, str]]:
-    """The same merges for word tables of any size, by one aggregation a merge."""
-    guard = lambda x: F.concat(F.lit("\x01"), x, F.lit("\x02"))
-    state = freq.select(F.array_join(F.transform(symbols(), guard), "").alias("s"), "n")
+def batch_of(rows: list[tuple[str, str, int]], floor: int, room: int) -> list[tuple[str, str]]:
+    """The first merges of rows (left, right, n; best first) that are next whatever the others of the batch
+    do: they share no symbol, and no pair that a merge creates can reach their count. Pairs that aren't listed
+    have at most `floor`."""
+    taken, used, bound = [], set(), 0
+    for k, (a, b, n) in enumerate(rows[: max(room, 0)]):
+        if k and (n <= max(bound, floor) or {a, b, a + b} & used):
+            break
+        taken.append((a, b))
+        used |= {a, b, a + b}
+        # (x, ab) occurs no more often than (x, a), and no more often than (a, b)
+        beside = max([m for x, y, m in rows if y == a or x == b], default=0)
+        bound = max(bound, min(n, max(beside, floor)))
+    return taken
+
+
+def merged(s: Column, pairs: list[tuple[str, str]]) -> Column:
+    """Symbols after merges that share none, leftmost first."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        hit = F.lit(False)
+        for a, b in pairs:
+            hit = hit | ((last == F.lit(a)) & (x == F.lit(b)))
+        return F.when(F.coalesce(hit, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, x)))).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(s, F.array().cast("array<string>"), step)
+
+
+def train_distributed(freq: DataFrame, alphabet: list[str], merges: int, top: int = TOP_PAIRS) -> list[tuple[str, str]]:
+    """The same merges for word tables of any size: one aggregation a batch, each state a table."""
     ids, out = {c: i for i, c in enumerate(alphabet)}, []
-    for step in range(merges):
-        syms = F.filter(F.split(F.translate("s", "\x01", ""), "\x02"), lambda x: x != "")
-        counted = pair_counts(state, syms)
-        top = counted.agg(F.max("n").alias("n")).first()["n"]
-        if not top:
+    state = materialize(freq.select(symbols().alias("s"), "n"), "bpe-state")
+    while len(out) < merges:
+        counted = pair_counts(state, F.col("s"))
+        rows = counted.orderBy(F.desc("n")).limit(top).collect()
+        if not rows:
             break
-        # ties of the largest count: few pairs
-        best = min(counted.filter(F.col("n") == top).select("left", "right").toLocalIterator(), key=lambda r: (ids[r["left"]], ids[r["right"]]))
-        a, b = best["left"], best["right"]
-        ids.setdefault(a + b, len(ids))
-        out.append((a, b))
-        state = state.withColumn("s", F.replace("s", F.lit(f"\x01{a}\x02\x01{b}\x02"), F.lit(f"\x01{a}{b}\x02")))
-        if step % 50 == 49 and freq.sparkSession.sparkContext.getCheckpointDir():
-            state = state.checkpoint()
+        floor = rows[-1]["n"] if len(rows) == top else 0
+        if floor == rows[0]["n"]:  # more ties of the best count than listed
+            rows = [min(counted.filter(F.col("n") == floor).toLocalIterator(), key=lambda r: (ids[r["left"]], ids[r["right"]]))]
+        ordered = sorted(((r["left"], r["right"], r["n"]) for r in rows), key=lambda r: (-r[2], ids[r[0]], ids[r[1]]))
+        pairs = batch_of(ordered, floor, merges - len(out))
+        for a, b in pairs:
+            ids.setdefault(a + b, len(ids))
+        out += pairs
+        new = materialize(state.select(merged(F.col("s"), pairs).alias("s"), "n"), "bpe-state")
+        drop_materialized(state)
+        state = new
+    drop_materialized(state)
     return out
 
 
-def train(freq: DataFrame, merges: int, kernel_words: int = KERNEL_WORDS) -> DataFrame:
-    """(lang, rank, left, right, token) for each lang of a word table (lang, piece, n)."""
+def train(freq: DataFrame, merges: int | dict[str, int], kernel_words: int = KERNEL_WORDS) -> DataFrame:
+    """(lang, rank, left, right, token) for each lang of a word table (lang, piece, n); merges: their number, or
+    one for each lang."""
     spark = freq.sparkSession
     sizes = {r["lang"]: r["n"] for r in freq.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     large = [k for k, n in sizes.items() if n > kernel_words]
+    limit = lambda lang: max(0, merges.get(lang, 0) if isinstance(merges, dict) else merges)
 
     def run(key: tuple[str], rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("piece")
         words = rows["piece"].tolist()
-        found = train_kernel(words, rows["n"].tolist(), sorted(set("".join(words))), merges)
+        found = train_kernel(words, rows["n"].tolist(), sorted(set("".join(words))), limit(key[0]))
         return pd.DataFrame([(key[0], i, a, b, a + b) for i, (a, b) in enumerate(found)], columns=["lang", "rank", "left", "right", "token"])
 
     out = freq.filter(~F.col("lang").isin(large)).groupBy("lang").applyInPandas(run, MERGES_SCHEMA)
     for lang in large:
         own = freq.filter(F.col("lang") == lang)
         letters = [r[0] for r in own.select(F.explode(F.array_distinct(symbols()))).distinct().collect()]
-        found = train_distributed(own, sorted(letters), merges)
+        found = train_distributed(own, sorted(letters), limit(lang))
         out = out.unionByName(spark.createDataFrame([(lang, i, a, b, a + b) for i, (a, b) in enumerate(found)], MERGES_SCHEMA))
     return out
 
@@ -166,19 +242,79 @@ def encode_piece(piece: str, ranks: dict[tuple[str, str], int], letters: set[str
     return s
 
 
+class Encoder:
+    """Tokens of pieces by language, remembered; lang "*" serves all."""
+
+    def __init__(self, merges: dict[str, list[tuple[str, str]]], letters: dict[str, set[str]] | None, unknown: str):
+        self.ranks = {k: {tuple(p): i for i, p in reversed(list(enumerate(m)))} for k, m in merges.items()}
+        self.letters, self.unknown, self.memo = letters, unknown, {k: Remembered(GENERATION) for k in {*self.ranks, "*"}}
+
+    def __call__(self, lang: str, pieces: list[str]) -> list[list[str]]:
+        lang = lang if lang in self.ranks else "*"
+        memo, ranks = self.memo[lang], self.ranks.get(lang, {})
+        letters = None if self.letters is None else self.letters.get(lang, set())
+        new = memo.missing(pieces)
+        found = memo.new
+        found.update((p, encode_piece(p, ranks, letters, self.unknown)) for p in new)
+        out = [found[p] for p in pieces]
+        for p in new:
+            if len(p) > 64:
+                del found[p]
+        return out
+
+
+def _sent(spark, merges, letters, unknown):
+    """The encoder's tables, at most a vocabulary a language, once to each worker."""
+    return spark.sparkContext.broadcast((merges, letters, unknown))
+
+
+def encode_texts(docs: DataFrame, pieces: Column, merges: dict[str, list[tuple[str, str]]], letters: dict[str, set[str]] | None = None, unknown: str = "<unk>") -> DataFrame:
+    """doc_id, lang, at, tokens: every piece of every text in its place, without a join or shuffle."""
+    sent = _sent(docs.sparkSession, merges, letters, unknown)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, rows = Encoder(*sent.value), []
+        for batch in batches:
+            for doc_id, lang, own in zip(batch["doc_id"], batch["lang"], batch["pieces"], strict=True):
+                rows += [(doc_id, lang, at, t) for at, t in enumerate(encode(lang, [] if own is None else list(own)))]
+                if len(rows) > ROWS:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    names = ["doc_id", "lang", "at", "tokens"]
+    return docs.select("doc_id", "lang", pieces.alias("pieces")).mapInPandas(run, "doc_id long, lang string, at int, tokens array<string>")
+
+
+def count_tokens(docs: DataFrame, pieces: Column, merges: dict[str, list[tuple[str, str]]], letters: dict[str, set[str]] | None = None, unknown: str = "<unk>") -> DataFrame:
+    """lang, tokens, unknown: numbers of tokens, in one pass; one row a language and task is shuffled."""
+    sent = _sent(docs.sparkSession, merges, letters, unknown)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode, total, odd = Encoder(*sent.value), {}, {}
+        for batch in batches:
+            for lang, own in zip(batch["lang"], batch["pieces"], strict=True):
+                tokens = encode(lang, [] if own is None else list(own))
+                total[lang] = total.get(lang, 0) + sum(map(len, tokens))
+                odd[lang] = odd.get(lang, 0) + (sum(t.count(unknown) for t in tokens) if letters is not None else 0)
+        if total:
+            yield pd.DataFrame({"lang": pd.Series(list(total), dtype=object), "tokens": list(total.values()), "unknown": [odd[k] for k in total]})
+
+    counted = docs.select("lang", pieces.alias("pieces")).mapInPandas(run, "lang string, tokens long, unknown long")
+    return counted.groupBy("lang").agg(F.sum("tokens").alias("tokens"), F.sum("unknown").alias("unknown"))
+
+
 def encode_pieces(freq: DataFrame, merges: dict[str, list[tuple[str, str]]], letters: dict[str, set[str]] | None = None, unknown: str = "<unk>") -> DataFrame:
-    """freq with `tokens`. Distinct pieces only: the result joins back on (lang, piece). merges and
-    letters by lang are at most a vocabulary each; lang "*" serves all."""
-    spark = freq.sparkSession
-    sent = spark.sparkContext.broadcast(({k: {tuple(p): i for i, p in reversed(list(enumerate(m)))} for k, m in merges.items()}, letters))
+    """A table of distinct pieces (lang, piece, ...) with `tokens`."""
+    sent = _sent(freq.sparkSession, merges, letters, unknown)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in freq.schema.fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranks, chars = sent.value
+        encode = Encoder(*sent.value)
         for batch in batches:
             langs = batch["lang"] if "lang" in batch else ["*"] * len(batch)
-            keys = [k if k in ranks else "*" for k in langs]
-            yield batch.assign(tokens=[encode_piece(p, ranks.get(k, {}), chars and chars.get(k, set()), unknown) for p, k in zip(batch["piece"], keys, strict=True)])
+            yield batch.assign(tokens=[encode(k, [p])[0] for p, k in zip(batch["piece"], langs, strict=True)])
 
     return freq.mapInPandas(run, f"{fields}, tokens array<string>")
 
@@ -204,17 +340,48 @@ def interleave(lists: dict[str, list[tuple[str, str]]], order: list[str], letter
     return ids, taken
 
 
-def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], order: list[str], letters: list[str], denominators: dict[str, int], size: int, choices: range, limit: tuple[str, float] | None = None, special: str = "<unk>", sample: int | None = None) -> DataFrame:
+class Recoder:
+    """Token counts of words under joint merge lists that differ in order only: what a word becomes
+    depends on the order of the merges whose token it holds, and few orders of those occur."""
+
+    def __init__(self, words: list[tuple[str, int]], merges: set[tuple[str, str]]):
+        self.words, self.memo = [], {}
+        known: dict[str, list[tuple[str, str]]] = {}
+        for a, b in merges:
+            known.setdefault(a + b, []).append((a, b))
+        for word, n in words:
+            parts = {word[i:j] for i in range(len(word)) for j in range(i + 2, len(word) + 1)}
+            self.words.append((word, n, sorted(p for t in parts for p in known.get(t, ()))))
+
+    def count(self, ranks: dict[tuple[str, str], int]) -> int:
+        total = 0
+        for k, (word, n, own) in enumerate(self.words):
+            order = (k, *(i for _, i in sorted((ranks[p], i) for i, p in enumerate(own) if p in ranks)))
+            size = self.memo.get(order)
+            if size is None:
+                size = self.memo[order] = len(encode_piece(word, {own[i]: r for r, i in enumerate(order[1:])}, None, ""))
+            total += n * size
+        if len(self.memo) > 1_000_000:
+            self.memo.clear()
+        return total
+
+
+def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], order: list[str], letters: list[str], denominators: dict[str, int], size: int, choices: range, limit: tuple[str, float] | None = None, special: str = "<unk>") -> DataFrame:
     """One row a weight combination in lexicographic order: combo, weights, gap, within (the limited
     language's fertility holds the limit). Combinations that can't fill the vocabulary are out.
     freq (lang, piece, n) is the capped corpus's word table: at most its cap of words a language."""
     spark = freq.sparkSession
-    table = {k: [(r["piece"], r["n"]) for r in freq.filter(F.col("lang") == k).collect()] for k in order}
+    table: dict[str, list[tuple[str, int]]] = {k: [] for k in order}
+    for r in freq.filter(F.col("lang").isin(order)).collect():
+        table[r["lang"]].append((r["piece"], r["n"]))
     sent = spark.sparkContext.broadcast((table, lists))
-    grid = spark.range(len(choices) ** len(order)).repartition(max(1, min(256, len(choices) ** len(order) // 8)))
+    grid = spark.range(len(choices) ** len(order))
+    grid = grid.repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, len(choices) ** len(order) // 8)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, own = sent.value
+        every = {p for m in own.values() for p in map(tuple, m)}
+        recoders = {k: Recoder(words[k], every) for k in order}
         for batch in batches:
             rows = []
             for combo in batch["id"].tolist():
@@ -225,7 +392,7 @@ def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], orde
                 if len(ids) < size:
                     continue
                 ranks = {p: i for i, p in enumerate(merges)}
-                fert = {k: sum(n * len(encode_piece(p, ranks, None, special)) for p, n in words[k]) / denominators[k] if denominators[k] else 0.0 for k in order}
+                fert = {k: recoders[k].count(ranks) / denominators[k] if denominators.get(k) else 0.0 for k in order}
                 rows.append((combo, {k: w[k] for k in order}, fert, max(fert.values()) - min(fert.values()), limit is None or fert[limit[0]] <= limit[1]))
             yield pd.DataFrame(rows, columns=["combo", "weights", "fertility", "gap", "within"])
 

@@ -1,25 +1,44 @@
-"""Queries on byte-pair encoding. Sizes are small so that each has a recursive SQL form; they are
-parameters of the operators."""
+"""Queries on byte-pair encoding.
+
+Each trains to the vocabulary sizes of the language table (jointly: JOINT_VOCAB entries) over whole
+tables. For those sizes SQL has no form that ends in useful time, so most queries come a second time
+as <name>_small, with MERGES merges a language and JOINT_MERGES joint ones, beside their recursive SQL:
+the same code with another number. Word tables and merges are written once a query; texts are
+encoded in place."""
 
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbaloom.functions import text as T
 from verbaloom.operators import bpe
 from verbaloom.operators import metrics as M
 from verbaloom.sources import tables
-from verbaloom.sources.tables import LANGUAGES, languages
+from verbaloom.sources.tables import DEFAULT_TRAIN_SIZE, LANGUAGES, languages
+from verbaloom.storage import materialize
 
-from .metric_queries import FREQ, freq
-from .text_queries import LANGS, QUERIES, SQL, UNITS, docs, norm, query
+from .metric_queries import FREQ, TARGET, freq
+from .text_queries import BASE, LANGS, POLICY, QUERIES, SQL, UNITS, WS_UNI, docs, norm, query
 
 __all__ = ["QUERIES", "SQL"]
 
 MERGES, JOINT_MERGES, ORDER = 12, 16, [k for k, *_ in LANGUAGES]
+#: Entries of the joint vocabulary, specials, the English limit of the search, weights tried.
+JOINT_VOCAB, UNK, JOINT_UNK, ENGLISH_LIMIT, CHOICES = 10_000, "<unk>", "[UNK]", 1.25, range(1, 9)
+
+
+class Sizes(NamedTuple):
+    """Merges a language and joint merges; None: what the vocabulary sizes leave behind special and alphabet."""
+
+    mono: int | None
+    joint: int | None
+
+
+FULL, SMALL = Sizes(None, None), Sizes(MERGES, JOINT_MERGES)
 _SPLIT = "string_split(s[2:-2], chr(2) || chr(1))"
 _WRAP = "chr(1) || array_to_string(list_filter(string_split(piece, ''), lambda c: c <> ''), chr(2) || chr(1)) || chr(2)"
 _LINES = f"(SELECT lang, unnest(regexp_extract_all(replace(line, ' ', '{T.MARK}'), '{T.MARK}[^{T.MARK}]*|[^{T.MARK}]+')) AS piece FROM (SELECT lang, unnest(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+')) AS line FROM documents))"
@@ -51,10 +70,36 @@ _JENC = f"{_JOINT}, jpieces AS (SELECT lang, piece, count(*) AS n FROM {_META} G
 _JRATIO = f"{_JENC}, units AS (SELECT lang, CAST(sum({UNITS}) AS BIGINT) AS denom FROM documents GROUP BY lang), ratios AS (SELECT lang, tokens, denom, tokens / denom AS ratio FROM (SELECT lang, CAST(sum(n * len(tokens)) AS BIGINT) AS tokens FROM jenc GROUP BY lang) JOIN units USING (lang))"
 
 
-def mono(s, d, merges: int = MERGES) -> tuple[DataFrame, DataFrame]:
+def both(name: str, sql: str, full_sql: str | None = None):
+    """A query at full size, and at small size with its SQL."""
+
+    def add(f):
+        query(name, full_sql)(lambda s, d: f(s, d, FULL))
+        query(f"{name}_small", sql)(lambda s, d: f(s, d, SMALL))
+        return f
+
+    return add
+
+
+def letters(s, d) -> DataFrame:
+    return bpe.alphabet(T.nfc_texts(docs(s, d).select("lang", "text")), "lang")
+
+
+def joint_letters(s, d) -> DataFrame:
+    """Characters of all texts with the space as its mark, under the language "*"."""
+    marked = docs(s, d).select(F.replace("text", F.lit(" "), F.lit(T.MARK)).alias("text"))
+    return bpe.alphabet(marked).select(F.lit("*").alias("lang"), "ch")
+
+
+def mono(s, d, size: Sizes, words: DataFrame | None = None, chars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The word table and the merges of each language (normalized, split at white space)."""
-    words = freq(s, d)
-    return words, bpe.train(words, merges)
+    words = materialize(freq(s, d), "word-table") if words is None else words
+    limit: int | dict[str, int] | None = size.mono
+    if limit is None:
+        known = {r["lang"]: r["n"] for r in (letters(s, d) if chars is None else chars).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+        wanted = {k: v or DEFAULT_TRAIN_SIZE for k, _, _, v in LANGUAGES}
+        limit = {k: wanted.get(k, DEFAULT_TRAIN_SIZE) - 1 - n for k, n in known.items()}
+    return words, materialize(bpe.train(words, limit), "merges")
 
 
 def merge_lists(merges: DataFrame) -> dict[str, list[tuple[str, str]]]:
@@ -65,66 +110,66 @@ def merge_lists(merges: DataFrame) -> dict[str, list[tuple[str, str]]]:
     return out
 
 
-def letters(s, d) -> DataFrame:
-    return bpe.alphabet(T.nfc_texts(docs(s, d).select("lang", "text")), "lang")
-
-
 def mono_vocab(s, d, merges: DataFrame) -> DataFrame:
-    return bpe.vocab(letters(s, d), merges, "<unk>")
+    return bpe.vocab(letters(s, d), merges, UNK)
 
 
-def joint(s, d, merges: int = JOINT_MERGES) -> DataFrame:
+def joint(s, d, size: Sizes) -> DataFrame:
     """Merges of all languages together: weighted counts, no normalization, line by line."""
     pieces = F.flatten(F.transform(T.lines_kept(F.col("text")), T.metaspace))
     words = bpe.weighted(bpe.word_freq(docs(s, d), pieces, "lang"), languages(s))
-    return bpe.train(words.withColumn("lang", F.lit("*")), merges)
+    words = materialize(words.withColumn("lang", F.lit("*")), "joint-words")
+    return materialize(bpe.train(words, JOINT_VOCAB - 1 - joint_letters(s, d).count() if size.joint is None else size.joint), "joint-merges")
 
 
-def joint_pieces(s, d) -> DataFrame:
-    return bpe.word_freq(docs(s, d), T.metaspace(F.col("text")), "lang")
+def joint_pieces() -> Column:
+    return T.metaspace(F.col("text"))
 
 
-def joint_encoded(s, d, lists=None) -> DataFrame:
-    """lang, piece, n, tokens over the distinct pieces of whole texts."""
-    return bpe.encode_pieces(joint_pieces(s, d), lists or merge_lists(joint(s, d)))
-
-
-def joint_ratios(s, d, lists=None) -> DataFrame:
-    tokens = joint_encoded(s, d, lists).groupBy("lang").agg(F.sum(F.col("n") * F.size("tokens")).alias("tokens"))
+def joint_ratios(s, d, lists) -> DataFrame:
+    tokens = bpe.count_tokens(docs(s, d), joint_pieces(), lists).select("lang", "tokens")
     denom = docs(s, d).groupBy("lang").agg(F.sum(T.faithful_units(F.col("text"))).alias("denom"))
     return M.fertility(tokens.join(denom, "lang"))
 
 
-def encoded_stream(s, d) -> DataFrame:
-    """doc_id, lang, at (piece), tokens: encoded pieces joined back to their places."""
-    lists = merge_lists(joint(s, d))
-    placed = docs(s, d).select("doc_id", "lang", F.posexplode(T.metaspace(F.col("text"))).alias("at", "piece"))
-    return placed.join(bpe.encode_pieces(joint_pieces(s, d), lists).select("lang", "piece", "tokens"), ["lang", "piece"])
+def encoded_stream(s, d, lists) -> DataFrame:
+    """doc_id, lang, at (piece), tokens: pieces encoded in their places."""
+    return bpe.encode_texts(docs(s, d), joint_pieces(), lists)
 
 
-query("bpe_train_mono", _MONO + " SELECT lang, CAST(rank AS INTEGER) AS rank, \"left\", \"right\", token FROM merges")(lambda s, d: mono(s, d)[1])
-query("bpe_train_joint", _JOINT + " SELECT CAST(rank AS INTEGER) AS rank, \"left\", \"right\", token FROM j_m")(lambda s, d: joint(s, d).drop("lang"))
-query("bpe_vocab", f"{_MONO}, {_VOCAB} SELECT lang, CAST(id AS INTEGER) AS id, token FROM vocab")(lambda s, d: mono_vocab(s, d, mono(s, d)[1]))
-query("vocab_by_id", f"{_MONO}, {_VOCAB} SELECT lang, list(token ORDER BY id) AS tokens FROM vocab GROUP BY lang")(
-    lambda s, d: mono_vocab(s, d, mono(s, d)[1]).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]).alias("tokens"))
+both("bpe_train_mono", _MONO + " SELECT lang, CAST(rank AS INTEGER) AS rank, \"left\", \"right\", token FROM merges")(lambda s, d, z: mono(s, d, z)[1])
+both("bpe_train_joint", _JOINT + " SELECT CAST(rank AS INTEGER) AS rank, \"left\", \"right\", token FROM j_m")(lambda s, d, z: joint(s, d, z).drop("lang"))
+both("bpe_vocab", f"{_MONO}, {_VOCAB} SELECT lang, CAST(id AS INTEGER) AS id, token FROM vocab")(lambda s, d, z: mono_vocab(s, d, mono(s, d, z)[1]))
+both("vocab_by_id", f"{_MONO}, {_VOCAB} SELECT lang, list(token ORDER BY id) AS tokens FROM vocab GROUP BY lang")(
+    lambda s, d, z: mono_vocab(s, d, mono(s, d, z)[1]).groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]).alias("tokens"))
 )
 
 
-def _mono_encoded(s, d) -> DataFrame:
-    words, merges = mono(s, d)
+@query("joint_vocab")
+def joint_vocab(s, d, size: Sizes = FULL):
+    """The joint vocabulary by id: the special, the alphabet, the merges."""
+    return bpe.vocab(joint_letters(s, d), joint(s, d, size), JOINT_UNK).select("id", "token")
+
+
+def _mono_encoded(s, d, size: Sizes) -> DataFrame:
+    words, merges = mono(s, d, size)
     return bpe.encode_pieces(words, merge_lists(merges))
 
 
-query("bpe_encode", _MONO + " SELECT lang, piece, n, tokens FROM encoded")(_mono_encoded)
-query("token_count", _MONO + " SELECT lang, CAST(sum(n * len(tokens)) AS BIGINT) AS tokens FROM encoded GROUP BY lang")(lambda s, d: _mono_encoded(s, d).groupBy("lang").agg(F.sum(F.col("n") * F.size("tokens")).alias("tokens")))
-query("bpe_fertility", _JRATIO + " SELECT * FROM ratios")(joint_ratios)
-query("bpe_balance_score", _JRATIO + " SELECT max(ratio) - min(ratio) AS spread, 1000 / nullif(max(ratio) - min(ratio), 0) AS score FROM ratios")(lambda s, d: M.balance(joint_ratios(s, d)))
-query("applicable_merges", f"{_MONO}, {_VOCAB} SELECT m.lang, CAST(m.rank AS INTEGER) AS rank, m.token FROM merges m WHERE m.lang <> 'en' AND m.left IN (SELECT token FROM vocab WHERE lang = 'en') AND m.right IN (SELECT token FROM vocab WHERE lang = 'en') AND m.token NOT IN (SELECT token FROM vocab WHERE lang = 'en')")(lambda s, d: _applicable(s, d))
+both("bpe_encode", _MONO + " SELECT lang, piece, n, tokens FROM encoded")(_mono_encoded)
+both("token_count", _MONO + " SELECT lang, CAST(sum(n * len(tokens)) AS BIGINT) AS tokens FROM encoded GROUP BY lang")(
+    lambda s, d, z: bpe.count_tokens(norm(s, d), T.pieces(F.col("text")), merge_lists(mono(s, d, z)[1])).select("lang", "tokens")
+)
+both("bpe_fertility", _JRATIO + " SELECT * FROM ratios")(lambda s, d, z: joint_ratios(s, d, merge_lists(joint(s, d, z))))
+both("bpe_balance_score", _JRATIO + " SELECT max(ratio) - min(ratio) AS spread, 1000 / nullif(max(ratio) - min(ratio), 0) AS score FROM ratios")(
+    lambda s, d, z: M.balance(joint_ratios(s, d, merge_lists(joint(s, d, z))))
+)
 
 
-def _applicable(s, d) -> DataFrame:
+@both("applicable_merges", f"{_MONO}, {_VOCAB} SELECT m.lang, CAST(m.rank AS INTEGER) AS rank, m.token FROM merges m WHERE m.lang <> 'en' AND m.left IN (SELECT token FROM vocab WHERE lang = 'en') AND m.right IN (SELECT token FROM vocab WHERE lang = 'en') AND m.token NOT IN (SELECT token FROM vocab WHERE lang = 'en')")
+def applicable_merges(s, d, size: Sizes):
     """Other languages' merges that the English vocabulary could take: parts known, token new."""
-    merges = mono(s, d)[1]
+    merges = mono(s, d, size)[1]
     known = mono_vocab(s, d, merges).filter("lang = 'en'").select(F.col("token").alias("known"))
     out = merges.filter("lang <> 'en'")
     for side in ("left", "right"):
@@ -132,110 +177,256 @@ def _applicable(s, d) -> DataFrame:
     return out.join(known, F.col("token") == F.col("known"), "left_anti").select("lang", "rank", "token")
 
 
-@query("bpe_decode", f"SELECT doc_id, replace(text, '{T.MARK}', ' ') AS text FROM documents")
-def bpe_decode(s, d):
-    """decode(encode(text)): the text itself but for literal marks."""
-    rows = encoded_stream(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("p"))
+_DECODED = f"(SELECT m.doc_id, replace(string_agg(array_to_string(p.tokens, ''), '' ORDER BY m.at), '{T.MARK}', ' ') AS text FROM {_META} m JOIN jenc p ON m.lang = p.lang AND m.piece = p.piece GROUP BY m.doc_id)"
+
+
+def decoded(s, d, lists) -> DataFrame:
+    """doc_id and the decoded tokens of its text; a text without pieces has no row."""
+    rows = encoded_stream(s, d, lists).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("p"))
     return rows.select("doc_id", T.decode_metaspace(F.flatten(F.transform("p", lambda x: x["tokens"]))).alias("text"))
 
 
-@query("roundtrip_check", "SELECT doc_id, true AS preserved FROM documents")
-def roundtrip_check(s, d):
+# at full size the text itself is what decoding has to give
+both("bpe_decode", f"{_JENC} SELECT * FROM {_DECODED}", f"SELECT doc_id, replace(text, '{T.MARK}', ' ') AS text FROM documents")(lambda s, d, z: decoded(s, d, merge_lists(joint(s, d, z))))
+
+
+@both("roundtrip_check", f"{_JENC} SELECT d.doc_id, regexp_replace(x.text, '{WS_UNI}', '', 'g') = regexp_replace(d.text, '{WS_UNI}', '', 'g') AS preserved FROM documents d JOIN {_DECODED} x ON x.doc_id = d.doc_id", "SELECT doc_id, true AS preserved FROM documents")
+def roundtrip_check(s, d, size: Sizes):
+    return preserved(s, d, merge_lists(joint(s, d, size)))
+
+
+def preserved(s, d, lists) -> DataFrame:
     texts = docs(s, d).select("doc_id", "text")
-    return bpe_decode(s, d).withColumnRenamed("text", "decoded").join(texts, "doc_id").select("doc_id", (T.visible(F.col("decoded")) == T.visible(F.col("text"))).alias("preserved"))
+    return decoded(s, d, lists).withColumnRenamed("text", "decoded").join(texts, "doc_id").select("doc_id", (T.visible(F.col("decoded")) == T.visible(F.col("text"))).alias("preserved"))
 
 
-@query("unk_count", "SELECT lang, CAST(0 AS BIGINT) AS unknown FROM documents GROUP BY lang")
-def unk_count(s, d):
-    known = letters(s, d).groupBy("lang").agg(F.collect_set("ch").alias("c"))
-    chars = {r["lang"]: set(r["c"]) for r in known.collect()}  # an alphabet a language
-    words, merges = mono(s, d)
-    enc = bpe.encode_pieces(words, merge_lists(merges), chars)
-    return enc.groupBy("lang").agg(F.sum(F.col("n") * F.size(F.filter("tokens", lambda t: t == "<unk>"))).alias("unknown"))
+def _unknown(s, d, size: Sizes, known: DataFrame) -> DataFrame:
+    """Unknown tokens by language under an alphabet a language (lang, ch)."""
+    chars = {r["lang"]: set(r["c"]) for r in known.groupBy("lang").agg(F.collect_set("ch").alias("c")).collect()}
+    lists = merge_lists(mono(s, d, size)[1])
+    return bpe.count_tokens(norm(s, d), T.pieces(F.col("text")), lists, {k: chars.get(k, set()) for k in {*lists, *chars}}, UNK).select("lang", "unknown")
 
 
-@query("token_stream", f"{_JENC} SELECT m.doc_id, m.lang, m.at, p.tokens FROM {_META} m JOIN jenc p ON m.lang = p.lang AND m.piece = p.piece")
-def token_stream(s, d):
-    return encoded_stream(s, d).select("doc_id", "lang", "at", "tokens")
+query("unk_count", "SELECT lang, CAST(0 AS BIGINT) AS unknown FROM documents GROUP BY lang")(lambda s, d: _unknown(s, d, FULL, letters(s, d)))
 
 
-@query("vocab_stats", f"{_MONO}, {_VOCAB} SELECT lang, (SELECT count(*) FROM merges m WHERE m.lang = v.lang) AS merges, count(*) AS tokens, count(*) FILTER (token IN (SELECT token FROM vocab GROUP BY token HAVING count(DISTINCT lang) = 4)) AS shared FROM vocab v GROUP BY lang")
-def vocab_stats(s, d):
-    merges = mono(s, d)[1]
-    table = mono_vocab(s, d, merges)
+@query("unk_count_foreign", f"WITH {FREQ}, en AS (SELECT DISTINCT unnest(string_split(text, '')) AS ch FROM (SELECT nfc_normalize(text) AS text FROM documents WHERE lang = 'en')), c AS (SELECT lang, n, unnest(list_filter(string_split(piece, ''), lambda c: c <> '')) AS ch FROM freq) SELECT lang, CAST(sum(CASE WHEN ch IN (SELECT ch FROM en) THEN 0 ELSE n END) AS BIGINT) AS unknown FROM c GROUP BY lang")
+def unk_count_foreign(s, d):
+    """Unknown tokens when every language has the English alphabet: one for each other character."""
+    english = letters(s, d).filter("lang = 'en'").select("ch")
+    return _unknown(s, d, SMALL, english.crossJoin(languages(s).select("lang")))  # a character set times four
+
+
+both("token_stream", f"{_JENC} SELECT m.doc_id, m.lang, m.at, p.tokens FROM {_META} m JOIN jenc p ON m.lang = p.lang AND m.piece = p.piece")(
+    lambda s, d, z: encoded_stream(s, d, merge_lists(joint(s, d, z))).select("doc_id", "lang", "at", "tokens")
+)
+
+
+@both("vocab_stats", f"{_MONO}, {_VOCAB} SELECT lang, (SELECT count(*) FROM merges m WHERE m.lang = v.lang) AS merges, count(*) AS tokens, count(*) FILTER (token IN (SELECT token FROM vocab GROUP BY token HAVING count(DISTINCT lang) = 4)) AS shared FROM vocab v GROUP BY lang")
+def vocab_stats(s, d, size: Sizes):
+    merges = mono(s, d, size)[1]
+    table = materialize(mono_vocab(s, d, merges), "vocab")
     shared = M.overlap(table, len(ORDER)).withColumn("hit", F.lit(1))
     sums = table.join(shared, "token", "left").groupBy("lang").agg(F.count("*").alias("tokens"), F.count("hit").alias("shared"))
     return sums.join(merges.groupBy("lang").agg(F.count("*").alias("merges")), "lang").select("lang", "merges", "tokens", "shared")
 
 
-@query("metrics_report", f"{_JRATIO} SELECT (SELECT count(*) FROM j_m) AS merges, max(ratio) - min(ratio) AS spread, 1000 / nullif(max(ratio) - min(ratio), 0) AS score, string_agg(lang || ':' || tokens || ':' || denom, ',' ORDER BY lang) AS languages FROM ratios")
-def metrics_report(s, d):
-    lists = merge_lists(joint(s, d))
+@both("metrics_report", f"{_JRATIO} SELECT (SELECT count(*) FROM j_m) AS merges, max(ratio) - min(ratio) AS spread, 1000 / nullif(max(ratio) - min(ratio), 0) AS score, string_agg(lang || ':' || tokens || ':' || denom, ',' ORDER BY lang) AS languages FROM ratios")
+def metrics_report(s, d, size: Sizes):
+    lists = merge_lists(joint(s, d, size))
     row = F.concat_ws(":", "lang", F.col("tokens").cast("string"), F.col("denom").cast("string"))
     out = joint_ratios(s, d, lists).agg((F.max("ratio") - F.min("ratio")).alias("spread"), F.array_join(F.array_sort(F.collect_list(row)), ",").alias("languages"))
-    return out.select(F.lit(len(lists["*"])).cast("long").alias("merges"), "spread", (1000 / F.nullif("spread", F.lit(0.0))).alias("score"), "languages")
+    return out.select(F.lit(len(lists.get("*", []))).cast("long").alias("merges"), "spread", (1000 / F.nullif("spread", F.lit(0.0))).alias("score"), "languages")
+
+
+# measures on monolingual vocabularies ------------------------------------------------------------
+
+
+def joint_words(s, d, size: Sizes) -> tuple[DataFrame, DataFrame]:
+    """Tokens of the words of each language in the vocabulary that its neighbours' merges make:
+    (lang, token, n) of the stream encoded by the merges of all languages in turn, and the mono vocabularies."""
+    words, merges = mono(s, d, size)
+    lists = merge_lists(merges)
+    chars = sorted({r["ch"] for r in letters(s, d).select("ch").distinct().collect()})
+    weights = {k: w for k, _, w, _ in LANGUAGES}
+    total = JOINT_VOCAB if size.mono is None else 1 + len(chars) + 2 * size.mono
+    _, taken = bpe.interleave({k: lists.get(k, []) for k in ORDER}, ORDER, chars, weights, [UNK], total)
+    stream = bpe.encode_pieces(words, {"*": taken}).select("lang", "n", F.explode("tokens").alias("token")).groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    return stream, materialize(mono_vocab(s, d, merges), "vocab")
+
+
+@query("bpe_own_borrowed")
+def bpe_own_borrowed(s, d, size: Sizes = FULL):
+    """Tokens of the interleaved tokenizer's stream in and outside of the language's own vocabulary."""
+    stream, own = joint_words(s, d, size)
+    return M.own_borrowed(stream, own)
+
+
+both("bpe_vocab_overlap", f"{_MONO}, {_VOCAB} SELECT token FROM vocab GROUP BY token HAVING count(DISTINCT lang) = 4")(lambda s, d, z: M.overlap(mono_vocab(s, d, mono(s, d, z)[1]), len(ORDER)))
+both("bpe_exclusive_tokens", f"{_MONO}, {_VOCAB} SELECT token FROM vocab WHERE lang = 'en' EXCEPT SELECT token FROM vocab WHERE lang <> 'en'")(lambda s, d, z: _exclusive(mono_vocab(s, d, mono(s, d, z)[1])))
+both("bpe_vocab_shared", f"{_MONO}, {_VOCAB} SELECT a.lang AS lang, b.lang AS other, count(*) AS n FROM vocab a JOIN vocab b ON a.token = b.token AND a.lang < b.lang GROUP BY ALL")(lambda s, d, z: _shared(mono_vocab(s, d, mono(s, d, z)[1])))
+
+
+def _exclusive(vocab: DataFrame) -> DataFrame:
+    return vocab.filter("lang = 'en'").select("token").join(vocab.filter("lang <> 'en'").select(F.col("token").alias("t")), F.col("token") == F.col("t"), "left_anti")
+
+
+def _shared(vocab: DataFrame) -> DataFrame:
+    """Tokens that two languages' vocabularies share, for each pair of languages."""
+    langs = vocab.groupBy("token").agg(F.array_sort(F.collect_set("lang")).alias("ls"))
+    first = langs.select("ls", F.posexplode("ls").alias("i", "lang"))
+    return first.select("lang", F.explode(F.slice("ls", F.col("i") + 2, F.size("ls"))).alias("other")).groupBy("lang", "other").agg(F.count("*").alias("n"))
 
 
 # by kernels that SQL has no form for -------------------------------------------------------------
 
 
-def _interleaved(s, d, weights: dict[str, int], merges: int = 60, extra: int = 120):
-    lists = merge_lists(mono(s, d, merges)[1])
+def _interleaved(s, d, size: Sizes, weights: dict[str, int]) -> tuple[dict[str, int], list[tuple[str, str]], DataFrame]:
+    merges = mono(s, d, size)[1]
+    lists = merge_lists(merges)
     chars = sorted(r[0] for r in letters(s, d).select("ch").distinct().collect())
-    return bpe.interleave(lists, ORDER, chars, weights, ["<unk>"], 1 + len(chars) + extra)
+    total = JOINT_VOCAB if size.mono is None else 1 + len(chars) + 2 * size.mono
+    return *bpe.interleave({k: lists.get(k, []) for k in ORDER}, ORDER, chars, weights, [UNK], total), merges
 
 
 @query("bpe_interleave")
-def bpe_interleave(s, d):
-    ids, _ = _interleaved(s, d, {k: w for k, _, w, _ in LANGUAGES})
+def bpe_interleave(s, d, size: Sizes = FULL):
+    ids, *_ = _interleaved(s, d, size, {k: w for k, _, w, _ in LANGUAGES})
     return s.createDataFrame(sorted((i, t) for t, i in ids.items()), "id int, token string")
 
 
+@query("bpe_vocab_allocation")
+def bpe_vocab_allocation(s, d, size: Sizes = FULL):
+    """Entries of the interleaved vocabulary that each language's own has too."""
+    ids, _, merges = _interleaved(s, d, size, {k: w for k, _, w, _ in LANGUAGES})
+    return M.allocation(mono_vocab(s, d, merges), s.createDataFrame([(t,) for t in ids], "token string"))
+
+
 def capped_freq(s, d) -> DataFrame:
     """Word table of the first 3,000 words a language (see capped_corpus)."""
     first = norm(s, d).select("lang", "doc_id", F.posexplode(F.slice(T.pieces(F.col("text")), 1, T.WORD_CAP)).alias("pos", "piece"))
-    from pyspark.sql import Window
-
     r = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "pos"))
     return first.withColumn("r", r).filter(F.col("r") <= T.WORD_CAP).groupBy("lang", "piece").agg(F.count("*").alias("n"))
 
 
-def candidates(s, d, choices: range, merges: int = 60, extra: int = 120) -> DataFrame:
-    words = capped_freq(s, d).cache()
-    lists = merge_lists(bpe.train(words, merges))
+class Capped(NamedTuple):
+    """What the search and its report share; all bounded by the cap of words a language."""
+
+    words: DataFrame
+    lists: dict[str, list[tuple[str, str]]]
+    denominators: dict[str, int]
+    chars: list[str]
+    size: int
+
+
+def capped(s, d, size: Sizes = FULL) -> Capped:
+    words = materialize(capped_freq(s, d), "capped-words")
+    chars = words.select("lang", F.explode(F.array_distinct(bpe.symbols())).alias("ch")).distinct()
+    # the space belongs to an article's alphabet, though no word holds it
+    chars = materialize(chars.unionByName(chars.select("lang").distinct().withColumn("ch", F.lit(" "))), "capped-letters")
+    lists = merge_lists(mono(s, d, size, words, chars)[1])
     stripped = words.withColumn("w", T.strip_edges(F.col("piece"))).filter("w <> ''").groupBy("lang").agg(F.sum("n").alias("n"))
-    denominators = {r["lang"]: r["n"] for r in stripped.collect()}
-    chars = sorted({c for r in words.select(F.explode(F.array_distinct(bpe.symbols()))).distinct().collect() for c in r[0]})
-    return bpe.weight_search(words, lists, ORDER, chars, denominators, 1 + len(chars) + extra, choices, ("en", 3.4))
+    known = sorted({r["ch"] for r in chars.select("ch").distinct().collect()})
+    total = JOINT_VOCAB if size.mono is None else 1 + len(known) + 2 * size.mono
+    return Capped(words, {k: lists.get(k, []) for k in ORDER}, {r["lang"]: r["n"] for r in stripped.collect()}, known, total)
+
+
+def candidates(c: Capped, choices: range) -> DataFrame:
+    return bpe.weight_search(c.words, c.lists, ORDER, c.chars, c.denominators, c.size, choices, ("en", ENGLISH_LIMIT))
+
+
+query("weight_search")(lambda s, d: bpe.best_weights(candidates(capped(s, d), CHOICES)))
+query("equal_weight_gap")(lambda s, d: candidates(capped(s, d), range(1, 2)).select("combo", "gap"))
+
+
+def _top(stream: DataFrame) -> DataFrame:
+    """lang, top_tokens: the 30 most frequent tokens with counts, in order."""
+    top = M.top_tokens(stream, 30).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "token", "n"))).alias("t"))
+    return top.select("lang", F.transform("t", lambda x: F.struct(x["token"].alias("token"), x["n"].alias("count"))).alias("top_tokens"))
+
+
+def _samples(rows: DataFrame, pieces, lists) -> DataFrame:
+    """lang, sample: a sentence a language (lang, text) and its tokens."""
+    numbered = rows.select(F.lit(0).cast("long").alias("doc_id"), "lang", "text")
+    coded = bpe.encode_texts(numbered, pieces, lists).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "tokens"))).alias("p"))
+    coded = coded.select("lang", F.flatten(F.transform("p", lambda x: x["tokens"])).alias("tokens"))
+    return rows.join(coded, "lang", "left").select("lang", F.struct(F.col("text").alias("original"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens")).alias("sample_tokenized_sentence"))
 
 
-query("weight_search")(lambda s, d: bpe.best_weights(candidates(s, d, range(1, 3))))
-query("equal_weight_gap")(lambda s, d: candidates(s, d, range(1, 2)).select("combo", "gap"))
+def _scoring(digits: int):
+    """sorted_ratios and rounded extremes of rows (ratio, name)."""
+    r = F.round("ratio", digits)
+    return [F.array_sort(F.collect_list(F.struct(r.alias("ratio"), F.col("name").alias("lang")))).alias("sorted_ratios"), F.max(r).alias("max_ratio"), F.min(r).alias("min_ratio"), F.round(F.max(r) - F.min(r), digits).alias("delta")]
 
 
 @query("report_json")
-def report_json(s, d):
-    """The nested report as one JSON text: languages, vocabulary, scoring, round trip."""
-    lists = merge_lists(joint(s, d))
-    ratios = joint_ratios(s, d, lists).join(F.broadcast(languages(s)), "lang")
-    top = M.top_tokens(encoded_stream(s, d).select("lang", F.struct("doc_id", "at").alias("at"), F.explode("tokens").alias("token")), 30)
-    top = top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "token", "n"))), lambda x: F.struct(x["token"].alias("token"), x["n"].alias("count"))).alias("top_tokens"))
-    line = docs(s, d).groupBy("lang").agg(F.min_by(T.sample_line(F.col("text")), "doc_id").alias("sample"))
-    rows = ratios.join(top, "lang").join(line, "lang")
-    each = F.struct("ord", "lang", "name", "weight", F.col("denom").alias("faithful_units"), F.col("tokens").alias("token_count"), F.round("ratio", 6).alias("ratio"), "top_tokens", "sample")
-    spread = F.round(F.max(F.round("ratio", 6)) - F.min(F.round("ratio", 6)), 6)
-    sums = rows.agg(F.array_sort(F.collect_list(each)).alias("languages"), F.array_sort(F.collect_list(F.struct(F.round("ratio", 6).alias("ratio"), "lang"))).alias("sorted_ratios"), spread.alias("delta"), F.max("ratio").alias("max_ratio"), F.min("ratio").alias("min_ratio"))
-    kept = roundtrip_check(s, d).agg(F.bool_and("preserved").alias("preserves_visible"))
+def report_json(s, d, size: Sizes = FULL):
+    """The nested report of the joint tokenizer as one JSON text: languages with top tokens and a tokenized
+    sample, vocabulary, scoring with the target's penalty, round trip, notes."""
+    lists = merge_lists(joint(s, d, size))
+    dim = F.broadcast(languages(s))
+    ratios = materialize(joint_ratios(s, d, lists), "ratios").join(dim, "lang")
+    top = _top(encoded_stream(s, d, lists).select("lang", F.struct("doc_id", "at").alias("at"), F.explode("tokens").alias("token")))
+    line = docs(s, d).groupBy("lang").agg(F.min_by(T.sample_line(F.col("text")), "doc_id").alias("text"))
+    rows = ratios.join(top, "lang").join(_samples(line, joint_pieces(), lists), "lang")
+    url = F.concat(F.lit(BASE), F.col("lang")).alias("url")
+    each = F.struct("ord", "name", F.col("lang").alias("code"), url, F.col("denom").alias("faithful_units"), F.col("tokens").alias("token_count"), F.round("ratio", 6).alias("ratio"), "weight", "top_tokens", "sample_tokenized_sentence")
+    target = F.max(F.when(F.col("lang") == TARGET, F.round("ratio", 6))).alias("target")
+    sums = rows.agg(F.array_sort(F.collect_list(each)).alias("languages"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "weight")))).alias("weights"), target, *_scoring(6))
+    vocab = bpe.vocab(joint_letters(s, d), s.createDataFrame([("*", i, a, b, a + b) for i, (a, b) in enumerate(lists.get("*", []))], bpe.MERGES_SCHEMA), JOINT_UNK)
+    vocab = vocab.agg(F.count("*").alias("total_vocab_size"), F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]).alias("all_tokens"))
+    kept = preserved(s, d, lists).agg(F.bool_and("preserved").alias("preserves_visible"), F.count("*").alias("documents"))
+    out = sums.crossJoin(vocab).crossJoin(kept)  # one row each
+    score, penalty = F.round(1000 / F.nullif("delta", F.lit(0.0)), 2), T.penalty(F.col("target"))
+    scoring = F.struct("sorted_ratios", "max_ratio", "min_ratio", "delta", score.alias("score"), F.lit(TARGET).alias("target"), F.round(penalty, 6).alias("penalty_factor"), F.round(score / penalty, 2).alias("adjusted_score"))
+    notes = F.array(
+        F.lit("Fertility is tokens over faithful units: " + POLICY + "."), F.lit("The vocabulary is learned jointly; a language's counts are multiplied by its weight."),
+        F.lit("The score is 1000 over the spread of fertilities; the target's penalty is exp(max(0, ratio / 1.2 - 1))."), F.lit("The round trip compares the visible characters of every document."),
+    )
+    parts = ["languages", F.struct("total_vocab_size", "weights", F.lit(POLICY).alias("unit_policy"), "all_tokens").alias("vocab_stats"), scoring.alias("scoring"), F.struct("preserves_visible", "documents").alias("roundtrip"), notes.alias("notes")]
+    return out.select(F.to_json(F.struct(*parts), {"pretty": "true"}).alias("report"))
+
+
+@query("report_words_json")
+def report_words_json(s, d, size: Sizes = FULL, choices: range = CHOICES):
+    """The nested report of the interleaved tokenizer over the capped corpus: the searched weights, own and
+    borrowed tokens, overlap and allocation of monolingual vocabularies, gaps, scoring."""
+    c = capped(s, d, size)
+    grid = materialize(candidates(c, choices), "candidates")
+    best, equal = bpe.best_weights(grid).first(), grid.filter("combo = 0").first()
+    weights = (best and best["weights"]) or {k: w for k, _, w, _ in LANGUAGES}
+    ids, taken = bpe.interleave(c.lists, ORDER, c.chars, weights, [UNK], c.size)
+    own = s.createDataFrame([(k, t) for k in ORDER for t in {UNK, *c.chars, *(a + b for a, b in c.lists[k])}], "lang string, token string")
+    coded = materialize(bpe.encode_pieces(c.words, {"*": taken}), "capped-encoded")
+    stream = coded.select("lang", "piece", "n", F.posexplode("tokens").alias("i", "token"))
+    counts = stream.groupBy("lang", "token").agg(F.sum("n").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "token")
+    top = counts.withColumn("rank", F.row_number().over(order)).filter("rank <= 30").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("rank", "token", F.col("n").alias("count")))).alias("t"))
+    top = top.select("lang", F.transform("t", lambda x: F.struct(x["token"].alias("token"), x["count"].alias("count"))).alias("top_tokens"))
+    tokens = counts.groupBy("lang").agg(F.sum("n").alias("tokens"))
+    denom = s.createDataFrame(list(c.denominators.items()), "lang string, denom long")
+    first = norm(s, d).groupBy("lang").agg(F.min_by(T.first_sentence(F.col("text")), "doc_id").alias("text"))
+    final = s.createDataFrame([(t,) for t in ids], "token string")
+    allocation = M.allocation(own, final).withColumnRenamed("n", "final_vocab_allocated")
+    rows = M.fertility(tokens.join(denom, "lang"), zero_is_null=False)
+    for more in (M.own_borrowed(counts, own), allocation, top, _samples(first, T.pieces(F.col("text")), {"*": taken}), F.broadcast(languages(s))):
+        rows = rows.join(more, "lang")
+    each = F.struct("ord", "name", F.concat(F.lit(BASE), F.col("lang")).alias("url"), F.col("denom").alias("word_count"), F.col("tokens").alias("token_count"), F.round("ratio", 4).alias("ratio"), F.coalesce("train_size", F.lit(DEFAULT_TRAIN_SIZE)).alias("vocab_allocated"), "final_vocab_allocated", F.col("own").alias("own_tokens"), F.col("borrowed").alias("borrowed_tokens"), "top_tokens", "sample_tokenized_sentence")
+    by_lang = F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", "final_vocab_allocated")))).alias("per_language_final_allocation")
+    sums = rows.agg(F.array_sort(F.collect_list(each)).alias("languages"), by_lang, *_scoring(4))
+    shared = M.overlap(own, len(ORDER)).agg(F.count("*").alias("overlap_tokens"), F.slice(F.array_sort(F.collect_list("token")), 1, 30).alias("overlap_examples"))
+    number = lambda row, key: F.lit(row[key] if row and row[key] is not None else None).cast("double")
+    vocab = F.struct(F.lit(len(ids)).alias("total_vocab_size"), "overlap_tokens", "overlap_examples", "per_language_final_allocation", F.create_map(*[F.lit(x) for k in ORDER for x in (k, int(weights[k]))]).alias("allocation_weights"), F.lit(len(taken)).alias("final_merges"), F.round(number(equal, "gap"), 4).alias("equal_weight_gap"), F.round(number(best, "gap"), 4).alias("tuned_gap"))
     scoring = F.struct("sorted_ratios", "max_ratio", "min_ratio", "delta", F.round(1000 / F.nullif("delta", F.lit(0.0)), 2).alias("score"))
-    out = sums.crossJoin(kept)
-    return out.select(F.to_json(F.struct("languages", F.struct(F.lit(len(lists["*"])).alias("merges")).alias("vocab_stats"), scoring.alias("scoring"), F.struct("preserves_visible").alias("roundtrip"))).alias("report"))
+    notes = F.array(F.lit("Ratio is tokens over words of the first 3,000 words of each language."), F.lit("Monolingual merges are interleaved by weighted turns; weights are those of least gap whose English ratio is within the limit."), F.lit("Own tokens are in the language's own vocabulary; overlap is in all of them."))
+    return sums.crossJoin(shared).select(F.to_json(F.struct("languages", vocab.alias("vocab_stats"), scoring.alias("scoring"), notes.alias("notes")), {"pretty": "true"}).alias("report"))
 
 
 @query("tokenizer_roundtrip_storage")
 def tokenizer_roundtrip_storage(s, d):
     """Vocabulary and merges written and read again."""
     folder = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    merges = mono(s, d)[1]
+    merges = mono(s, d, SMALL)[1]
     path = f"{folder.rstrip('/')}/tokenizer-{uuid.uuid4().hex}"
     tables.write_tokenizer(mono_vocab(s, d, merges), merges, path)
     vocab, merges = tables.read_tokenizer(s, path)

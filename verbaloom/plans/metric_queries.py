@@ -19,7 +19,7 @@ from .text_queries import _PIECE_ROWS, LANGS, PIECES, QUERIES, SQL, UNITS, WORDS
 __all__ = ["QUERIES", "SQL"]
 
 TARGET, OWN, FINAL = "de", 300, 150
-FREQ = f"freq AS (SELECT lang, piece, count(*) AS n FROM {_PIECE_ROWS} GROUP BY ALL)"
+FREQ = f"freq AS MATERIALIZED (SELECT lang, piece, count(*) AS n FROM {_PIECE_ROWS} GROUP BY ALL)"
 COUNTS = f"counts AS (SELECT lang, CAST(sum(len({PIECES})) AS BIGINT) AS tokens, CAST(sum({UNITS}) AS BIGINT) AS denom FROM documents GROUP BY lang)"
 RATIOS = f"{COUNTS}, ratios AS (SELECT *, tokens / denom AS ratio FROM counts)"
 VOCAB = f"{FREQ}, ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, piece) AS r FROM freq), vocab AS (SELECT lang, piece AS token FROM ranked WHERE r <= {OWN}), final AS (SELECT DISTINCT piece AS token FROM ranked WHERE r <= {FINAL})"

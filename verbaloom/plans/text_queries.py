@@ -207,7 +207,15 @@ def links_absolutized(s, d):
 
 
 query("html_blocks")(lambda s, d: H.html_blocks(table(s, d, "pages")))
-query("html_category_lines")(lambda s, d: H.category_lines(table(s, d, "pages")))
+
+
+# the tables hold no category links: the query puts one at the end of each article
+@query("html_category_lines", "SELECT page_id, CAST(i - 1 AS INTEGER) AS ord, 'Category: ./C' || page_id AS line FROM (SELECT page_id, unnest(range(1, len(regexp_extract_all(html, '</article>')) + 1)) AS i FROM pages)")
+def html_category_lines(s, d):
+    link = F.concat(F.lit('<link rel="mw:PageProp/Category" href="./C'), F.col("page_id").cast("string"), F.lit('"></article>'))
+    return H.category_lines(table(s, d, "pages").withColumn("html", F.replace("html", F.lit("</article>"), link)))
+
+
 query("html_to_markdown")(lambda s, d: H.to_markdown(table(s, d, "pages"), HOST, BASE))
 
 
