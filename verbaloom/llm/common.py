@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from collections.abc import Iterable
-from itertools import filterfalse
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verbaloom.memo import Remembered
+from verbaloom.storage import drop_materialized, materialize, shared_dir
+
+__all__ = ["Remembered", "drop_materialized", "materialize", "shared_dir"]
+
 WORD_WS = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -18,36 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session in one process
-    (tests, bench) gets a local one; on a cluster that would lose rows, so it raises."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + os.path.join(tempfile.gettempdir(), "verbaloom-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends at replicated storage, so
-    a lost executor costs a re-read and never a recomputation of the whole chain."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_materialized(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df (only once no plan needs it any more)."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for root in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A materialized table with a broadcast hint if it has few rows (a count of footers); else the
     table itself, which joins by shuffle."""
@@ -82,23 +51,3 @@ def let(value: Column, body) -> Column:
 
 def crc_mod(doc_id, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus
-
-
-class Remembered:
-    """Results by key in two generations: a key met again moves from the older to the newer one,
-    and a newer one that is full becomes the older. What recurs stays and what doesn't leaves, at any
-    size of input; at most two generations (and one batch's keys) are held."""
-
-    def __init__(self, generation: int):
-        self.generation, self.new, self.old = generation, {}, {}
-
-    def missing(self, keys: Iterable[str]) -> set[str]:
-        """Distinct keys without a result; results of all others are in `new` afterwards."""
-        fresh = set(filterfalse(self.new.__contains__, keys))
-        if self.new and len(self.new) + len(fresh) > self.generation:
-            self.old, self.new = self.new, {}
-            fresh = set(keys)
-        old = self.old
-        known = [k for k in fresh if k in old]
-        self.new.update((k, old[k]) for k in known)
-        return fresh.difference(known)

@@ -25,8 +25,8 @@ from . import common
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-#: Most segments a worker remembers, and the longest that it does.
-TABLE_ENTRIES, TABLE_CHARS = 1_200_000, 48
+#: Segments a worker remembers in each of two generations (some 350 bytes each), and the longest that it does.
+GENERATION, TABLE_CHARS = 600_000, 48
 
 
 class PieceModel:
@@ -42,7 +42,7 @@ class PieceModel:
         self.ids = {p: i for i, p in enumerate(self.pieces) if i not in self.silent and i not in self.byte_of}
         self.score = {p: self.lib.get_score(i) for p, i in self.ids.items()}
         self.crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
-        self.table: dict[str, tuple[str, int, str]] = {}
+        self.memo = common.Remembered(GENERATION)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Merge by an agenda that lists the score of each adjacent pair in place: the best is its
@@ -166,11 +166,8 @@ def sentencepiece_encode(docs: DataFrame, path: str, with_ids: bool = True) -> D
             for lo in range(0, len(batch), 256):
                 part = batch.iloc[lo : lo + 256]
                 texts = [m.segments(t) if t else [] for t in part["text"]]
-                table, segments = m.table, set().union(*texts)
-                fresh = segments.difference(table)
-                if len(table) + len(fresh) > TABLE_ENTRIES:
-                    table.clear()
-                    fresh = segments
+                fresh = m.memo.missing(set().union(*texts))
+                table = m.memo.new
                 table.update(m.learn(fresh))
                 rows = []
                 for segs in texts:
