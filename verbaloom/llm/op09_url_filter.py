@@ -8,8 +8,9 @@ gives flat segments that know their innermost rule. Url keys, one for each numbe
 that some rule has, are then sorted together with the segment borders, and the sweep carries the
 last border's rule to every key behind it. A url's longest rule over its keys decides.
 
-Sweeps run by (rule host, salt): a host with any share of the urls is dealt over `salts` sweeps,
-to each of which only that host's few borders are copied.
+Sweeps run by (rule host, salt): a host's urls are counted and dealt over one sweep for each
+`rows_per_salt` of them, to each of which that host's borders are copied; hosts without urls and keys
+of no rule's host take no part.
 
 Null urls and urls without :// have empty host and path and get the default verdict. Repeated rows
 repeat. Of rules equal in host and path, block wins. Empty tables give empty results; extra columns
@@ -26,7 +27,8 @@ from . import common
 #: The contract's rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SALTS, ROWS_PER_SALT = 512, 100_000
+#: Urls of a sweep; sites that are broadcast; sweeps of the keys of no site, which meet no border.
+ROWS_PER_SALT, SITES, SPREAD = 100_000, 1_000_000, 4096
 
 
 def host_path(url: str) -> tuple[Column, Column]:
@@ -60,9 +62,8 @@ def segments(rules: DataFrame) -> DataFrame:
     return grouped.select("site", F.explode(swept).alias("s")).select("site", "s.border", "s.active")
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", salts: int | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
     """page_id, host, path, rule (null: none), verdict."""
-    salts = salts or max(SALTS, pages.count() // ROWS_PER_SALT)  # a count of footers
     depths = sorted(r["d"] for r in rules.select(F.size(F.split("host", "\\.", -1)).alias("d")).distinct().collect())
     host, path = host_path("url")
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -70,9 +71,15 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", salts
     # one key for each label count; the first, of no site, keeps urls that no rule's depth fits
     sites = F.array(F.lit(None).cast("string"), *[F.when(F.size(labels) >= d, F.array_join(F.reverse(F.slice(labels, -d, d)), ".")) for d in depths])
     keys = parsed.select("page_id", "host", "path", F.posexplode(sites).alias("at", "site")).filter("at = 0 or site is not null")
-    salt = F.pmod(F.xxhash64("page_id", "host", "path"), F.lit(salts)).cast("int")
-    keys = keys.select("site", salt.alias("salt"), F.col("path").cast("binary").alias("border"), F.lit(1).alias("kind"), F.lit(None).cast("struct<active:struct<rule:string,verdict:string>>").alias("seg"), F.struct("page_id", "host", "path", "at").alias("page"))
-    borders = segments(rules).select("site", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "border", F.lit(0).alias("kind"), F.struct("active").alias("seg"), F.lit(None).cast(keys.schema["page"].dataType).alias("page"))
+    # sites of rules, with the sweeps that their urls need
+    ruled = common.materialize(rules.select(reversed_host(F.col("host")).alias("ruled")).distinct(), "rule-sites")
+    met = keys.join(common.small(ruled, SITES), F.col("site") == F.col("ruled")).groupBy(F.col("site").alias("met")).agg(F.count("*").alias("n"))
+    met = common.materialize(met.select("met", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts")), "site-salts")
+    dealt = keys.join(common.small(met, SITES), F.col("site") == F.col("met"), "left").filter("at = 0 or met is not null")
+    salt = F.pmod(F.xxhash64("page_id", "host", "path"), F.coalesce("salts", F.lit(SPREAD)).cast("long")).cast("int")
+    keys = dealt.select("site", salt.alias("salt"), F.col("path").cast("binary").alias("border"), F.lit(1).alias("kind"), F.lit(None).cast("struct<active:struct<rule:string,verdict:string>>").alias("seg"), F.struct("page_id", "host", "path", "at").alias("page"))
+    borders = segments(rules).join(common.small(met, SITES), F.col("site") == F.col("met"))
+    borders = borders.select("site", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "border", F.lit(0).alias("kind"), F.struct("active").alias("seg"), F.lit(None).cast(keys.schema["page"].dataType).alias("page"))
     order = Window.partitionBy("site", "salt").orderBy("border", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = keys.unionByName(borders).withColumn("seg", F.last("seg", ignorenulls=True).over(order)).filter("page is not null")
     # copies of a row have as many keys of place 0 as there are copies
