@@ -355,9 +355,7 @@ def test_toxicity(spark, docs, empty):
     exact = np.round(q @ examples.T, 6)
     assert np.allclose(cosines, -np.sort(-exact, axis=1)[:, :5], atol=2e-6)
     # ids by brute force over the index's own order, ties to the lower number
-    stored = np.zeros((len(index.labels), len(index.terms)))
-    for b, (term, weight, begin, example, _) in enumerate(index.blocks):
-        stored[b * op08_toxicity.BLOCK + np.repeat(example, np.diff(np.r_[begin, len(term)])), term] = weight
+    stored = np.concatenate([index.stored(b) for b in range(len(index.blocks))])
     brute = np.stack([np.concatenate([np.round(index.cosines(q, b), 6) for b in range(len(index.blocks))], axis=1)])[0]
     assert np.allclose(brute, q @ stored.T, atol=2e-6)
     assert (who == np.argsort(-brute, axis=1, kind="stable")[:, :5]).all()
@@ -384,7 +382,7 @@ def test_block_max_is_exact():
     rng = np.random.default_rng(3)
     v = np.where(rng.random((700, 40)) < 0.1, rng.integers(1, 4, (700, 40)), 0).astype(float)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    index = op08_toxicity.Index([f"t{i}" for i in range(40)], np.ones(40), v, rng.integers(0, 2, 700).astype(float), 0.5, np.ones(700))
+    index = op08_toxicity.Index([f"t{i}" for i in range(40)], np.ones(40), [(np.flatnonzero(x), x[x > 0]) for x in v], rng.integers(0, 2, 700).astype(float), 0.5, np.ones(700))
     q = v[rng.permutation(700)[:90]]
     brute = np.concatenate([np.round(index.cosines(q, b), 6) for b in range(len(index.blocks))], axis=1)
     cosines, who = index.nearest(q, 15)

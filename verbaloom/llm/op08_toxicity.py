@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -42,6 +42,8 @@ EXAMPLES, BLOCK, NEIGHBOURS = 3000, 64, 15
 MIN_G2 = 20.0
 #: Words whose terms a worker remembers between texts; texts scored at once.
 REMEMBERED, CHUNK = 100_000, 256
+#: Files of the sample, read by as many tasks.
+SAMPLE_FILES = 16
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -72,25 +74,51 @@ class Terms:
         return out
 
 
+Sparse = tuple[np.ndarray, np.ndarray]  # term numbers and weights
+
+
+def unit(counts: dict[int, int], idf: np.ndarray) -> Sparse:
+    """The unit TF-IDF vector of a text's counts; empty without terms of weight."""
+    t = np.fromiter(counts, np.int64, len(counts))
+    w = (1 + np.log(np.fromiter(counts.values(), float, len(counts)))) * idf[t]
+    norm = float(np.sqrt((w * w).sum()))
+    return (t[w > 0], w[w > 0] / norm) if norm > 0 else (t[:0], w[:0])
+
+
+def dense(rows: list[Sparse], size: int) -> np.ndarray:
+    out = np.zeros((len(rows), size))
+    for r, (t, w) in enumerate(rows):
+        out[r, t] = w
+    return out
+
+
 class Index(Terms):
-    """Postings by block of examples in order of example, and block maxima by term."""
+    """Postings by block of examples in order of example, and block maxima by term. examples: unit vectors."""
 
-    def __init__(self, terms: list[str], idf: np.ndarray, vectors: np.ndarray, labels: np.ndarray, prior: float, weights: np.ndarray):
+    def __init__(self, terms: list[str], idf: np.ndarray, examples: list[Sparse], labels: np.ndarray, prior: float, weights: np.ndarray):
         super().__init__(terms)
         # like examples share blocks: by label, then by heaviest term
-        order = np.lexsort((np.arange(len(labels)), -vectors.argmax(axis=1), -labels)) if len(labels) and len(terms) else np.arange(len(labels))
+        heaviest = np.array([t[w.argmax()] if len(t) else -1 for t, w in examples], dtype=np.int64)
+        order = np.lexsort((np.arange(len(labels)), heaviest, -labels))
         self.idf, self.labels, self.weights, self.prior, self.zero = idf, labels[order], weights[order], prior, prior
-        vectors = vectors[order]
-        self.blocks = []
-        for i in range(0, len(vectors), BLOCK):
-            example, term = np.nonzero(vectors[i : i + BLOCK])
-            begin = np.flatnonzero(np.r_[True, example[1:] != example[:-1]]) if len(example) else np.zeros(0, int)
-            self.blocks.append((term, vectors[i + example, term], begin, example[begin], min(BLOCK, len(vectors) - i)))
-        self.maxima = np.stack([vectors[i : i + BLOCK].max(axis=0) for i in range(0, len(vectors), BLOCK)], axis=1) if self.blocks else np.zeros((len(terms), 0))
+        self.blocks, self.maxima = [], np.zeros((len(terms), -(-len(labels) // BLOCK)))
+        for b in range(self.maxima.shape[1]):
+            own = [examples[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
+            sizes = np.array([len(t) for t, _ in own])
+            term, weight = (np.concatenate([x[k] for x in own]) for k in (0, 1))
+            np.maximum.at(self.maxima[:, b], term, weight)
+            self.blocks.append((term, weight, (np.cumsum(sizes) - sizes)[sizes > 0], np.flatnonzero(sizes), len(own)))
         self.steps = (np.zeros(1), np.full(1, prior))
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
-        return weigh([self.counts(t) for t in texts], self.idf)
+        return dense([unit(self.counts(t), self.idf) for t in texts], len(self.terms))
+
+    def stored(self, block: int) -> np.ndarray:
+        """The block's examples as dense rows."""
+        term, weight, begin, example, size = self.blocks[block]
+        out = np.zeros((size, len(self.terms)))
+        out[np.repeat(example, np.diff(np.r_[begin, len(term)])), term] = weight
+        return out
 
     def cosines(self, queries: np.ndarray, block: int) -> np.ndarray:
         """Of all queries with the block's examples, from its postings."""
@@ -135,14 +163,18 @@ class Index(Terms):
             score[some] = np.interp(self.votes(cosines[some], who[some]), *self.steps)
         return np.clip(score, 0, 1), who, cosines
 
-    def calibrate(self, q: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
-        """Isotonic fit of leave-one-out votes; zero vectors apart."""
-        zero = ~q.any(axis=1)
+    def calibrate(self) -> None:
+        """Isotonic fit of leave-one-out votes on the examples, a block at a time; zero vectors apart."""
+        labels, weights, zero, votes = self.labels, self.weights, [], []
+        for b in range(len(self.blocks)):
+            q = self.stored(b)
+            cosines, who = self.nearest(q, NEIGHBOURS + 1)
+            cosines[who == (b * BLOCK + np.arange(len(q)))[:, None]] = 0
+            zero.append(~q.any(axis=1))
+            votes.append(self.votes(cosines, who))
+        zero, vote = np.concatenate(zero), np.concatenate(votes)
         self.zero = float((weights * labels)[zero].sum() + self.prior) / float(weights[zero].sum() + 1)
-        cosines, who = self.nearest(q, NEIGHBOURS + 1)
-        same = who == np.arange(len(q))[:, None]
-        cosines = np.where(same, 0, cosines)
-        vote = self.votes(cosines, who)[~zero]
+        vote = vote[~zero]
         pools: list[list[float]] = []
         for v, y, w in sorted(zip(vote, labels[~zero], weights[~zero], strict=True)):
             pools.append([w, w * y, v, v])
@@ -154,30 +186,28 @@ class Index(Terms):
             self.steps = (np.array([v for p in pools for v in p[2:]]), np.array([(p[1] + self.prior) / (p[0] + 1) for p in pools for _ in p[2:]]))
 
 
-def weigh(counts: list[dict[int, int]], idf: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF vectors; zero without terms of weight."""
-    out = np.zeros((len(counts), len(idf)))
-    for r, own in enumerate(counts):
-        if own:
-            t = np.fromiter(own, int, len(own))
-            out[r, t] = (1 + np.log(np.fromiter(own.values(), float, len(own)))) * idf[t]
-    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
-    return out / np.where(norm > 0, norm, 1)
-
-
-def g_squared(a: int, n1: int, b: int, n0: int) -> float:
+def g_squared(a: Column, n1: int, b: Column, n0: int) -> Column:
     """Of the table label by presence: a of n1 and b of n0 have the term."""
     share = (a + b) / (n1 + n0)
-    return 2 * sum(x * np.log(x / (n * p)) for x, n, p in ((a, n1, share), (b, n0, share), (n1 - a, n1, 1 - share), (n0 - b, n0, 1 - share)) if x)
+    cells = ((a, n1, share), (b, n0, share), (n1 - a, n1, 1 - share), (n0 - b, n0, 1 - share))
+    parts = [F.when(x > 0, x * F.log(x / (n * p))).otherwise(0.0) for x, n, p in cells]
+    return 2 * (parts[0] + parts[1] + parts[2] + parts[3])
+
 
+def significant(sample: DataFrame, n1: int, n0: int, min_g2: float = MIN_G2) -> list[str]:
+    """Terms of the sample (text, toxic) whose link with the label is beyond chance, in order."""
 
-def significant(rows: pd.DataFrame, min_g2: float = MIN_G2) -> list[str]:
-    """Terms of the sample whose link with the label is beyond chance, in order."""
-    seen, n = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
-    for text, y in zip(rows["text"], rows["toxic"], strict=True):
-        n[int(y)] += 1
-        seen[int(y)].update({t for w in set(_WORD.findall((text or "").lower())) for t in word_terms(w)})
-    return sorted(t for t in seen[0].keys() | seen[1].keys() if g_squared(seen[1][t], n[1], seen[0][t], n[0]) >= min_g2)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), CHUNK):
+                part, seen = batch.iloc[lo : lo + CHUNK], (Counter(), Counter())
+                for text, y in zip(part["text"], part["toxic"], strict=True):
+                    seen[int(y)].update({t for w in set(_WORD.findall(text.lower())) for t in word_terms(w)})
+                terms = list(seen[0].keys() | seen[1].keys())
+                yield pd.DataFrame({"term": pd.Series(terms, dtype=object), "a": [seen[1][t] for t in terms], "b": [seen[0][t] for t in terms]})
+
+    counted = sample.select("text", "toxic").mapInPandas(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return sorted(r["term"] for r in counted.filter(g_squared(F.col("a"), n1, F.col("b"), n0) >= min_g2).select("term").collect())
 
 
 def frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
@@ -200,21 +230,16 @@ def frequencies(docs: DataFrame, terms: list[str]) -> tuple[int, np.ndarray]:
     return int(out[-1]), out[:-1]
 
 
-def fit(rows: pd.DataFrame, shares: dict[int, int], terms: list[str], documents: int, df: np.ndarray) -> Index:
-    """rows: text and toxic of the sample; shares: training rows by label, for class weights."""
-    labels = rows["toxic"].to_numpy(dtype=float)
+def fit(counts: list[dict[int, int]], labels: np.ndarray, shares: dict[int, int], terms: list[str], documents: int, df: np.ndarray) -> Index:
+    """counts, labels: of the sample; shares: training rows by label, for class weights."""
     sampled = {y: max(1, int((labels == y).sum())) for y in (0, 1)}
     weights = np.array([shares[int(y)] / sampled[int(y)] for y in labels])
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.0
     idf = np.log((1 + documents) / (1 + df)) if len(terms) else np.zeros(0)
-    draft = Terms(terms)
-    index = Index(terms, idf, weigh([draft.counts(t) for t in rows["text"]], idf), labels, prior, weights)
-    if len(rows) and terms:
-        q = np.zeros((len(rows), len(terms)))
-        for b, (term, weight, begin, example, _) in enumerate(index.blocks):
-            q[b * BLOCK + np.repeat(example, np.diff(np.r_[begin, len(term)])), term] = weight
-        index.calibrate(q, index.labels, index.weights)
+    index = Index(terms, idf, [unit(c, idf) for c in counts], labels, prior, weights)
+    if len(labels) and terms:
+        index.calibrate()
     return index
 
 
@@ -232,10 +257,22 @@ def fit_on(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int
     # `examples` ids a class at most: bounded
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     rows = rows.groupBy("doc_id").agg(F.min(common.text_of()).alias("text"), F.max("toxic").alias("toxic"))
-    rows = rows.toPandas().sort_values(["doc_id", "text"]).drop_duplicates("text")[["text", "toxic"]].reset_index(drop=True)
-    terms = significant(rows, min_g2)
+    # equal texts are one example, that of least id; texts stay on the executors
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("example_id"), F.min_by("toxic", "doc_id").alias("toxic"))
+    sample = common.materialize(rows.repartition(SAMPLE_FILES), "toxicity-sample")
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    terms = significant(sample, sizes.get(1, 0), sizes.get(0, 0), min_g2) if sizes else []
     documents, df = frequencies(docs, terms) if terms else (0, np.zeros(0))
-    return fit(rows, {0: shares.get(0, 0), 1: shares.get(1, 0)}, terms, documents, df)
+
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = Terms(terms)
+        for batch in batches:
+            found = [own.counts(t) for t in batch["text"]]
+            yield pd.DataFrame({"example_id": batch["example_id"], "toxic": batch["toxic"], "term": [list(c) for c in found], "n": [list(c.values()) for c in found]})
+
+    coded = sample.mapInPandas(code, "example_id long, toxic int, term array<int>, n array<int>").toPandas().sort_values("example_id")
+    counts = [dict(zip(map(int, t), map(int, n))) for t, n in zip(coded["term"], coded["n"], strict=True)]
+    return fit(counts, coded["toxic"].to_numpy(dtype=float), {0: shares.get(0, 0), 1: shares.get(1, 0)}, terms, documents, df)
 
 
 def toxicity(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame:
