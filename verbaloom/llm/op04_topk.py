@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the sign bits of an embedding's first 64 numbers. Codes are cut into segments of log2(n)
-bits or more, so that an index bucket holds about one of n codes at any n (three segments at
+A code is the sign bits of an embedding's first 64 numbers. Codes are cut into 64 / log2(n) segments,
+rounded, so that an index bucket holds about one of n codes at any n (three segments at
 least). At radius r every open query probes, in each segment, the values at distance r from its own;
 what it meets is verified on the whole code. After radius r in all of m segments every code within
 m*(r+1)-1 bits has been met, so a query closes once its k-th verified distance is within that: the
@@ -41,8 +41,8 @@ def code(embedding: str) -> Column:
 
 
 def segment_widths(n: int) -> list[int]:
-    """Bits of each segment: log2(n) or more, in 3 to 16 segments."""
-    m = min(16, max(3, BITS // math.ceil(math.log2(max(2, n)))))
+    """Bits of each of 3 to 16 segments, as near to log2(n) as whole segments allow."""
+    m = min(16, max(3, round(BITS / math.log2(max(2, n)))))
     return [BITS // m + (i < BITS % m) for i in range(m)]
 
 
