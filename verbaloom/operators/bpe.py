@@ -366,9 +366,9 @@ class Recoder:
         return total
 
 
-def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], order: list[str], letters: list[str], denominators: dict[str, int], size: int, choices: range, limit: tuple[str, float] | None = None, special: str = "<unk>") -> DataFrame:
+def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], order: list[str], letters: list[str], denominators: dict[str, int], size: int, choices: range, limit: tuple[str, float] | None = None, special: str = "<unk>", filled: bool = True) -> DataFrame:
     """One row a weight combination in lexicographic order: combo, weights, gap, within (the limited
-    language's fertility holds the limit). Combinations that can't fill the vocabulary are out.
+    language's fertility holds the limit). Combinations that can't fill the vocabulary are out (filled).
     freq (lang, piece, n) is the capped corpus's word table: at most its cap of words a language."""
     spark = freq.sparkSession
     table: dict[str, list[tuple[str, int]]] = {k: [] for k in order}
@@ -389,7 +389,7 @@ def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], orde
                 for k in reversed(order):
                     rest, w[k] = rest // len(choices), choices[rest % len(choices)]
                 ids, merges = interleave(own, order, letters, w, [special], size)
-                if len(ids) < size:
+                if filled and len(ids) < size:
                     continue
                 ranks = {p: i for i, p in enumerate(merges)}
                 fert = {k: recoders[k].count(ranks) / denominators[k] if denominators.get(k) else 0.0 for k in order}

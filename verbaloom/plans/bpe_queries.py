@@ -331,12 +331,17 @@ def capped(s, d, size: Sizes = FULL) -> Capped:
     return Capped(words, {k: lists.get(k, []) for k in ORDER}, {r["lang"]: r["n"] for r in stripped.collect()}, known, total)
 
 
-def candidates(c: Capped, choices: range) -> DataFrame:
-    return bpe.weight_search(c.words, c.lists, ORDER, c.chars, c.denominators, c.size, choices, ("en", ENGLISH_LIMIT))
+def candidates(c: Capped, choices: range, filled: bool = True) -> DataFrame:
+    return bpe.weight_search(c.words, c.lists, ORDER, c.chars, c.denominators, c.size, choices, ("en", ENGLISH_LIMIT), filled=filled)
+
+
+def equal_weights(c: Capped) -> DataFrame:
+    """The baseline of equal weights, whether or not it fills the vocabulary."""
+    return candidates(c, range(1, 2), filled=False)
 
 
 query("weight_search")(lambda s, d: bpe.best_weights(candidates(capped(s, d), CHOICES)))
-query("equal_weight_gap")(lambda s, d: candidates(capped(s, d), range(1, 2)).select("combo", "gap"))
+query("equal_weight_gap")(lambda s, d: equal_weights(capped(s, d)).select("combo", "gap"))
 
 
 def _top(stream: DataFrame) -> DataFrame:
@@ -393,7 +398,7 @@ def report_words_json(s, d, size: Sizes = FULL, choices: range = CHOICES):
     borrowed tokens, overlap and allocation of monolingual vocabularies, gaps, scoring."""
     c = capped(s, d, size)
     grid = materialize(candidates(c, choices), "candidates")
-    best, equal = bpe.best_weights(grid).first(), grid.filter("combo = 0").first()
+    best, equal = bpe.best_weights(grid).first(), equal_weights(c).first()
     weights = (best and best["weights"]) or {k: w for k, _, w, _ in LANGUAGES}
     ids, taken = bpe.interleave(c.lists, ORDER, c.chars, weights, [UNK], c.size)
     own = s.createDataFrame([(k, t) for k in ORDER for t in {UNK, *c.chars, *(a + b for a, b in c.lists[k])}], "lang string, token string")
