@@ -9,8 +9,9 @@ that some rule has, are then sorted together with the segment borders, and the s
 last border's rule to every key behind it. A url's longest rule over its keys decides.
 
 Sweeps run by (rule host, salt): a host's urls are counted and dealt over one sweep for each
-`rows_per_salt` of them, to each of which that host's borders are copied; hosts without urls and keys
-of no rule's host take no part.
+`rows_per_salt` of them (or four times its rules, if more), to each of which that host's borders are
+copied; so there are never more copies than urls. Hosts without urls and keys of no rule's host take
+no part.
 
 Null urls and urls without :// have empty host and path and get the default verdict. Repeated rows
 repeat. Of rules equal in host and path, block wins. Empty tables give empty results; extra columns
@@ -28,7 +29,7 @@ from . import common
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Urls of a sweep; sites that are broadcast; sweeps of the keys of no site, which meet no border.
-ROWS_PER_SALT, SITES, SPREAD = 100_000, 1_000_000, 4096
+ROWS_PER_SALT, SITES, SPREAD = 500, 1_000_000, 4096
 
 
 def host_path(url: str) -> tuple[Column, Column]:
@@ -72,9 +73,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", rows_
     sites = F.array(F.lit(None).cast("string"), *[F.when(F.size(labels) >= d, F.array_join(F.reverse(F.slice(labels, -d, d)), ".")) for d in depths])
     keys = parsed.select("page_id", "host", "path", F.posexplode(sites).alias("at", "site")).filter("at = 0 or site is not null")
     # sites of rules, with the sweeps that their urls need
-    ruled = common.materialize(rules.select(reversed_host(F.col("host")).alias("ruled")).distinct(), "rule-sites")
-    met = keys.join(common.small(ruled, SITES), F.col("site") == F.col("ruled")).groupBy(F.col("site").alias("met")).agg(F.count("*").alias("n"))
-    met = common.materialize(met.select("met", F.ceil(F.col("n") / rows_per_salt).cast("int").alias("salts")), "site-salts")
+    ruled = common.materialize(rules.groupBy(reversed_host(F.col("host")).alias("ruled")).agg(F.count("*").alias("rules")), "rule-sites")
+    met = keys.join(common.small(ruled, SITES), F.col("site") == F.col("ruled")).groupBy(F.col("site").alias("met")).agg(F.count("*").alias("n"), F.max("rules").alias("rules"))
+    sweep = F.greatest(F.lit(rows_per_salt).cast("long"), 4 * F.col("rules"))
+    met = common.materialize(met.select("met", F.ceil(F.col("n") / sweep).cast("int").alias("salts")), "site-salts")
     dealt = keys.join(common.small(met, SITES), F.col("site") == F.col("met"), "left").filter("at = 0 or met is not null")
     salt = F.pmod(F.xxhash64("page_id", "host", "path"), F.coalesce("salts", F.lit(SPREAD)).cast("long")).cast("int")
     keys = dealt.select("site", salt.alias("salt"), F.col("path").cast("binary").alias("border"), F.lit(1).alias("kind"), F.lit(None).cast("struct<active:struct<rule:string,verdict:string>>").alias("seg"), F.struct("page_id", "host", "path", "at").alias("page"))
