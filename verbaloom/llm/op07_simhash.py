@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS = 64
+#: Rows of a file of edges: few edges are few files, at any number of shuffle partitions.
+EDGES_A_FILE = 200_000
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(8).integers(0, 2, 16, dtype=np.uint64)
 
 
@@ -163,15 +165,16 @@ def links(classes: DataFrame, radius: int, blocks: int, block_rows: int) -> Data
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the least node of each component of two nodes or more; alternating stars."""
     edges = common.materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    files = max(1, -(-edges.count() // EDGES_A_FILE))  # edges never become more than twice as many
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = common.materialize(both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("n"), F.least("u", "w").alias("w")), "stars")
+        least = common.materialize(both.groupBy("u").agg(F.min("v").alias("w")).select(F.col("u").alias("n"), F.least("u", "w").alias("w")).coalesce(files), "stars")
         larger = both.filter("v > u").join(least, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("w").alias("v")).filter("u <> v").distinct()
-        larger = common.materialize(larger, "large-stars")
-        least = common.materialize(larger.groupBy("u").agg(F.min("v").alias("w")).withColumnRenamed("u", "n"), "stars")
+        larger = common.materialize(larger.coalesce(files), "large-stars")
+        least = common.materialize(larger.groupBy("u").agg(F.min("v").alias("w")).withColumnRenamed("u", "n").coalesce(files), "stars")
         joined = larger.join(least, F.col("u") == F.col("n"))
-        edges = common.materialize(joined.select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(joined.select("u", F.col("w").alias("v"))).filter("u <> v").distinct(), "edges")
+        edges = common.materialize(joined.select(F.col("v").alias("u"), F.col("w").alias("v")).unionByName(joined.select("u", F.col("w").alias("v"))).filter("u <> v").distinct().coalesce(files), "edges")
         # a forest of stars: as many edges as nodes below, and no root that is itself below another
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (now := (state["n"], state["h"])) == before or not state["n"]:
