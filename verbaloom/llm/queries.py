@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_license, op02_quality, op03_sentencepiece, op04_topk, op05_lm, op06_packing, op07_simhash, op08_toxicity, op09_url_filter, op10_pii
+from . import op01_license, op02_quality, op03_sentencepiece, op04_topk, op05_lm, op06_packing, op07_simhash, op08_toxicity, op09_url_filter, op10_pii, op11_collocations, op12_sharding, op13_merkle
 from .sql import ORACLE_SQL
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_toxicity": op08_toxicity.op8_toxicity,
     "op9_url_filter": op09_url_filter.op9_url_filter,
     "op10_pii": op10_pii.op10_pii,
+    "op11_collocations": op11_collocations.op11_collocations,
+    "op12_sharding": op12_sharding.op12_sharding,
+    "op13_merkle": op13_merkle.op13_merkle,
 }
 
 __all__ = ["QUERIES", "ORACLE_SQL"]
