@@ -1,4 +1,10 @@
-"""HTML to text and to Markdown over the standard library's parser, an Arrow batch at a time."""
+"""HTML to text and to Markdown over the standard library's parser, an Arrow batch at a time.
+
+Block text (`blocks`) takes tags as they are written, as the first kind of page build does. Markdown (`faithful`)
+stands on a tree with implied ends: a start tag ends what can't go on beside it (a paragraph before any
+block, a list item before the next one, cells and rows within their table), and whatever is open inside goes with
+it, inline tags too, so no mark runs over two blocks. An end tag closes up to its element unless a stronger one lies
+between; else it is void. Formatting that a block's end has closed isn't opened again."""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: What isn't article text, and the blocks that are.
@@ -19,6 +25,21 @@ DROP_CLASSES = set(
 BLOCKS = {"p", "h2", "h3", "li"}
 ROOT_CLASS, CATEGORY_REL = "mw-parser-output", "mw:PageProp/Category"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+#: Tags that only mark text: what looks for an open block looks through them.
+INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_ROWS = {"tbody", "thead", "tfoot"}
+_BLOCK_STARTS = HEADINGS | set("address blockquote body caption center col colgroup dd dir div dl dt fieldset form hr li listing menu ol p pre table td th title tr ul xmp".split()) | _ROWS
+#: Start tags that end an open element.
+ENDED_BY = (
+    {"p": _BLOCK_STARTS, "a": {"a"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"}, "optgroup": {"optgroup"}, "head": {"body"} | _BLOCK_STARTS}
+    | {"td": {"td", "th", "tr"} | _ROWS, "th": {"td", "th", "tr"} | _ROWS, "tr": {"tr"} | _ROWS, "caption": {"col", "colgroup", "tr"} | _ROWS, "colgroup": {"colgroup", "tr"} | _ROWS}
+    | dict.fromkeys(_ROWS, _ROWS) | dict.fromkeys(HEADINGS, HEADINGS | {"p", "li", "table", "form", "fieldset"})
+)
+#: A start tag that has a fence looks for what it ends up to there, through anything; others through inline tags.
+FENCE = {"li": {"ul", "ol", "menu", "dir", "table", "td", "th"}, "dt": {"dl", "table", "td", "th"}, "dd": {"dl", "table", "td", "th"}} | dict.fromkeys(_ROWS | {"td", "th", "tr", "caption", "col", "colgroup"}, {"table"})
+#: How strong an element is: an end tag doesn't reach beyond a stronger one than its own.
+STRENGTH = {"div": 1, "td": 2, "th": 2, "tr": 3, "tbody": 4, "thead": 4, "tfoot": 4, "table": 5, "head": 6, "body": 6, "html": 7}
 
 
 class Node:
@@ -77,8 +98,40 @@ class _Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def parse(html: str | None) -> Node:
-    builder = _Builder()
+class _TreeBuilder(_Builder):
+    """A tree with implied ends."""
+
+    def handle_starttag(self, tag, attrs):
+        self.end_before(tag)
+        super().handle_starttag(tag, attrs)
+
+    def handle_startendtag(self, tag, attrs):
+        """A slash ends void tags only; in others it is noise."""
+        self.handle_starttag(tag, attrs)
+
+    def end_before(self, tag: str) -> None:
+        fence, last = FENCE.get(tag), 0
+        for i in range(len(self.open) - 1, 0, -1):
+            name = self.open[i].tag
+            if tag in ENDED_BY.get(name, ()):
+                last = i
+            elif name in fence if fence else name not in INLINE:
+                break
+        if last:
+            del self.open[last:]
+
+    def handle_endtag(self, tag):
+        own = STRENGTH.get(tag, 0)
+        for i in range(len(self.open) - 1, 0, -1):
+            if self.open[i].tag == tag:
+                del self.open[i:]
+                return
+            if STRENGTH.get(self.open[i].tag, 0) > own:
+                return
+
+
+def parse(html: str | None, builder: type[_Builder] = _Builder) -> Node:
+    builder = builder()
     builder.feed(html or "")
     builder.close()
     return builder.root
@@ -106,7 +159,7 @@ def blocks(html: str | None) -> list[tuple[str, str]]:
 
 def faithful(html: str | None, host: str, base: str) -> Node:
     """Body without scripts, styles and metas; category links become lines, links absolute."""
-    root = parse(html)
+    root = parse(html, _TreeBuilder)
     body = next((n for n in root.walk() if n.tag == "body"), root)
     for n in body.walk():
         n.children = [_category(c) if isinstance(c, Node) and c.tag == "link" else c for c in n.children]
@@ -122,15 +175,29 @@ def _category(link: Node) -> Node | str:
     return f"\nCategory: {link.attrs['href']}\n" if CATEGORY_REL in link.attrs.get("rel", "") and link.attrs.get("href") else link
 
 
-def markdown(node: Node | str, depth: int = 0) -> str:
-    """ATX headings, '-' bullets, links, images, emphasis, tables, code, quotes; span unwraps."""
-    if isinstance(node, str):
-        return re.sub(r"[ \t\r\n]+", " ", node) if not node.startswith("\nCategory: ") else node
-    if depth > 200:  # deeper markup than any page needs: its text alone
-        return "".join(node.strings())
-    inner = "".join(markdown(c, depth + 1) for c in node.children)
+def markdown(node: Node) -> str:
+    """ATX headings, '-' bullets, links, images, emphasis, tables, code, quotes; span unwraps. Children come before
+    their parent, on a stack of (node, children to do, text so far)."""
+    stack: list[tuple[Node, Iterator[Node | str], list[str]]] = [(node, iter(node.children), [])]
+    while True:
+        node, rest, parts = stack[-1]
+        child = next(rest, None)
+        if isinstance(child, Node):
+            stack.append((child, iter(child.children), []))
+        elif child is not None:
+            parts.append(child if child.startswith("\nCategory: ") else re.sub(r"[ \t\r\n]+", " ", child))
+        else:
+            stack.pop()
+            text = _marked(node, "".join(parts))
+            if not stack:
+                return text
+            stack[-1][2].append(text)
+
+
+def _marked(node: Node, inner: str) -> str:
+    """An element's Markdown around that of its content."""
     t = node.tag
-    if re.fullmatch("h[1-6]", t):
+    if t in HEADINGS:
         return f"\n\n{'#' * int(t[1])} {inner.strip()}\n\n"
     if t in {"p", "div", "article", "section", "header", "footer", "nav", "main", "ul", "ol", "dl"}:
         return f"\n\n{inner.strip()}\n\n" if inner.strip() else ""
@@ -161,15 +228,23 @@ def markdown(node: Node | str, depth: int = 0) -> str:
     return inner
 
 
+_ARROW = {"int": pa.int32(), "string": pa.string()}
+
+
 def per_page(pages: DataFrame, schema: str, rows) -> DataFrame:
     """rows(html) gives tuples of schema's columns; page_id is put before them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
-            yield pd.DataFrame([(i, *r) for i, h in zip(batch["page_id"], batch["html"], strict=True) for r in rows(h)], columns=["page_id", *names])
-
-    return pages.select("page_id", "html").mapInPandas(run, f"page_id long, {schema}")
+            made = [rows(h) for h in batch.column(1).to_pylist()]
+            # ids ride along in Arrow: a null among them leaves the others as they are
+            ids = batch.column(0).take(pa.array([i for i, own in enumerate(made) for _ in own], pa.int64()))
+            columns = zip(*[r for own in made for r in own], strict=True) if len(ids) else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, _ARROW[kind]) for c, kind in zip(columns, kinds, strict=True))], ["page_id", *names])
+
+    kinds = [c.split()[1] for c in schema.split(", ")]
+    return pages.select("page_id", "html").mapInArrow(run, f"page_id long, {schema}")
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
