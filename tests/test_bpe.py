@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -66,11 +67,8 @@ def test_batches_are_the_next_merges(table, merges, top):
                 total[p] = total.get(p, 0) + n
         if not total:
             break
-        rows = [(*p, n) for p, n in sorted(total.items(), key=lambda r: -r[1])[:top]]
-        floor = rows[-1][2] if len(rows) == top else 0
-        if floor == rows[0][2]:
-            rows = [(*min((p for p in total if total[p] == floor), key=lambda p: (ids[p[0]], ids[p[1]])), floor)]
-        pairs = bpe.batch_of(sorted(rows, key=lambda r: (-r[2], ids[r[0]], ids[r[1]])), floor, merges - len(out))
+        rows = [(*p, n) for p, n in sorted(total.items(), key=lambda r: (-r[1], ids[r[0][0]], ids[r[0][1]]))[:top]]
+        pairs = bpe.batch_of(rows, rows[-1][2] if len(rows) == top else 0, merges - len(out))
         for a, b in pairs:
             ids.setdefault(a + b, len(ids))
         out += pairs
@@ -97,6 +95,55 @@ def test_distributed_training_is_the_same(spark):
     assert bpe.train_distributed(freq, letters, 6, top=2) == slow_train(list(table), list(table.values()), letters, 6)
 
 
+@pytest.mark.parametrize("top", [3, 40, 1000])
+def test_pair_index_trains_at_length(spark, top, monkeypatch):
+    """Merges until no pair is left, runs and tokens made twice among them, and few words touched by a batch."""
+    monkeypatch.setattr(bpe, "COMPACT", 5)
+    rng = random.Random(top)
+    table = {"".join(rng.choice("aab" if i % 4 else "abcd") for _ in range(rng.randint(1, 7))): rng.randint(1, 9) for i in range(14)}
+    freq = spark.createDataFrame(list(table.items()), "piece string, n long")
+    letters, report = sorted(set("".join(table))), []
+    got = bpe.train_distributed(freq, letters, 30 if top > 3 else 12, top, report)
+    assert got == slow_train(list(table), list(table.values()), letters, 30 if top > 3 else 12)
+    assert sum(r["merges"] for r in report) == len(got) and all(r["bytes"] > 0 for r in report)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=14), st.lists(st.tuples(st.sampled_from(["a", "b", "c", "ab", "aa", "bc", "abc"]), st.sampled_from(["a", "b", "c", "aa", "bc", "ca"])), max_size=14))
+def test_agenda_equals_passes(word, merges):
+    """Merging by agenda equals scanning for the lowest rank, and replay equals one pass a merge, repeats included."""
+    ranks, again = {p: i for i, p in reversed(list(enumerate(merges)))}, {}
+    for i, p in enumerate(merges):
+        again.setdefault(p, []).append(i)
+
+    def once(s, a, b):
+        t = []
+        for x in s:
+            if t and t[-1] == [a] and x == b:
+                t[-1] = [a + b, None]
+            else:
+                t.append([x])
+        return [x[0] for x in t]
+
+    s = list(word)
+    while (best := min(zip(s, s[1:]), key=lambda p: ranks.get(p, 99), default=None)) in ranks:
+        s = once(s, *best)
+    assert bpe.encode_piece(word, ranks, None, "?") == s
+    s = list(word)
+    for a, b in merges:
+        s = once(s, a, b)
+    assert bpe.replay(word, again) == s
+
+
+def test_long_piece():
+    """A piece of a million symbols is encoded in seconds."""
+    rng = random.Random(2)
+    word = "".join(rng.choice("abcd") for _ in range(1_000_000))
+    began = time.perf_counter()
+    out = bpe.encode_piece(word, {("a", "b"): 0, ("ab", "c"): 1, ("d", "abc"): 2}, None, "?")
+    assert "".join(out) == word and max(map(len, out)) == 4 and time.perf_counter() - began < 60
+
+
 def test_in_place_encoding(spark, monkeypatch):
     monkeypatch.setattr(bpe, "GENERATION", 2)  # forgets all the time
     merges = {"en": [("a", "b"), ("ab", "c")], "*": [("b", "c")]}

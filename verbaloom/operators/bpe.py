@@ -1,8 +1,8 @@
 """Byte-pair encoding over characters: word tables, training, interleaving, encoding.
 
 The only shuffle of a corpus is the word table. A language whose table has at most `kernel_words`
-rows trains in one task by an incremental kernel on arrays; a larger one trains by DataFrame steps,
-one aggregation over the distinct words for each batch of merges that can't influence each other.
+rows trains in one task by an incremental kernel on arrays; a larger one trains by DataFrame steps over an index
+from pairs to words: a batch of merges that can't influence each other touches the words that hold its pairs.
 Both give the same merges: the best pair has the largest count, then the smaller left id, then the
 smaller right id; ids number the specials, the sorted alphabet, then merges in order.
 Texts are encoded in place: a worker remembers the pieces that it has met, within a bound.
@@ -11,20 +11,26 @@ Texts are encoded in place: a worker remembers the pieces that it has met, withi
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbaloom.memo import Remembered
-from verbaloom.storage import drop_materialized, materialize
+from verbaloom.storage import drop_materialized, folders, materialize, stored_bytes
 
 KERNEL_WORDS = 2_000_000
 #: Pairs that a distributed step brings to the driver, the pieces a worker remembers (a generation), and
 #: rows that it hands over at once.
 TOP_PAIRS, GENERATION, ROWS = 1000, 200_000, 20_000
+#: Tables of an index of pairs that are merged into one.
+COMPACT = 64
 MERGES_SCHEMA = "lang string, rank int, left string, right string, token string"
 
 
@@ -136,10 +142,10 @@ def train_kernel(words: list[str], counts: list[int], alphabet: list[str], merge
 def batch_of(rows: list[tuple[str, str, int]], floor: int, room: int) -> list[tuple[str, str]]:
     """The first merges of rows (left, right, n; best first) that are next whatever the others of the batch
     do: they share no symbol, and no pair that a merge creates can reach their count. Pairs that aren't listed
-    have at most `floor`."""
+    come after all of rows and have at most `floor`."""
     taken, used, bound = [], set(), 0
     for k, (a, b, n) in enumerate(rows[: max(room, 0)]):
-        if k and (n <= max(bound, floor) or {a, b, a + b} & used):
+        if k and (n <= bound or {a, b, a + b} & used):
             break
         taken.append((a, b))
         used |= {a, b, a + b}
@@ -149,40 +155,140 @@ def batch_of(rows: list[tuple[str, str, int]], floor: int, room: int) -> list[tu
     return taken
 
 
-def merged(s: Column, pairs: list[tuple[str, str]]) -> Column:
-    """Symbols after merges that share none, leftmost first."""
+PAIR = "left string, right string"
+
+
+class PairIndex:
+    """Where pairs stand, for word tables of any size: rows (left, right, piece, n, change), written once sorted by
+    pair, then a small table a batch with the pairs that its merges made and lost. What a piece has become follows
+    from its merges (`replay`), so no word table is rewritten, and a row whose pair is gone changes nothing."""
+
+    SCHEMA = f"{PAIR}, piece string, n long, change long"
+
+    def __init__(self, freq: DataFrame):
+        self.spark = freq.sparkSession
+        pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(F.get("s", i).alias("left"), F.get("s", i + 1).alias("right"))))
+        words = freq.select("piece", "n", symbols().alias("s")).filter(F.size("s") > 1)
+        rows = words.select(F.explode(pairs).alias("p"), "piece", "n").select("p.left", "p.right", "piece", "n", F.col("n").alias("change"))
+        self.tables = [materialize(rows.repartitionByRange("left", "right").sortWithinPartitions("left", "right"), "bpe-pairs")]
+        self.totals, self.open = materialize(pair_counts(freq, symbols()), "bpe-totals"), []
+        self.compacted: list[DataFrame] = []
+
+    def rows(self, tables: list[DataFrame]) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f for t in tables for f in folders(t)])
+
+    def fold(self) -> None:
+        """Bring totals up to date."""
+        if self.open:
+            change = self.rows(self.open).select("left", "right", F.col("change").alias("n"))
+            new = self.totals.unionByName(change).groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") > 0)
+            old, self.totals, self.open = self.totals, materialize(new, "bpe-totals"), []
+            drop_materialized(old)
+
+    def best(self, ids: dict[str, int], top: int) -> list[tuple[str, str, int]]:
+        """The first `top` pairs in training's order: count, then ids."""
+        self.fold()
+        known = F.broadcast(self.spark.createDataFrame(list(ids.items()), "symbol string, id long"))  # at most the vocabulary
+        ranked = self.totals
+        for side in ("left", "right"):
+            ranked = ranked.join(known.select(F.col("symbol").alias(side), F.col("id").alias(f"{side}_id")), side)
+        return [(r["left"], r["right"], r["n"]) for r in ranked.orderBy(F.desc("n"), "left_id", "right_id").limit(top).collect()]
+
+    def merge(self, merges: list[tuple[str, str]], new: int) -> DataFrame:
+        """Apply the last `new` of all merges to the pieces that hold their pairs; the table of what changes."""
+        earlier, ranks = {}, {}
+        for rank, p in enumerate(merges):
+            ranks.setdefault(p, []).append(rank)
+            if rank < len(merges) - new:
+                earlier.setdefault(p, []).append(rank)
+        sent = self.spark.sparkContext.broadcast((earlier, ranks))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            earlier, ranks = sent.value
+            for batch in batches:
+                out = []
+                for piece, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    before, behind = replay(piece, earlier), replay(piece, ranks)
+                    if len(before) != len(behind):
+                        change = Counter(zip(behind, behind[1:], strict=False))
+                        change.subtract(zip(before, before[1:], strict=False))
+                        out += [(a, b, piece, n, c * n) for (a, b), c in change.items() if c]
+                columns = zip(*out, strict=True) if out else [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CHANGE, strict=True)], ["left", "right", "piece", "n", "change"])
+
+        batch = merges[-new:]
+        near = F.col("left").isin([a for a, _ in batch]) & F.col("right").isin([b for _, b in batch])  # for the scan
+        hits = self.rows(self.tables).filter(near & (F.col("change") > 0)).join(F.broadcast(self.spark.createDataFrame(batch, PAIR)), ["left", "right"], "left_semi")
+        change = materialize(hits.select("piece", "n").distinct().mapInArrow(run, self.SCHEMA), "bpe-change")
+        self.open.append(change)
+        self.tables.append(change)
+        if len(self.tables) > COMPACT:
+            self.compact()
+        return change
+
+    def compact(self) -> None:
+        """The batches' rows as one table; a pair that a piece gains again stays one row."""
+        self.fold()
+        first, *rest = self.tables
+        gained = self.rows(rest).filter("change > 0").groupBy("left", "right", "piece").agg(F.max("n").alias("n")).withColumn("change", F.col("n"))
+        self.tables = [first, materialize(gained.repartitionByRange("left", "right").sortWithinPartitions("left", "right"), "bpe-pairs")]
+        self.compacted = rest
+
+    def drop_compacted(self) -> None:
+        """Delete the batches' tables that are part of a larger one (once the last change has been read)."""
+        for t in self.compacted:
+            drop_materialized(t)
+        self.compacted = []
+
+    def close(self) -> None:
+        for t in (*self.tables, self.totals):
+            drop_materialized(t)
+
+
+_CHANGE = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
+
+
+def train_distributed(freq: DataFrame, alphabet: list[str], merges: int, top: int = TOP_PAIRS, report: list[dict] | None = None) -> list[tuple[str, str]]:
+    """The same merges for word tables of any size. The driver holds the best `top` pairs with exact counts;
+    a batch touches the words that hold its pairs and brings back what it changes in that list. Once the
+    list is used up, the next best ones are taken from all pairs. report: gets a row a batch."""
+    index, ids, out = PairIndex(freq), {c: i for i, c in enumerate(alphabet)}, []
+    listed: dict[tuple[str, str], int] = {}
+    last, full = None, False  # the last listed pair's place in the order; whether that list holds every pair
+
+    def place(pair: tuple[str, str], n: int) -> tuple[int, int, int]:
+        return -n, ids[pair[0]], ids[pair[1]]
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        hit = F.lit(False)
-        for a, b in pairs:
-            hit = hit | ((last == F.lit(a)) & (x == F.lit(b)))
-        return F.when(F.coalesce(hit, F.lit(False)), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, x)))).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(s, F.array().cast("array<string>"), step)
-
-
-def train_distributed(freq: DataFrame, alphabet: list[str], merges: int, top: int = TOP_PAIRS) -> list[tuple[str, str]]:
-    """The same merges for word tables of any size: one aggregation a batch, each state a table."""
-    ids, out = {c: i for i, c in enumerate(alphabet)}, []
-    state = materialize(freq.select(symbols().alias("s"), "n"), "bpe-state")
     while len(out) < merges:
-        counted = pair_counts(state, F.col("s"))
-        rows = counted.orderBy(F.desc("n")).limit(top).collect()
-        if not rows:
-            break
-        floor = rows[-1]["n"] if len(rows) == top else 0
-        if floor == rows[0]["n"]:  # more ties of the best count than listed
-            rows = [min(counted.filter(F.col("n") == floor).toLocalIterator(), key=lambda r: (ids[r["left"]], ids[r["right"]]))]
-        ordered = sorted(((r["left"], r["right"], r["n"]) for r in rows), key=lambda r: (-r[2], ids[r[0]], ids[r[1]]))
-        pairs = batch_of(ordered, floor, merges - len(out))
+        # pairs that have fallen behind the last listed one may come after some that aren't listed
+        listed = {p: n for p, n in listed.items() if n > 0 and (full or place(p, n) <= last)}
+        if not listed:
+            if full:
+                break
+            rows = index.best(ids, top)
+            if not rows:
+                break
+            listed, full = {(a, b): n for a, b, n in rows}, len(rows) < top
+            last = place(rows[-1][:2], rows[-1][2])
+        order = sorted(((a, b, n) for (a, b), n in listed.items()), key=lambda r: place(r[:2], r[2]))
+        pairs = batch_of(order, 0 if full else -last[0], merges - len(out))
+        twice = [a + b for a, b in pairs if a + b in ids]
         for a, b in pairs:
             ids.setdefault(a + b, len(ids))
         out += pairs
-        new = materialize(state.select(merged(F.col("s"), pairs).alias("s"), "n"), "bpe-state")
-        drop_materialized(state)
-        state = new
-    drop_materialized(state)
+        change = index.merge(out, len(pairs))
+        known = change.groupBy("left", "right").agg(F.sum("change").alias("n")).filter((F.col("n") >= (0 if full else -last[0])) | F.col("left").isin([a for a, _ in listed]) & F.col("right").isin([b for _, b in listed]))
+        rows = known.orderBy(F.desc("n")).limit(2 * top + 1).collect()
+        if report is not None:
+            report.append({"merges": len(pairs), "rows": change.count(), "bytes": stored_bytes(change)})
+        if twice or len(rows) > 2 * top:
+            listed, full = {}, False  # counts of pairs with a symbol made before aren't known from the change alone
+        else:
+            for a, b, n in rows:
+                if (a, b) in listed or n > 0:
+                    listed[a, b] = listed.get((a, b), 0) + n
+        index.drop_compacted()
+    index.close()
     return out
 
 
@@ -223,23 +329,52 @@ def vocab(letters: DataFrame, merges: DataFrame, special: str) -> DataFrame:
     return once.select("lang", (F.row_number().over(order) - 1).alias("id"), "token")
 
 
+def apply_merges(s: list[str], rank_of: Callable[[tuple[str, str], int], int | None]) -> list[str]:
+    """Symbols after merges: always the pair of lowest rank, all of its places from the left. Places wait in an agenda
+    and symbols are linked to their neighbours, so a merge costs the logarithm of the length.
+    rank_of(pair, now): the rank of a pair that stands there once merges up to `now` are through; None: never."""
+    after, before = list(range(1, len(s) + 1)), list(range(-1, len(s) - 1))
+    agenda = [(r, i) for i in range(len(s) - 1) if (r := rank_of((s[i], s[i + 1]), -1)) is not None]
+    heapq.heapify(agenda)
+    while agenda:
+        now, first = agenda[0]
+        pair, made = None, []
+        while agenda and agenda[0][0] == now:
+            i = heapq.heappop(agenda)[1]
+            j = after[i]
+            # what waits may have been merged into others meanwhile
+            if j >= len(s) or s[i] == "" or rank_of((s[i], s[j]), now - 1) != now or (pair and pair != (s[i], s[j])):
+                continue
+            pair = (s[i], s[j])
+            s[i], s[j] = s[i] + s[j], ""
+            after[i] = after[j]
+            if after[i] < len(s):
+                before[after[i]] = i
+            made.append(i)
+        for i in made:
+            for k in {before[i], i} if before[i] >= 0 else {i}:
+                if s[k] and after[k] < len(s) and (r := rank_of((s[k], s[after[k]]), now)) is not None:
+                    heapq.heappush(agenda, (r, k))
+    return [x for x in s if x]
+
+
 def encode_piece(piece: str, ranks: dict[tuple[str, str], int], letters: set[str] | None, unknown: str) -> list[str]:
     """Merge the adjacent pair of lowest rank, leftmost first, until none is left."""
-    s = [c if letters is None or c in letters else unknown for c in piece]
-    while len(s) > 1:
-        best = min(range(len(s) - 1), key=lambda i: ranks.get((s[i], s[i + 1]), 1 << 60))
-        if (s[best], s[best + 1]) not in ranks:
-            break
-        a, b, t, i = s[best], s[best + 1], [], 0
-        while i < len(s):
-            if i + 1 < len(s) and s[i] == a and s[i + 1] == b:
-                t.append(a + b)
-                i += 2
-            else:
-                t.append(s[i])
-                i += 1
-        s = t
-    return s
+    return apply_merges([c if letters is None or c in letters else unknown for c in piece], lambda pair, now: ranks.get(pair))
+
+
+def replay(piece: str, ranks: dict[tuple[str, str], list[int]]) -> list[str]:
+    """Symbols of a piece after training's merges, each applied once in its turn: a pair that arises again later
+    waits for its next rank. ranks: ascending, by pair."""
+
+    def rank_of(pair: tuple[str, str], now: int) -> int | None:
+        own = ranks.get(pair)
+        if own is None:
+            return None
+        k = bisect_right(own, now)
+        return own[k] if k < len(own) else None
+
+    return apply_merges(list(piece), rank_of)
 
 
 class Encoder:

@@ -30,10 +30,25 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete what materialize() wrote for df (only once no plan needs it any more)."""
+def folders(df: DataFrame) -> list[str]:
+    """Where materialize() wrote what df reads."""
+    return sorted({name.rsplit("/", 1)[0] for name in df.inputFiles()})
+
+
+def _roots(df: DataFrame):
+    """(file system, folder) of what df reads."""
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for root in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+    for root in folders(df):
         path = jvm.org.apache.hadoop.fs.Path(root)
-        path.getFileSystem(conf).delete(path, True)
+        yield path.getFileSystem(conf), path
+
+
+def drop_materialized(df: DataFrame) -> None:
+    """Delete what materialize() wrote for df (only once no plan needs it any more)."""
+    for system, path in _roots(df):
+        system.delete(path, True)
+
+
+def stored_bytes(df: DataFrame) -> int:
+    return sum(system.getContentSummary(path).getLength() for system, path in _roots(df))
