@@ -30,7 +30,7 @@ KERNEL_WORDS = 2_000_000
 #: rows that it hands over at once.
 TOP_PAIRS, GENERATION, ROWS = 1000, 200_000, 20_000
 #: Tables of an index of pairs that are merged into one.
-COMPACT = 64
+COMPACT = 24
 MERGES_SCHEMA = "lang string, rank int, left string, right string, token string"
 
 
@@ -173,9 +173,14 @@ class PairIndex:
         self.tables = [materialize(rows.repartitionByRange("left", "right").sortWithinPartitions("left", "right"), "bpe-pairs")]
         self.totals, self.open = materialize(pair_counts(freq, symbols()), "bpe-totals"), []
         self.compacted: list[DataFrame] = []
+        self.at: dict[int, list[str]] = {}  # folders of tables that are held
 
     def rows(self, tables: list[DataFrame]) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(*[f for t in tables for f in folders(t)])
+        """One scan of these tables."""
+        for t in tables:
+            if id(t) not in self.at:
+                self.at[id(t)] = folders(t)
+        return self.spark.read.schema(self.SCHEMA).parquet(*[f for t in tables for f in self.at[id(t)]])
 
     def fold(self) -> None:
         """Bring totals up to date."""
@@ -237,6 +242,7 @@ class PairIndex:
     def drop_compacted(self) -> None:
         """Delete the batches' tables that are part of a larger one (once the last change has been read)."""
         for t in self.compacted:
+            self.at.pop(id(t), None)
             drop_materialized(t)
         self.compacted = []
 
@@ -277,14 +283,16 @@ def train_distributed(freq: DataFrame, alphabet: list[str], merges: int, top: in
             ids.setdefault(a + b, len(ids))
         out += pairs
         change = index.merge(out, len(pairs))
-        known = change.groupBy("left", "right").agg(F.sum("change").alias("n")).filter((F.col("n") >= (0 if full else -last[0])) | F.col("left").isin([a for a, _ in listed]) & F.col("right").isin([b for _, b in listed]))
+        held = F.broadcast(freq.sparkSession.createDataFrame([(*p, True) for p in listed], f"{PAIR}, listed boolean"))
+        sums = change.groupBy("left", "right").agg(F.sum("change").alias("n")).join(held, ["left", "right"], "left")
+        known = sums.filter(F.col("listed") | (F.col("n") >= (0 if full else -last[0])))
         rows = known.orderBy(F.desc("n")).limit(2 * top + 1).collect()
         if report is not None:
-            report.append({"merges": len(pairs), "rows": change.count(), "bytes": stored_bytes(change)})
+            report.append({"merges": len(pairs), "bytes": stored_bytes(change)})
         if twice or len(rows) > 2 * top:
             listed, full = {}, False  # counts of pairs with a symbol made before aren't known from the change alone
         else:
-            for a, b, n in rows:
+            for a, b, n, _ in rows:
                 if (a, b) in listed or n > 0:
                     listed[a, b] = listed.get((a, b), 0) + n
         index.drop_compacted()
