@@ -135,6 +135,13 @@ def test_agenda_equals_passes(word, merges):
     assert bpe.replay(word, again) == s
 
 
+def test_ids_beside_a_null(spark):
+    rows = [(2**53 + 1, "en", "ab"), (None, "en", "ab c"), (2**62 + 1, "de", "c"), (5, None, "ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1)
+    got = {(r["doc_id"], r["lang"], r["at"], tuple(r["tokens"])) for r in bpe.encode_texts(docs, F.split("text", " "), {"*": [("a", "b")]}).collect()}
+    assert got == {(2**53 + 1, "en", 0, ("ab",)), (None, "en", 0, ("ab",)), (None, "en", 1, ("c",)), (2**62 + 1, "de", 0, ("c",)), (5, None, 0, ("ab",))}
+
+
 def test_long_piece():
     """A piece of a million symbols is encoded in seconds."""
     rng = random.Random(2)
@@ -181,6 +188,35 @@ def test_weight_search(spark):
         assert len(ids) == 8 and got[combo]["fertility"] == fert and got[combo]["weights"] == w and got[combo]["within"] == (fert["x"] <= 1.0)
 
 
+def random_search(spark, seed):
+    """A search over words of two languages whose merges share letters."""
+    rng = random.Random(seed)
+    table = {k: {"".join(rng.choice("abcd") for _ in range(rng.randint(2, 9))): rng.randint(1, 9) for _ in range(40)} for k in "xyz"}
+    lists = {k: bpe.train_kernel(list(own), list(own.values()), list("abcd"), 40) for k, own in table.items()}
+    freq = spark.createDataFrame([(k, w, n) for k, own in table.items() for w, n in own.items()], "lang string, piece string, n long")
+    return bpe.Search(freq, lists, list("xyz"), list("abcd"), {k: sum(own.values()) for k, own in table.items()}, 40, range(1, 5), ("y", 2.0 + seed % 2))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_bounded_search_has_the_same_winner(spark, seed):
+    search = random_search(spark, seed)
+    every, some = search.candidates().collect(), search.contenders().collect()
+    assert len(every) == 64 and {r["combo"]: r for r in some}.items() <= {r["combo"]: r for r in every}.items() and len(some) < 64
+    assert bpe.best_weights(search.candidates()).collect() == bpe.best_weights(search.contenders()).collect()
+    assert search._replace(size=1000).candidates().collect() == [] and bpe.best_weights(search._replace(size=1000).contenders()).first()["gap"] is None
+
+
+def test_numbered_interleaving_is_the_same():
+    rng = random.Random(9)
+    tokens = ["a", "b", "c", "ab", "bc", "abc", "ca"]
+    for _ in range(300):
+        lists = {k: [(rng.choice(tokens), rng.choice(tokens)) for _ in range(rng.randint(0, 12))] for k in "xy"}
+        weights, size = {k: rng.randint(1, 3) for k in "xy"}, rng.randint(1, 14)
+        ids, merges = bpe.interleave(lists, ["x", "y"], ["a", "b", "c"], weights, ["<unk>"], size)
+        turns = bpe.Interleaver(lists, ["x", "y"], ["a", "b", "c"], ["<unk>"])
+        assert [turns.pairs[i] for i in turns.run(weights, size)] == merges and len(ids) == max(turns.first, 4) + len(merges) and turns.most() >= len(ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab▁", max_size=12))
 def test_encode_keeps_text_and_is_greedy(piece):

@@ -126,3 +126,11 @@ def lines_kept(t: Column) -> Column:
 
 def decode_metaspace(tokens: Column, unknown: str = "[UNK]") -> Column:
     return F.replace(F.array_join(F.filter(tokens, lambda x: x != unknown), ""), F.lit(MARK), F.lit(" "))
+
+
+def script(ch: Column, names: tuple[str, ...] = ("Latin", "Devanagari", "Telugu")) -> Column:
+    """The first of these scripts that a character belongs to."""
+    out = F.lit(None).cast("string")
+    for name in reversed(names):
+        out = F.when(ch.rlike(rf"\p{{Is{name}}}"), name).otherwise(out)
+    return out

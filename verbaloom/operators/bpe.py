@@ -10,11 +10,13 @@ Texts are encoded in place: a worker remembers the pieces that it has met, withi
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -415,19 +417,27 @@ def encode_texts(docs: DataFrame, pieces: Column, merges: dict[str, list[tuple[s
     """doc_id, lang, at, tokens: every piece of every text in its place, without a join or shuffle."""
     sent = _sent(docs.sparkSession, merges, letters, unknown)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, rows = Encoder(*sent.value), []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = Encoder(*sent.value)
         for batch in batches:
-            for doc_id, lang, own in zip(batch["doc_id"], batch["lang"], batch["pieces"], strict=True):
-                rows += [(doc_id, lang, at, t) for at, t in enumerate(encode(lang, [] if own is None else list(own)))]
+            langs, rows, at, tokens = batch.column(1).to_pylist(), [], [], []
+
+            def made(batch=batch):
+                """Ids and languages ride along: a null among ids leaves the others as they are."""
+                taken = pa.array(rows, pa.int64())
+                return pa.RecordBatch.from_arrays([batch.column(0).take(taken), batch.column(1).take(taken), pa.array(at, pa.int32()), pa.array(tokens, pa.list_(pa.string()))], ["doc_id", "lang", "at", "tokens"])
+
+            for i, (lang, own) in enumerate(zip(langs, batch.column(2).to_pylist(), strict=True)):
+                found = encode(lang, own or [])
+                rows += [i] * len(found)
+                at += range(len(found))
+                tokens += found
                 if len(rows) > ROWS:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+                    yield made()
+                    rows, at, tokens = [], [], []
+            yield made()
 
-    names = ["doc_id", "lang", "at", "tokens"]
-    return docs.select("doc_id", "lang", pieces.alias("pieces")).mapInPandas(run, "doc_id long, lang string, at int, tokens array<string>")
+    return docs.select("doc_id", "lang", pieces.alias("pieces")).mapInArrow(run, "doc_id long, lang string, at int, tokens array<string>")
 
 
 def count_tokens(docs: DataFrame, pieces: Column, merges: dict[str, list[tuple[str, str]]], letters: dict[str, set[str]] | None = None, unknown: str = "<unk>") -> DataFrame:
@@ -483,67 +493,177 @@ def interleave(lists: dict[str, list[tuple[str, str]]], order: list[str], letter
     return ids, taken
 
 
+class Interleaver:
+    """`interleave` over numbers, for many weights: merges as (left, right, token) in one numbering of tokens."""
+
+    def __init__(self, lists: dict[str, list[tuple[str, str]]], order: list[str], letters: list[str], specials: list[str]):
+        self.order, ids = order, {}
+        for t in [*specials, *letters]:
+            ids.setdefault(t, len(ids))
+        self.first = len(ids)
+        pairs = {p: i for i, p in enumerate(dict.fromkeys(tuple(p) for k in order for p in lists[k]))}
+        self.pairs = list(pairs)
+        number = lambda t: ids.setdefault(t, len(ids))
+        self.merges = {k: [(number(a), number(b), number(a + b), pairs[a, b]) for a, b in lists[k]] for k in order}
+        self.tokens = len(ids)
+
+    def most(self) -> int:
+        """Entries that no weights can exceed."""
+        return self.first + len({m[2] for own in self.merges.values() for m in own})
+
+    def run(self, weights: dict[str, int], size: int) -> list[int]:
+        """Merges taken, by their number."""
+        known, taken, room = bytearray(self.tokens), [], size - self.first
+        known[: self.first] = b"\x01" * self.first
+        queues = [(iter(self.merges[k]), range(weights[k])) for k in self.order]
+        before = -1
+        while len(taken) < room and before < len(taken):
+            before = len(taken)
+            for queue, turns in queues:
+                for _ in turns:
+                    if len(taken) >= room:
+                        break
+                    for a, b, t, p in queue:
+                        if known[a] and known[b] and not known[t]:
+                            known[t] = 1
+                            taken.append(p)
+                            break
+        return taken
+
+
 class Recoder:
     """Token counts of words under joint merge lists that differ in order only: what a word becomes
     depends on the order of the merges whose token it holds, and few orders of those occur."""
 
-    def __init__(self, words: list[tuple[str, int]], merges: set[tuple[str, str]]):
-        self.words, self.memo = [], {}
-        known: dict[str, list[tuple[str, str]]] = {}
-        for a, b in merges:
-            known.setdefault(a + b, []).append((a, b))
-        for word, n in words:
-            parts = {word[i:j] for i in range(len(word)) for j in range(i + 2, len(word) + 1)}
-            self.words.append((word, n, sorted(p for t in parts for p in known.get(t, ()))))
+    def __init__(self, words: list[tuple[str, int]], merges: Iterable[tuple[str, str]]):
+        known: dict[str, list[int]] = {}
+        pairs = list(merges)
+        for i, (a, b) in enumerate(pairs):
+            known.setdefault(a + b, []).append(i)
+        self.words, self.pairs, self.absent, own = words, pairs, len(pairs), []
+        for word, _ in words:
+            parts = {word[i:j] for i in range(len(word)) for j in range(i + 2, min(len(word), i + 64) + 1)}
+            own.append(sorted(p for t in parts for p in known.get(t, ())) if len(word) <= 64 else sorted(i for i, (a, b) in enumerate(pairs) if a + b in word))
+        self.width = max(map(len, own), default=0)
+        # merges of each word, filled up with one that is never taken
+        self.own = np.full((len(words), self.width), self.absent, np.int64)
+        for row, found in zip(self.own, own, strict=True):
+            row[: len(found)] = found
+        self.memo: list[dict[bytes, int]] = [{} for _ in words]
+        self.held = 0
 
     def count(self, ranks: dict[tuple[str, str], int]) -> int:
-        total = 0
-        for k, (word, n, own) in enumerate(self.words):
-            order = (k, *(i for _, i in sorted((ranks[p], i) for i, p in enumerate(own) if p in ranks)))
-            size = self.memo.get(order)
+        return self.count_at(np.array([ranks.get(p, self.absent) for p in self.pairs] + [self.absent], np.int64))
+
+    def count_at(self, ranks: np.ndarray) -> int:
+        """ranks: of each merge, the number of merges if it isn't taken; one more at the end for none."""
+        rank = ranks[self.own]
+        order = np.argsort(rank, axis=1, kind="stable")
+        order = np.where(np.take_along_axis(rank, order, 1) < self.absent, order, -1).astype(np.int16)
+        keys, step, total = order.tobytes(), 2 * self.width, 0
+        for k, (memo, (word, n)) in enumerate(zip(self.memo, self.words, strict=True)):
+            key = keys[k * step : (k + 1) * step]
+            size = memo.get(key)
             if size is None:
-                size = self.memo[order] = len(encode_piece(word, {own[i]: r for r, i in enumerate(order[1:])}, None, ""))
+                merges = [self.pairs[self.own[k, i]] for i in order[k] if i >= 0]
+                size = memo[key] = len(encode_piece(word, {p: r for r, p in enumerate(merges)}, None, ""))
+                self.held += 1
             total += n * size
-        if len(self.memo) > 1_000_000:
-            self.memo.clear()
+        if self.held > 1_000_000:
+            self.memo, self.held = [{} for _ in self.words], 0
         return total
 
 
-def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], order: list[str], letters: list[str], denominators: dict[str, int], size: int, choices: range, limit: tuple[str, float] | None = None, special: str = "<unk>", filled: bool = True) -> DataFrame:
-    """One row a weight combination in lexicographic order: combo, weights, gap, within (the limited
-    language's fertility holds the limit). Combinations that can't fill the vocabulary are out (filled).
-    freq (lang, piece, n) is the capped corpus's word table: at most its cap of words a language."""
-    spark = freq.sparkSession
-    table: dict[str, list[tuple[str, int]]] = {k: [] for k in order}
-    for r in freq.filter(F.col("lang").isin(order)).collect():
-        table[r["lang"]].append((r["piece"], r["n"]))
-    sent = spark.sparkContext.broadcast((table, lists))
-    grid = spark.range(len(choices) ** len(order))
-    grid = grid.repartition(max(1, min(4 * spark.sparkContext.defaultParallelism, len(choices) ** len(order) // 8)))
+#: Of the combinations of a search, each this many is encoded in full before the others; lists that a task remembers.
+COARSE, KNOWN_LISTS = 16, 10_000
+CANDIDATES = "combo long, weights map<string,int>, fertility map<string,double>, gap double, within boolean"
+
+
+class Search(NamedTuple):
+    """What weights are tried on. freq (lang, piece, n) is the capped corpus's word table: at most its cap of words
+    a language. limit: a language and the fertility that it shall hold. filled: combinations that can't fill
+    the vocabulary are out."""
+
+    freq: DataFrame
+    lists: dict[str, list[tuple[str, str]]]
+    order: list[str]
+    letters: list[str]
+    denominators: dict[str, int]
+    size: int
+    choices: range
+    limit: tuple[str, float] | None = None
+    special: str = "<unk>"
+    filled: bool = True
+
+    def candidates(self, combos: DataFrame | None = None, least: tuple[float, bool] | None = None) -> DataFrame:
+        """One row a weight combination in lexicographic order: combo, weights, fertility, gap, within (the limited
+        language's fertility holds the limit). least (gap, within): of a combination that is known; those that must be worse have
+        no row. Languages are encoded one by one, the limited one first, and their spread so far bounds the gap from below."""
+        spark, order, choices = self.freq.sparkSession, self.order, self.choices
+        table: dict[str, list[tuple[str, int]]] = {k: [] for k in order}
+        for r in self.freq.filter(F.col("lang").isin(order)).collect():
+            table[r["lang"]].append((r["piece"], r["n"]))
+        turns = Interleaver(self.lists, order, self.letters, [self.special])
+        combos = spark.range(len(choices) ** len(order)) if combos is None else combos
+        if self.filled and turns.most() < self.size:
+            combos = combos.limit(0)  # none can fill the vocabulary
+        sent = spark.sparkContext.broadcast((table, turns))
+        _, lists, *_, denominators, size, _, limit, _, filled = self._replace(freq=None)
+        first = ([limit[0]] if limit else []) + [k for k in order if not limit or k != limit[0]]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            words, turns = sent.value
+            recoders, known = {}, {}
+            for batch in batches:
+                rows = []
+                for combo in batch["id"].tolist():
+                    w, rest = {}, combo
+                    for k in reversed(order):
+                        rest, w[k] = rest // len(choices), choices[rest % len(choices)]
+                    taken = turns.run(w, size)
+                    if filled and turns.first + len(taken) < size:
+                        continue
+                    key = hashlib.sha256(np.array(taken, np.int32).tobytes()).digest()  # equal lists are encoded once
+                    fert = dict(known.get(key, {}))
+                    ranks = np.full(len(turns.pairs) + 1, len(turns.pairs), np.int64)
+                    ranks[taken] = np.arange(len(taken))
+                    for k in first:
+                        if k not in fert:
+                            if k not in recoders:
+                                recoders[k] = Recoder(words[k], turns.pairs)
+                            fert[k] = recoders[k].count_at(ranks) / denominators[k] if denominators.get(k) else 0.0
+                        within = limit is None or fert[limit[0]] <= limit[1]
+                        # out of the limit where another holds it, or a wider spread already
+                        if least and (within < least[1] or within == least[1] and max(fert.values()) - min(fert.values()) > least[0]):
+                            break
+                    else:
+                        if len(known) < KNOWN_LISTS:
+                            known[key] = fert
+                        fert = {k: fert[k] for k in order}
+                        rows.append((combo, {k: w[k] for k in order}, fert, max(fert.values()) - min(fert.values()), within))
+                yield pd.DataFrame(rows, columns=["combo", "weights", "fertility", "gap", "within"])
+
+        n = len(choices) ** len(order)
+        tasks = max(1, min(4 * spark.sparkContext.defaultParallelism, n // 8))
+        return combos.repartition(tasks).mapInPandas(run, CANDIDATES)
+
+    def contenders(self) -> DataFrame:
+        """Rows of `candidates` among which the best one is: each sixteenth combination in full, then those of the
+        others that may be as good as the best of these."""
+        grid = self.freq.sparkSession.range(len(self.choices) ** len(self.order))
+        coarse = materialize(self.candidates(grid.filter(F.col("id") % COARSE == 0)), "coarse-search")
+        best = best_weights(coarse).first()
+        least = None if best is None or best["gap"] is None else (best["gap"], best["within"])
+        return coarse.unionByName(materialize(self.candidates(grid.filter(F.col("id") % COARSE != 0), least), "fine-search"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, own = sent.value
-        every = {p for m in own.values() for p in map(tuple, m)}
-        recoders = {k: Recoder(words[k], every) for k in order}
-        for batch in batches:
-            rows = []
-            for combo in batch["id"].tolist():
-                w, rest = {}, combo
-                for k in reversed(order):
-                    rest, w[k] = rest // len(choices), choices[rest % len(choices)]
-                ids, merges = interleave(own, order, letters, w, [special], size)
-                if filled and len(ids) < size:
-                    continue
-                ranks = {p: i for i, p in enumerate(merges)}
-                fert = {k: recoders[k].count(ranks) / denominators[k] if denominators.get(k) else 0.0 for k in order}
-                rows.append((combo, {k: w[k] for k in order}, fert, max(fert.values()) - min(fert.values()), limit is None or fert[limit[0]] <= limit[1]))
-            yield pd.DataFrame(rows, columns=["combo", "weights", "fertility", "gap", "within"])
-
-    return grid.mapInPandas(run, "combo long, weights map<string,int>, fertility map<string,double>, gap double, within boolean")
+
+def weight_search(freq: DataFrame, lists: dict[str, list[tuple[str, str]]], order: list[str], letters: list[str], denominators: dict[str, int], size: int, choices: range, limit: tuple[str, float] | None = None, special: str = "<unk>", filled: bool = True) -> DataFrame:
+    """All combinations (see Search)."""
+    return Search(freq, lists, order, letters, denominators, size, choices, limit, special, filled).candidates()
 
 
 def best_weights(candidates: DataFrame) -> DataFrame:
     """Least gap within the limit, else least gap; the earliest combination wins ties."""
-    row = F.struct("gap", "combo", "weights", "fertility")
+    row = F.struct("gap", "combo", "weights", "fertility", "within")
     least = lambda c: F.min_by(row, F.when(c, F.struct("gap", "combo")))
     return candidates.agg(F.coalesce(least(F.col("within")), least(F.lit(True))).alias("b")).select("b.*")

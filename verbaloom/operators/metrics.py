@@ -56,3 +56,19 @@ def minmax(ratios: DataFrame) -> DataFrame:
     up, down = Window.orderBy("ratio", "lang"), Window.orderBy(F.desc("ratio"), F.desc("lang"))
     tag = F.when(F.row_number().over(down) == 1, "X_max").when(F.row_number().over(up) == 1, "X_min")
     return ratios.select("lang", "ratio", tag.alias("tag"))
+
+
+#: Buckets of a sketch as a power of two: a relative error of some 0.8 %.
+SKETCH_BITS = 14
+
+
+def type_sketches(tokens: DataFrame, column: str, *by: str) -> DataFrame:
+    """(*by, sketch, n): a HyperLogLog sketch of the distinct values and their number in all, at most some 16 KB a
+    group, whatever its size. Sketches of disjoint or overlapping parts merge without error of their own."""
+    return tokens.groupBy(*by).agg(F.hll_sketch_agg(column, F.lit(SKETCH_BITS)).alias("sketch"), F.count(column).alias("n"))
+
+
+def rolled_up(sketches: DataFrame, *by: str) -> DataFrame:
+    """(*by, types, tokens) of stored sketches over a part of their grouping."""
+    merged = sketches.groupBy(*by).agg(F.hll_union_agg("sketch").alias("sketch"), F.sum("n").alias("tokens"))
+    return merged.select(*by, F.hll_sketch_estimate("sketch").alias("types"), "tokens")

@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbaloom.functions import text as T
+from verbaloom.functions.tables import register_tokenize
 from verbaloom.operators import bpe
 from verbaloom.operators import metrics as M
 from verbaloom.sources import tables
 from verbaloom.sources.tables import DEFAULT_TRAIN_SIZE, LANGUAGES, languages
 from verbaloom.storage import materialize
 
-from .metric_queries import FREQ, TARGET, freq
+from .metric_queries import FREQ, TARGET, capped_words, freq
 from .text_queries import BASE, LANGS, POLICY, QUERIES, SQL, UNITS, WS_UNI, docs, norm, query
 
 __all__ = ["QUERIES", "SQL"]
@@ -222,6 +223,16 @@ both("token_stream", f"{_JENC} SELECT m.doc_id, m.lang, m.at, p.tokens FROM {_ME
 )
 
 
+_STREAM = f"{_JENC} SELECT m.doc_id, m.lang, m.at, p.tokens FROM {_META} m JOIN jenc p ON m.lang = p.lang AND m.piece = p.piece"
+
+
+@both("token_stream_function", _STREAM)
+def token_stream_function(s, d, size: Sizes):
+    """The token stream by a table function in SQL."""
+    register_tokenize(s, merge_lists(joint(s, d, size)))
+    return s.sql("SELECT doc_id, lang, at, tokens FROM {texts}, LATERAL tokenize(text)", texts=docs(s, d))
+
+
 @both("vocab_stats", f"{_MONO}, {_VOCAB} SELECT lang, (SELECT count(*) FROM merges m WHERE m.lang = v.lang) AS merges, count(*) AS tokens, count(*) FILTER (token IN (SELECT token FROM vocab GROUP BY token HAVING count(DISTINCT lang) = 4)) AS shared FROM vocab v GROUP BY lang")
 def vocab_stats(s, d, size: Sizes):
     merges = mono(s, d, size)[1]
@@ -303,10 +314,8 @@ def bpe_vocab_allocation(s, d, size: Sizes = FULL):
 
 
 def capped_freq(s, d) -> DataFrame:
-    """Word table of the first 3,000 words a language (see capped_corpus)."""
-    first = norm(s, d).select("lang", "doc_id", F.posexplode(F.slice(T.pieces(F.col("text")), 1, T.WORD_CAP)).alias("pos", "piece"))
-    r = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id", "pos"))
-    return first.withColumn("r", r).filter(F.col("r") <= T.WORD_CAP).groupBy("lang", "piece").agg(F.count("*").alias("n"))
+    """Word table of the first 3,000 words a language (see capped_words)."""
+    return capped_words(s, d).groupBy("lang", F.col("token").alias("piece")).agg(F.count("*").alias("n"))
 
 
 class Capped(NamedTuple):
@@ -331,16 +340,16 @@ def capped(s, d, size: Sizes = FULL) -> Capped:
     return Capped(words, {k: lists.get(k, []) for k in ORDER}, {r["lang"]: r["n"] for r in stripped.collect()}, known, total)
 
 
-def candidates(c: Capped, choices: range, filled: bool = True) -> DataFrame:
-    return bpe.weight_search(c.words, c.lists, ORDER, c.chars, c.denominators, c.size, choices, ("en", ENGLISH_LIMIT), filled=filled)
+def search(c: Capped, choices: range, filled: bool = True) -> bpe.Search:
+    return bpe.Search(c.words, c.lists, ORDER, c.chars, c.denominators, c.size, choices, ("en", ENGLISH_LIMIT), UNK, filled)
 
 
 def equal_weights(c: Capped) -> DataFrame:
     """The baseline of equal weights, whether or not it fills the vocabulary."""
-    return candidates(c, range(1, 2), filled=False)
+    return search(c, range(1, 2), filled=False).candidates()
 
 
-query("weight_search")(lambda s, d: bpe.best_weights(candidates(capped(s, d), CHOICES)))
+query("weight_search")(lambda s, d: bpe.best_weights(search(capped(s, d), CHOICES).contenders()).drop("within"))
 query("equal_weight_gap")(lambda s, d: equal_weights(capped(s, d)).select("combo", "gap"))
 
 
@@ -397,7 +406,7 @@ def report_words_json(s, d, size: Sizes = FULL, choices: range = CHOICES):
     """The nested report of the interleaved tokenizer over the capped corpus: the searched weights, own and
     borrowed tokens, overlap and allocation of monolingual vocabularies, gaps, scoring."""
     c = capped(s, d, size)
-    grid = materialize(candidates(c, choices), "candidates")
+    grid = search(c, choices).contenders()
     best, equal = bpe.best_weights(grid).first(), equal_weights(c).first()
     weights = (best and best["weights"]) or {k: w for k, _, w, _ in LANGUAGES}
     ids, taken = bpe.interleave(c.lists, ORDER, c.chars, weights, [UNK], c.size)

@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verbaloom.functions import text as T
-from verbaloom.operators import bpe
+from verbaloom.operators import bpe, ordering, search
 from verbaloom.operators import metrics as M
 from verbaloom.sources.tables import languages
+from verbaloom.storage import materialize
 
 from .text_queries import _PIECE_ROWS, LANGS, PIECES, QUERIES, SQL, UNITS, WORDS, docs, norm, query
 
@@ -105,6 +106,15 @@ def type_token(s, d):
     return freq(s, d).groupBy("lang").agg(F.count("*").alias("types"), F.sum("n").alias("tokens")).withColumn("ratio", F.col("types") / F.col("tokens"))
 
 
+@query("type_token_sketched")
+def type_token_sketched(s, d):
+    """Distinct types by mergeable sketches: one a language and source, written, then rolled up by language."""
+    texts = T.nfc_texts(docs(s, d).select("lang", "source", "text"))
+    pieces = texts.select("lang", "source", F.explode(T.pieces(T.collapse(F.col("text")))).alias("piece"))
+    stored = materialize(M.type_sketches(pieces, "piece", "lang", "source"), "type-sketches")
+    return M.rolled_up(stored, "lang")
+
+
 _OWN = f"WITH {VOCAB}, hits AS (SELECT f.lang, f.piece AS token, n, v.token IS NOT NULL AS hit FROM freq f LEFT JOIN vocab v ON f.lang = v.lang AND f.piece = v.token)"
 # measured against the English vocabulary, so that own and borrowed both occur
 query("own_borrowed", f"WITH {VOCAB} SELECT f.lang, CAST(sum(CASE WHEN v.token IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS own, CAST(sum(CASE WHEN v.token IS NULL THEN n ELSE 0 END) AS BIGINT) AS borrowed FROM freq f LEFT JOIN vocab v ON f.lang = v.lang AND f.piece = v.token GROUP BY f.lang")(
@@ -138,18 +148,20 @@ def weight_grid(s, d):
     return grid.select((((F.col("en") - 1) * 8 + F.col("de") - 1) * 64 + (F.col("fr") - 1) * 8 + F.col("es") - 1).alias("combo"), "en", "de", "fr", "es")
 
 
+def capped_words(s, d) -> DataFrame:
+    """(lang, token) of the first 3,000 words of a language. Word counts a document, in order over range
+    partitions, give each document's start, so only documents that reach into the cap are split into words."""
+    texts = norm(s, d).select("lang", "doc_id", "text")
+    sized = materialize(texts.select("lang", "doc_id", F.size(T.pieces(F.col("text"))).cast("long").alias("k")).filter("k > 0"), "word-counts")
+    need = ordering.capped(ordering.placed(sized, "lang", "doc_id", tag="ordered-counts"), ["lang"], "k", T.WORD_CAP)
+    need = F.broadcast(need.select("lang", "doc_id", "before"))  # at most the cap of documents a language
+    left = (F.lit(T.WORD_CAP) - F.col("before")).cast("int")
+    return texts.join(need, ["lang", "doc_id"]).select("lang", F.explode(F.slice(T.pieces(F.col("text")), F.lit(1), left)).alias("token"))
+
+
 @query("capped_corpus", f"WITH {STREAM} SELECT lang, count(*) AS n, count(DISTINCT token) AS types, CAST(sum(length(token)) AS BIGINT) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, pos) AS r FROM stream) WHERE r <= {T.WORD_CAP} GROUP BY lang")
 def capped_corpus(s, d):
-    """The first 3,000 words of a language. Word counts a document give each document's start, so only
-    documents that reach into the cap are split into words."""
-    sized = norm(s, d).select("lang", "doc_id", "text", F.size(T.pieces(F.col("text"))).cast("long").alias("k"))
-    # a document whose predecessors by id within its language hold the cap already isn't needed
-    short = sized.select("lang", "doc_id", "k").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))).filter(F.col("r") <= T.WORD_CAP)
-    before = F.coalesce(F.sum("k").over(Window.partitionBy("lang").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    need = short.withColumn("before", before).filter(F.col("before") < T.WORD_CAP).select("lang", "doc_id", "before")
-    left = (F.lit(T.WORD_CAP) - F.col("before")).cast("int")
-    rows = sized.drop("k").join(need, ["lang", "doc_id"]).select("lang", F.explode(F.slice(T.pieces(F.col("text")), F.lit(1), left)).alias("token"))
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("token").alias("types"), F.sum(F.char_length("token")).alias("chars"))
+    return capped_words(s, d).groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("token").alias("types"), F.sum(F.char_length("token")).alias("chars"))
 
 
 @query("weighted_round_robin", f"WITH {VOCAB}, r2 AS (SELECT l.ord, ranked.lang, piece, r, (r - 1) // weight AS round FROM ranked JOIN {LANGS} USING (lang) WHERE r <= {OWN}) SELECT lang, piece, row_number() OVER (ORDER BY round, ord, r) AS turn FROM r2")
@@ -175,3 +187,22 @@ def vocab_search(s, d):
 def stream_search(s, d):
     hits = stream(s, d).filter("lang = 'en'").filter(F.contains(F.lower("token"), F.lit("th")))
     return hits.orderBy("doc_id", "pos").limit(4000)
+
+
+def _indexed(s, d) -> search.Index:
+    return search.build(stream(s, d))
+
+
+query("vocab_search_indexed", SQL["vocab_search"])(lambda s, d: _indexed(s, d).tokens(" The ").select(F.col("token").alias("piece")))
+
+
+@query("stream_search_indexed", SQL["stream_search"])
+def stream_search_indexed(s, d):
+    """stream_search by an index of n-grams: only the places of tokens that match are read."""
+    return _indexed(s, d).places("th", F.col("lang") == "en").orderBy("doc_id", "pos").limit(4000)
+
+
+@query("script_membership", "SELECT lang, ch, CASE WHEN regexp_matches(ch, '\\p{Latin}') THEN 'Latin' WHEN regexp_matches(ch, '\\p{Devanagari}') THEN 'Devanagari' WHEN regexp_matches(ch, '\\p{Telugu}') THEN 'Telugu' END AS script FROM (SELECT DISTINCT lang, unnest(list_filter(string_split(text, ''), lambda c: c <> '')) AS ch FROM documents)")
+def script_membership(s, d):
+    """The script of each character of a language's alphabet; null: another one, or none."""
+    return bpe.alphabet(docs(s, d), "lang").select("lang", "ch", T.script(F.col("ch")).alias("script"))
