@@ -53,3 +53,16 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert kept == sorted(set(groups(texts)))
     by_simhash = op07_simhash.keep_one(docs, op07_simhash.simhash_components(docs)).filter(F.col("doc_id").isNotNull())
     assert by_simhash.count() > len(kept)
+
+
+def test_short_texts_pass_whatever_their_fingerprints(spark):
+    """5 against 4 shingles: a few such pairs differ in more bits than the filter allows, and all are links."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(0, 4000, 2):
+        words = [f"{rng.getrandbits(32):x}" for _ in range(9)]
+        rows += [(i, " ".join(words)), (i + 1, " ".join(words[:-1]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r["component_id"] == r["doc_id"] // 2 * 2 for r in near_copies.near_components(docs).collect())

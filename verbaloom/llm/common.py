@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from verbaloom.memo import Remembered
 from verbaloom.storage import drop_materialized, materialize, shared_dir
@@ -38,6 +45,38 @@ def join_hot(rows: DataFrame, table: DataFrame, key: str, other: str, limit: int
     return joined.drop("own_salt", "salt")
 
 
+def beside(docs: DataFrame, keep: list[str], inputs: list[str], run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], made: str) -> DataFrame:
+    """The columns `keep` of docs with those that run makes of the columns `inputs`, a row for each row in order. What
+    is kept stays in Arrow: as pandas has no null whole numbers, one null there would change ids above 2^53."""
+    out = StructType.fromDDL(made)
+    types = [(f.name, to_arrow_type(f.dataType)) for f in out.fields]
+    source = docs.select(*[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)], *[F.col(f"`{c}`").alias(f"input_{i}") for i, c in enumerate(inputs)])
+    n = len(keep)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: deque[pa.RecordBatch] = deque()
+
+        def frames() -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch.select(range(n)))
+                    yield pd.DataFrame(dict(zip(inputs, (c.to_pandas() for c in batch.columns[n:]), strict=True)))
+
+        for rows in run(frames()):
+            new, at = [pa.Array.from_pandas(rows[name], type=kind) for name, kind in types], 0
+            while at < len(rows):
+                first = waiting.popleft()
+                k = min(first.num_rows, len(rows) - at)
+                if k < first.num_rows:
+                    waiting.appendleft(first.slice(k))
+                yield pa.RecordBatch.from_arrays([*first.slice(0, k).columns, *(c.slice(at, k) for c in new)], [*names, *(name for name, _ in types)])
+                at += k
+
+    names = [f"keep_{i}" for i in range(n)]
+    schema = StructType([*source.schema.fields[:n], *out.fields])
+    return source.mapInArrow(mapped, schema).toDF(*keep, *out.names)
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -392,7 +392,7 @@ def scan_text(scanner: Scanner, text: str | None) -> dict:
     }
 
 
-SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:int,end:int,label:string,priority:int>>"
+SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, detections array<struct<start:int,end:int,label:string,priority:int>>"
 
 
 def license_scan(docs: DataFrame, rules=None) -> DataFrame:
@@ -401,15 +401,13 @@ def license_scan(docs: DataFrame, rules=None) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner = Scanner(rules)
         for batch in batches:
-            rows = [scan_text(scanner, t) for t in batch["text"]]
-            out = pd.DataFrame(rows, columns=[c for c in columns if c != "doc_id"])
-            out.insert(0, "doc_id", batch["doc_id"].values)
+            out = pd.DataFrame([scan_text(scanner, t) for t in batch["text"]], columns=columns)
             for c in ("first_word", "last_word"):
                 out[c] = out[c].astype("Int64")
             yield out
 
-    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
+    return common.beside(docs, ["doc_id"], ["text"], run, SCHEMA)
 
 
 def op1_license(spark, sf_dir) -> DataFrame:

@@ -180,12 +180,11 @@ def sentencepiece_encode(docs: DataFrame, path: str, with_ids: bool = True) -> D
                     if len(s) > TABLE_CHARS:
                         del table[s]
                 out = pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded", "ids_sha256", "decoded_sha256"])
-                out.insert(0, "doc_id", part["doc_id"].values)
                 yield out if with_ids else out.drop(columns=["ids", "decoded"])
 
     texts = "" if not with_ids else "ids string, "
     decoded = "" if not with_ids else "decoded string, "
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id long, {texts}n_tokens long, {decoded}ids_sha256 string, decoded_sha256 string")
+    return common.beside(docs, ["doc_id"], ["text"], run, f"{texts}n_tokens long, {decoded}ids_sha256 string, decoded_sha256 string")
 
 
 def op3_sentencepiece(spark, sf_dir) -> DataFrame:

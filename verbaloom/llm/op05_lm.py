@@ -275,13 +275,13 @@ def lm_score(docs: DataFrame, held_modulus: int = 7, held_remainder: int = 2, he
                 lp = (s1[w1, cells] + s2[w2, cells] - z[w1, w2]).astype(float) / np.log(10) - log_cell[cells] + logs
                 add = lambda x: np.bincount(owner, x, len(texts))  # noqa: E731, B023
                 yield pd.DataFrame({
-                    "row": row + np.arange(len(texts)), "doc_id": part["doc_id"].values, "held_out": part["held_out"].values, "n_tokens": sizes,
+                    "row": row + np.arange(len(texts)), "n_tokens": sizes,
                     "known": add(hit).astype(np.int64), "base": add(logs - floor), "model": add(lp),
                     "rare": rare,
                 })
                 row += len(texts)
 
-    scored = docs.mapInPandas(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<binary>")
+    scored = common.beside(docs, ["doc_id", "held_out"], ["text"], run, "row long, n_tokens long, known long, base double, model double, rare array<binary>")
     scored = common.materialize(scored, "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("rare_word"))
     met = rare.join(counts, F.col("rare_word") == F.col("word")).groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("log_c"))

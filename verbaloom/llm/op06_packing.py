@@ -270,11 +270,12 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAI
                 r = rank[at] - done[j]
                 sequence[at] = first[j] + r // copies[j]
                 slot[at] = begin[j] + r % copies[j]
-            yield batch.drop(columns=["class", "part", "rank", "base"]).assign(sequence_id=sequence, slot=slot)
+            yield pd.DataFrame({"sequence_id": sequence, "slot": slot})
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids + ", sequence_id long, slot int"
+    kept = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     ahead = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)  # a sequence: capacity / grain pieces at most
-    return ranked.mapInPandas(run, schema).withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("slot")
+    placed = common.beside(ranked, kept, ["class", "rank", "base"], run, "sequence_id long, slot int")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(ahead), F.lit(0))).drop("slot")
 
 
 def op6_packing(spark, sf_dir) -> DataFrame:

@@ -61,10 +61,10 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "fp": fps})
+            yield pd.DataFrame({"fp": np.array([fingerprint(t, width) for t in batch["text"]], dtype=np.uint64).view(np.int64)})
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInPandas(run, "doc_id long, text_hash long, fp long")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return common.beside(hashed, ["doc_id", "text_hash"], ["text"], run, "fp long")
 
 
 def blocks_for(n: int, radius: int) -> int:

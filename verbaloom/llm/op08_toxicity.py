@@ -289,10 +289,9 @@ def toxicity(docs: DataFrame, index: Index, threshold: float = 0.3) -> DataFrame
                 part = batch.iloc[lo : lo + CHUNK]
                 score, who, cosines = own.score(part["text"].tolist())
                 evidence = [[{"example": int(a), "cosine": float(c)} for a, c in zip(x[:3], y[:3], strict=True) if c > 1e-6] for x, y in zip(who, cosines, strict=True)]
-                yield part.assign(tox_score=score, tox_predicted=(score >= threshold).astype(int), tox_evidence=evidence)
+                yield pd.DataFrame({"tox_score": score, "tox_predicted": (score >= threshold).astype(int), "tox_evidence": evidence})
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    return kept.mapInPandas(run, f"{fields}, tox_score double, tox_predicted int, tox_evidence array<struct<example:int,cosine:double>>")
+    return common.beside(kept, kept.columns, ["text"], run, "tox_score double, tox_predicted int, tox_evidence array<struct<example:int,cosine:double>>")
 
 
 def op8_toxicity(spark, sf_dir) -> DataFrame:
