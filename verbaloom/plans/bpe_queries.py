@@ -8,6 +8,7 @@ encoded in place."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from typing import NamedTuple
 
@@ -92,15 +93,38 @@ def joint_letters(s, d) -> DataFrame:
     return bpe.alphabet(marked).select(F.lit("*").alias("lang"), "ch")
 
 
+#: A folder of trained merges: where this is set, a query takes the ones of its table and sizes from there, or trains
+#: and leaves them there. Unset, each query trains its own.
+STORE = "spark.verbaloom.tokenizers"
+
+
+def trained(s, d, name: str, size: Sizes, train) -> DataFrame:
+    folder = s.conf.get(STORE, None)
+    if folder is None:
+        return materialize(train(), name)
+    path = f"{folder.rstrip('/')}/{name}-{hashlib.sha256(repr((d, size)).encode()).hexdigest()[:16]}"
+    try:
+        tables.first_available(s, [f"{path}/_SUCCESS"])
+    except FileNotFoundError:
+        train().write.mode("overwrite").parquet(path)
+    return s.read.schema(bpe.MERGES_SCHEMA).parquet(path)
+
+
 def mono(s, d, size: Sizes, words: DataFrame | None = None, chars: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """The word table and the merges of each language (normalized, split at white space)."""
-    words = materialize(freq(s, d), "word-table") if words is None else words
+    if words is None:
+        words = materialize(freq(s, d), "word-table")
+        return words, trained(s, d, "merges", size, lambda: _mono_merges(s, d, size, words, None))
+    return words, materialize(_mono_merges(s, d, size, words, chars), "merges")
+
+
+def _mono_merges(s, d, size: Sizes, words: DataFrame, chars: DataFrame | None) -> DataFrame:
     limit: int | dict[str, int] | None = size.mono
     if limit is None:
         known = {r["lang"]: r["n"] for r in (letters(s, d) if chars is None else chars).groupBy("lang").agg(F.count("*").alias("n")).collect()}
         wanted = {k: v or DEFAULT_TRAIN_SIZE for k, _, _, v in LANGUAGES}
         limit = {k: wanted.get(k, DEFAULT_TRAIN_SIZE) - 1 - n for k, n in known.items()}
-    return words, materialize(bpe.train(words, limit), "merges")
+    return bpe.train(words, limit)
 
 
 def merge_lists(merges: DataFrame) -> dict[str, list[tuple[str, str]]]:
@@ -117,10 +141,14 @@ def mono_vocab(s, d, merges: DataFrame) -> DataFrame:
 
 def joint(s, d, size: Sizes) -> DataFrame:
     """Merges of all languages together: weighted counts, no normalization, line by line."""
+    return trained(s, d, "joint-merges", size, lambda: _joint_merges(s, d, size))
+
+
+def _joint_merges(s, d, size: Sizes) -> DataFrame:
     pieces = F.flatten(F.transform(T.lines_kept(F.col("text")), T.metaspace))
     words = bpe.weighted(bpe.word_freq(docs(s, d), pieces, "lang"), languages(s))
     words = materialize(words.withColumn("lang", F.lit("*")), "joint-words")
-    return materialize(bpe.train(words, JOINT_VOCAB - 1 - joint_letters(s, d).count() if size.joint is None else size.joint), "joint-merges")
+    return bpe.train(words, JOINT_VOCAB - 1 - joint_letters(s, d).count() if size.joint is None else size.joint)
 
 
 def joint_pieces() -> Column:
