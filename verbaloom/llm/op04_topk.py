@@ -5,9 +5,10 @@ rounded, so that an index bucket holds about one of n codes at any n (three segm
 least). At radius r every open query probes, in each segment, the values at distance r from its own;
 what it meets is verified on the whole code. After radius r in all of m segments every code within
 m*(r+1)-1 bits has been met, so a query closes once its k-th verified distance is within that: the
-result is exact. Once a radius has more values than there are codes, the queries still open are
-compared with all codes instead, in blocks: distances are counted first, and only codes within the
-k-th distance are kept.
+result is exact. The join of probes and index lets through only codes within the distance that a
+query's k-th holds so far, so it puts out little more than it improves. The same rule holds to the last radius, at
+which every code has been met: a lonely query costs the values of its segments, a few times the number of codes
+(12 n m at the worst n, below 2^22 m at any), and no scan.
 
 Equal codes are one entry, so a very common vector costs one row; searches carry the code, its least
 id and its number of ids, and the k+1 least ids join at the end. Masks are made on the executors
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, EVERY, BITS = 10, 100, 64
-#: Codes of a bucket before it is dealt over salts; queries compared with all codes at once.
-BUCKET, SCAN_BLOCK = 4096, 1024
+#: Codes of a bucket before it is dealt over salts.
+BUCKET = 4096
 SHAPE = "query_id long, rank int, vec_id long, distance int"
 
 
@@ -70,10 +71,11 @@ def entry(query: str) -> Column:
 
 
 def probe(open_: DataFrame, index: DataFrame, hot: DataFrame | None, widths: list[int], r: int, k: int) -> DataFrame:
-    """Open queries with the best that they have met up to radius r."""
-    probes = open_.select("q", _segments("q", widths).alias("probe_seg", "own")).join(F.broadcast(masks(open_.sparkSession, widths, r)), F.col("probe_seg") == F.col("mask_seg"))
-    probes = probes.select("q", "probe_seg", F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
-    on = (F.col("probe_seg") == F.col("seg")) & (F.col("probe") == F.col("value"))
+    """Open queries (q, top, reach) with the best that they have met up to radius r. reach: no farther code counts."""
+    probes = open_.select("q", "reach", _segments("q", widths).alias("probe_seg", "own")).join(F.broadcast(masks(open_.sparkSession, widths, r)), F.col("probe_seg") == F.col("mask_seg"))
+    probes = probes.select("q", "reach", "probe_seg", F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
+    near = F.bit_count(F.col("q").bitwiseXOR(F.col("found"))) <= F.col("reach")
+    on = (F.col("probe_seg") == F.col("seg")) & (F.col("probe") == F.col("value")) & near
     if hot is not None:
         probes = probes.join(hot, (F.col("probe_seg") == F.col("hot_seg")) & (F.col("probe") == F.col("hot_value")), "left")
         probes = probes.withColumn("probe_salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
@@ -83,18 +85,6 @@ def probe(open_: DataFrame, index: DataFrame, hot: DataFrame | None, widths: lis
     return open_.select("q").join(best(met.unionByName(old), k), "q", "left")
 
 
-def scan(queries: DataFrame, entries: DataFrame, enough: int, k: int) -> DataFrame:
-    """The best of a block of queries against all entries, in two passes: the first counts distances."""
-    every = entries.select(F.col("code").alias("found"), "least", "ids_here")
-    pairs = every.crossJoin(F.broadcast(queries.select("q")))  # a block of queries
-    counted = pairs.groupBy("q", F.bit_count(F.col("q").bitwiseXOR(F.col("found"))).alias("d")).agg(F.sum("ids_here").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("q").orderBy("d"))
-    reach = counted.withColumn("upto", upto).filter(F.col("upto") - F.col("n") < enough).groupBy("q").agg(F.max("d").alias("reach"))
-    reach = common.materialize(reach, "scan-reach")
-    near = every.join(F.broadcast(reach), F.bit_count(F.col("q").bitwiseXOR(F.col("found"))) <= F.col("reach"))
-    return best(near.select("q", entry("q")), k)
-
-
 def hamming_topk(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """query_id, rank (from 1), vec_id, distance."""
     spark = vectors.sparkSession
@@ -118,18 +108,16 @@ def hamming_topk(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFram
         index = dealt.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("found"), F.col("salts")), F.lit(0)).cast("int")).drop("hot_seg", "hot_value", "salts")
     asked = coded.filter(F.col("vec_id") % every == 0)
     top_type = "array<struct<distance:int,least:long,found:long,ids_here:int>>"
-    open_ = common.materialize(asked.select(F.col("code").alias("q")).distinct().withColumn("top", F.lit(None).cast(top_type)), "open-queries")
+    asked_codes = asked.select(F.col("code").alias("q")).distinct()
+    open_ = common.materialize(asked_codes.select("q", F.lit(None).cast(top_type).alias("top"), F.lit(BITS).alias("reach")), "open-queries")
     closed, enough = [], min(k + 1, rows)
+    distances = F.flatten(F.transform("top", lambda e: F.array_repeat(e["distance"], e["ids_here"])))
     for r in range(max(widths) + 1):
-        if sum(math.comb(w, r) for w in widths) > n:
-            blocks = -(-open_.count() // SCAN_BLOCK)
-            block = F.pmod(F.xxhash64("q"), F.lit(max(1, blocks)))
-            closed += [common.materialize(scan(open_.filter(block == b), entries, enough, k), "scanned") for b in range(blocks)]
-            break
-        seen = common.materialize(probe(open_, index, hot, widths, r, k), "seen")
-        distances = F.flatten(F.transform("top", lambda e: F.array_repeat(e["distance"], e["ids_here"])))
-        covered = F.coalesce(F.get(distances, F.lit(enough - 1)) <= m * (r + 1) - 1, F.lit(False))
-        closed.append(seen.filter(covered))
+        seen = probe(open_, index, hot, widths, r, k)
+        seen = common.materialize(seen.withColumn("reach", F.coalesce(F.get(distances, F.lit(enough - 1)), F.lit(BITS + 1))), "seen")
+        common.drop_materialized(open_)
+        covered = F.col("reach") <= m * (r + 1) - 1
+        closed.append(seen.filter(covered).select("q", "top"))
         open_ = common.materialize(seen.filter(~covered), "open-queries")
         if open_.isEmpty():
             break
