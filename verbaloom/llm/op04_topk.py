@@ -6,7 +6,9 @@ least). At radius r every open query probes, in each segment, the values at dist
 what it meets is verified on the whole code. After radius r in all of m segments every code within
 m*(r+1)-1 bits has been met, so a query closes once its k-th verified distance is within that: the
 result is exact. The join of probes and index lets through only codes within the distance that a
-query's k-th holds so far, so it puts out little more than it improves. The same rule holds to the last radius, at
+query's k-th holds so far, so it puts out little more than it improves. A code that the first a+1 segments at
+radius r and the others at r-1 leave unmet is farther than m*r+a, so a query whose k-th distance is m*r+a probes
+only these in its last round. The same rule holds to the last radius, at
 which every code has been met: a lonely query costs the values of its segments, a few times the number of codes
 (12 n m at the worst n, below 2^22 m at any), and no scan.
 
@@ -72,7 +74,8 @@ def entry(query: str) -> Column:
 
 def probe(open_: DataFrame, index: DataFrame, hot: DataFrame | None, widths: list[int], r: int, k: int) -> DataFrame:
     """Open queries (q, top, reach) with the best that they have met up to radius r. reach: no farther code counts."""
-    probes = open_.select("q", "reach", _segments("q", widths).alias("probe_seg", "own")).join(F.broadcast(masks(open_.sparkSession, widths, r)), F.col("probe_seg") == F.col("mask_seg"))
+    needed = open_.select("q", "reach", _segments("q", widths).alias("probe_seg", "own")).filter(F.col("probe_seg") <= F.col("reach") - len(widths) * r)
+    probes = needed.join(F.broadcast(masks(open_.sparkSession, widths, r)), F.col("probe_seg") == F.col("mask_seg"))
     probes = probes.select("q", "reach", "probe_seg", F.col("own").bitwiseXOR(F.col("mask")).alias("probe"))
     near = F.bit_count(F.col("q").bitwiseXOR(F.col("found"))) <= F.col("reach")
     on = (F.col("probe_seg") == F.col("seg")) & (F.col("probe") == F.col("value")) & near
