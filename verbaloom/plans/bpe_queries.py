@@ -21,7 +21,7 @@ from verbaloom.operators import bpe
 from verbaloom.operators import metrics as M
 from verbaloom.sources import tables
 from verbaloom.sources.tables import DEFAULT_TRAIN_SIZE, LANGUAGES, languages
-from verbaloom.storage import materialize
+from verbaloom.storage import materialize, shared_dir
 
 from .metric_queries import FREQ, TARGET, capped_words, freq
 from .text_queries import BASE, LANGS, POLICY, QUERIES, SQL, UNITS, WS_UNI, docs, norm, query
@@ -243,7 +243,7 @@ query("unk_count", "SELECT lang, CAST(0 AS BIGINT) AS unknown FROM documents GRO
 def unk_count_foreign(s, d):
     """Unknown tokens when every language has the English alphabet: one for each other character."""
     english = letters(s, d).filter("lang = 'en'").select("ch")
-    return _unknown(s, d, SMALL, english.crossJoin(languages(s).select("lang")))  # a character set times four
+    return _unknown(s, d, FULL, english.crossJoin(languages(s).select("lang")))  # a character set times four
 
 
 both("token_stream", f"{_JENC} SELECT m.doc_id, m.lang, m.at, p.tokens FROM {_META} m JOIN jenc p ON m.lang = p.lang AND m.piece = p.piece")(
@@ -464,12 +464,11 @@ def report_words_json(s, d, size: Sizes = FULL, choices: range = CHOICES):
     return sums.crossJoin(shared).select(F.to_json(F.struct("languages", vocab.alias("vocab_stats"), scoring.alias("scoring"), notes.alias("notes")), {"pretty": "true"}).alias("report"))
 
 
-@query("tokenizer_roundtrip_storage")
-def tokenizer_roundtrip_storage(s, d):
+@both("tokenizer_roundtrip_storage", f"{_MONO}, {_VOCAB} SELECT v.lang AS lang, v.id AS id, v.token AS token, m.rank AS rank FROM vocab v LEFT JOIN merges m ON v.lang = m.lang AND v.token = m.token")
+def tokenizer_roundtrip_storage(s, d, size: Sizes = FULL):
     """Vocabulary and merges written and read again."""
-    folder = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
-    merges = mono(s, d, SMALL)[1]
-    path = f"{folder.rstrip('/')}/tokenizer-{uuid.uuid4().hex}"
+    merges = mono(s, d, size)[1]
+    path = f"{shared_dir(s)}/tokenizer-{uuid.uuid4().hex}"
     tables.write_tokenizer(mono_vocab(s, d, merges), merges, path)
     vocab, merges = tables.read_tokenizer(s, path)
     return vocab.join(merges.select("lang", "rank", "token"), ["lang", "token"], "left").select("lang", "id", "token", "rank")
