@@ -45,22 +45,19 @@ def reversed_host(host: Column) -> Column:
 
 def segments(rules: DataFrame) -> DataFrame:
     """Flat borders by site (reversed rule host): from `border` on, `active` is the innermost rule
-    (null: none). The fold's accumulator is the stack of active rules and the borders so far."""
+    (null: none). The sweep of a site's sorted borders keeps the stack's depth; no row holds a site's rules."""
     named = rules.select(reversed_host(F.col("host")).alias("site"), F.col("path").cast("binary").alias("from"), F.struct(F.concat("host", "path").alias("rule"), "verdict").alias("r"))
     named = named.groupBy("site", "from").agg(F.max("r").alias("r"))  # block > allow
     # a key with the prefix is below prefix + FF, which no UTF-8 text holds; ends come before starts
     ends = F.concat("from", F.expr("X'FF'"))
     events = F.array(F.struct(F.col("from").alias("border"), F.lit(1).alias("kind"), "r"), F.struct(ends.alias("border"), F.lit(0).alias("kind"), "r"))
-    grouped = named.groupBy("site").agg(F.sort_array(F.flatten(F.collect_list(events))).alias("events"))
-    rule_type, border_type = "struct<rule:string,verdict:string>", "struct<border:binary,active:struct<rule:string,verdict:string>>"
-
-    def fold(acc: Column, e: Column) -> Column:
-        stack = F.when(e["kind"] == 1, F.concat(acc["stack"], F.array(e["r"]))).otherwise(F.slice(acc["stack"], 1, F.greatest(F.size(acc["stack"]) - 1, F.lit(0))))
-        return F.struct(stack.alias("stack"), F.concat(acc["out"], F.array(F.struct(e["border"].alias("border"), F.get(stack, F.size(stack) - 1).alias("active")))).alias("out"))
-
-    empty = F.struct(F.array().cast(f"array<{rule_type}>").alias("stack"), F.array().cast(f"array<{border_type}>").alias("out"))
-    swept = F.aggregate("events", empty, fold, lambda acc: acc["out"])
-    return grouped.select("site", F.explode(swept).alias("s")).select("site", "s.border", "s.active")
+    events = named.select("site", F.explode(events).alias("e")).select("site", "e.*")
+    swept = Window.partitionBy("site").orderBy("border", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    events = events.withColumn("depth", F.sum(2 * F.col("kind") - 1).over(swept))
+    # the top of the stack: of a depth, the last rule that started at it is open as long as the depth is held
+    level = Window.partitionBy("site", "depth").orderBy("border", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    top = F.last(F.when(F.col("kind") == 1, F.col("r")), ignorenulls=True).over(level)
+    return events.select("site", "border", top.alias("active"))
 
 
 def url_filter(pages: DataFrame, rules: DataFrame, default: str = "allow", rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
