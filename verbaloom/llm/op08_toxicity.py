@@ -61,14 +61,16 @@ class Terms:
 
     def counts(self, text: str | None) -> dict[int, int]:
         heads, memo, out = self.heads, self.memo, {}
-        for word in [w for w in _WORD.findall((text or "").lower()) if w[:4] in heads]:
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            if word[:4] not in heads:
+                continue
             own = memo.get(word)
             if own is None:
                 own = tuple(self.ids[t] for t in word_terms(word) if t in self.ids)
                 if len(word) <= 40:
                     memo[word] = own
             for i in own:
-                out[i] = out.get(i, 0) + 1
+                out[i] = out.get(i, 0) + n
         if len(memo) > REMEMBERED:
             memo.clear()
         return out
@@ -104,10 +106,13 @@ class Index(Terms):
         self.blocks, self.maxima = [], np.zeros((len(terms), -(-len(labels) // BLOCK)))
         for b in range(self.maxima.shape[1]):
             own = [examples[i] for i in order[b * BLOCK : (b + 1) * BLOCK]]
-            sizes = np.array([len(t) for t, _ in own])
             term, weight = (np.concatenate([x[k] for x in own]) for k in (0, 1))
             np.maximum.at(self.maxima[:, b], term, weight)
-            self.blocks.append((term, weight, (np.cumsum(sizes) - sizes)[sizes > 0], np.flatnonzero(sizes), len(own)))
+            # postings of the terms that the block has: a row a term, a column an example
+            held, at = np.unique(term, return_inverse=True)
+            postings = np.zeros((len(held), len(own)))
+            postings[at, np.repeat(np.arange(len(own)), [len(t) for t, _ in own])] = weight
+            self.blocks.append((held, postings))
         self.steps = (np.zeros(1), np.full(1, prior))
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
@@ -115,37 +120,41 @@ class Index(Terms):
 
     def stored(self, block: int) -> np.ndarray:
         """The block's examples as dense rows."""
-        term, weight, begin, example, size = self.blocks[block]
-        out = np.zeros((size, len(self.terms)))
-        out[np.repeat(example, np.diff(np.r_[begin, len(term)])), term] = weight
+        held, postings = self.blocks[block]
+        out = np.zeros((postings.shape[1], len(self.terms)))
+        out[:, held] = postings.T
         return out
 
     def cosines(self, queries: np.ndarray, block: int) -> np.ndarray:
         """Of all queries with the block's examples, from its postings."""
-        term, weight, begin, example, size = self.blocks[block]
-        out = np.zeros((len(queries), size))
-        if len(term):
-            out[:, example] = np.add.reduceat(queries[:, term] * weight, begin, axis=1)
-        return out
+        held, postings = self.blocks[block]
+        return queries[:, held] @ postings
 
     def nearest(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and example numbers of each query's k nearest, largest cosine first."""
-        bounds = queries @ self.maxima
-        best, who = np.full((len(queries), k), -1.0), np.full((len(queries), k), -1)
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        for turn in range(len(self.blocks)):
-            block = order[:, turn]
-            live = np.flatnonzero(bounds[np.arange(len(queries)), block] >= best[:, -1] - 1e-6)
-            if not len(live):
-                break
-            for b in np.unique(block[live]):
-                rows = live[block[live] == b]
-                got = np.round(self.cosines(queries[rows], b), 6)
-                value = np.concatenate([best[rows], got], axis=1)
-                name = np.concatenate([who[rows], np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + got.shape[1]), got.shape)], axis=1)
-                top = np.lexsort((name, -value), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(value, top, 1), np.take_along_axis(name, top, 1)
-        return best, who
+        """Cosines and example numbers of each query's k nearest, largest cosine first.
+
+        A key joins a cosine in millionths with the example's number, lower numbers first. Rounds take one, two, four
+        blocks a query and so on in the order of its bounds, so that a block meets many queries at once."""
+        bounds, span = queries @ self.maxima, len(self.blocks) * BLOCK
+        best, live = np.full((len(queries), k), -1), np.arange(len(queries))
+        order, at, width = np.argsort(-bounds, axis=1, kind="stable"), 0, 1
+        reached = np.full(len(queries), -1.0)  # the k-th cosine
+        while at < len(self.blocks) and len(live):
+            near = order[live, at : at + width]
+            row, column = np.nonzero(np.take_along_axis(bounds[live], near, 1) >= reached[live, None] - 1e-6)
+            block, row = near[row, column], live[row]
+            by = np.argsort(block, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(block[by])) + 1) if len(by) else ():
+                b = block[part[0]]
+                rows = row[part]
+                rows = rows[bounds[rows, b] >= reached[rows] - 1e-6]
+                got = np.rint(self.cosines(queries[rows], b) * 1e6).astype(np.int64)
+                keys = np.concatenate([best[rows], got * span + (span - 1 - b * BLOCK - np.arange(got.shape[1]))], axis=1)
+                best[rows] = np.partition(keys, keys.shape[1] - k, axis=1)[:, -k:]
+                reached[rows] = best[rows].min(axis=1) // span / 1e6
+            at, width, live = at + width, 2 * width, np.unique(row)
+        best = -np.sort(-best, axis=1)
+        return np.where(best < 0, -1.0, best // max(span, 1) / 1e6), np.where(best < 0, -1, span - 1 - best % max(span, 1))
 
     def votes(self, cosines: np.ndarray, who: np.ndarray) -> np.ndarray:
         """Share of label 1 among the neighbours, by cosine and the sample's class weights, with
