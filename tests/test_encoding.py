@@ -61,3 +61,12 @@ def test_languages_without_words(spark, folder):
     """token_count has rows of languages with words, as its SQL; unk_count of all."""
     assert {r["lang"] for r in Q.token_count(spark, folder, Q.SMALL).collect()} == {"en", "de"}
     assert {(r["lang"], r["unknown"]) for r in Q._unknown(spark, folder, Q.SMALL, Q.letters(spark, folder)).collect()} == {("en", 0), ("de", 0), ("fr", 0), ("es", 0)}
+
+
+def test_table_function_takes_batches(spark, folder):
+    """The stream by a table function is that of encoding, by Arrow batches and without a lateral call a text."""
+    rows = Q.token_stream_function(spark, folder, Q.SMALL)
+    want = Q.encoded_stream(spark, folder, Q.merge_lists(Q.joint(spark, folder, Q.SMALL))).select("doc_id", "lang", "at", "tokens")
+    assert sorted(map(str, rows.collect())) == sorted(map(str, want.collect()))
+    assert len(rows.collect()) == rows.count() == len(want.collect()) > 6
+    assert "ArrowEvalPythonUDTF" in plan(rows) and "Exchange" not in plan(rows)

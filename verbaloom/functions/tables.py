@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from verbaloom.functions.text import MARK
-from verbaloom.operators.bpe import Encoder
+from verbaloom.operators.bpe import Encoder, encoded_rows
 
 _PIECE = re.compile(f"{MARK}[^{MARK}]*|[^{MARK}]+")
 
@@ -37,3 +38,19 @@ def register_tokenize(spark: SparkSession, merges: dict[str, list[tuple[str, str
     from pyspark.sql.functions import udtf
 
     spark.udtf.register(name, udtf(Tokenize))
+
+
+def register_tokenize_table(spark: SparkSession, merges: dict[str, list[tuple[str, str]]], name: str = "tokenize_table") -> None:
+    """SELECT ... FROM tokenize_table(TABLE(SELECT doc_id, lang, pieces FROM documents)): rows (doc_id, lang, at, tokens)
+    of whole Arrow batches, which a lateral function can't have; for streams of any size."""
+    from pyspark.sql.functions import arrow_udtf
+
+    class TokenizeTable:
+        def __init__(self):
+            self.encode = Encoder(merges, None, "<unk>")
+
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            for rows in encoded_rows(self.encode, iter([batch])):
+                yield pa.Table.from_batches([rows])
+
+    spark.udtf.register(name, arrow_udtf(TokenizeTable, returnType="doc_id long, lang string, at int, tokens array<string>"))
