@@ -54,6 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = common.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        with common.scratch(spark) as keep:  # a stage leaves its result only
+            before, docs = docs, keep(common.materialize(stage(spark, docs, sf_dir), f"stage-{name}"))
+        if i:
+            common.drop_materialized(before)
     return STAGES[-1][1](spark, docs, sf_dir)

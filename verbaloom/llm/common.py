@@ -13,9 +13,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from verbaloom.memo import Remembered
-from verbaloom.storage import drop_materialized, materialize, shared_dir
+from verbaloom.storage import drop_materialized, materialize, scratch, shared_dir
 
-__all__ = ["Remembered", "drop_materialized", "materialize", "shared_dir"]
+__all__ = ["Remembered", "drop_materialized", "materialize", "scratch", "shared_dir"]
 
 WORD_WS = "[^\\x20\\x09-\\x0D]+"
 

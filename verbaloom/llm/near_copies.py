@@ -230,19 +230,27 @@ def verified(docs: DataFrame, classes: DataFrame, dealt: DataFrame, crowds: Data
 
 def near_components(docs: DataFrame, few: int = FEW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, text_hash, fingerprint (of the component) and component_id (least doc_id in it)."""
-    marked = common.materialize(signed(docs), "shingles")
-    rows = marked.select("sid", "doc_id", "text_hash")
-    # equal sets have equal columns: whichever row of a class stays
-    classes = marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
-    classes = common.materialize(classes, "classes")
-    keyed = classes.select("sid", "size", "fp", F.explode("prefix").alias("key"))
-    hot = common.materialize(keyed.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > few).select("hot"), "hot-buckets")
-    hot = common.small(hot)
-    pairs = common.materialize(few_pairs(keyed.join(hot, F.col("key") == F.col("hot"), "left_anti")), "near-candidates")
-    crowd = common.materialize(keyed.join(hot, F.col("key") == F.col("hot"), "left_semi").select("key", "sid"), "hot-rows")
-    edges = verified(docs, classes, pair_groups(pairs, block_rows), crowd_groups(crowd, block_rows))
-    tree = op07_simhash.components(common.materialize(edges, "near-links"))
-    rooted = common.materialize(classes.join(tree, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "rooted")
-    ids = common.materialize(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "component-ids")
-    of_class = common.materialize(rooted.join(ids, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "root", "component_id"), "class-components")
+    with common.scratch(docs.sparkSession) as keep:
+        marked = common.materialize(signed(docs), "shingles")
+        rows = keep(common.materialize(marked.select("sid", "doc_id", "text_hash"), "shingle-sets"))
+        # equal sets have equal columns: whichever row of a class stays
+        classes = marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
+        classes = common.materialize(classes, "classes")
+        common.drop_materialized(marked)  # the prefixes, of which classes has each once
+        tree = op07_simhash.components(near_links(docs, classes, few, block_rows))
+        rooted = common.materialize(classes.join(tree, F.col("sid") == F.col("node"), "left").select("sid", "least", F.coalesce("root", "sid").alias("root")), "rooted")
+        ids = common.materialize(rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id")), "component-ids")
+        of_class = keep(common.materialize(rooted.join(ids, F.col("root") == F.col("r")).select(F.col("sid").alias("s"), "root", "component_id"), "class-components"))
     return common.join_hot(rows, of_class, "sid", "s").select("doc_id", "text_hash", F.col("root").cast("string").alias("fingerprint"), "component_id")
+
+
+def near_links(docs: DataFrame, classes: DataFrame, few: int, block_rows: int) -> DataFrame:
+    """(a, b): links that join the similar classes; what leads to them is deleted."""
+    with common.scratch(docs.sparkSession) as keep:
+        keyed = classes.select("sid", "size", "fp", F.explode("prefix").alias("key"))
+        hot = common.materialize(keyed.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > few).select("hot"), "hot-buckets")
+        hot = common.small(hot)
+        pairs = common.materialize(few_pairs(keyed.join(hot, F.col("key") == F.col("hot"), "left_anti")), "near-candidates")
+        crowd = common.materialize(keyed.join(hot, F.col("key") == F.col("hot"), "left_semi").select("key", "sid"), "hot-rows")
+        edges = verified(docs, classes, pair_groups(pairs, block_rows), crowd_groups(crowd, block_rows))
+        return keep(common.materialize(edges, "near-links"))
