@@ -1,8 +1,9 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the sign bits of an embedding's first 64 numbers. Codes are cut into 64 / log2(n) segments,
-rounded, so that an index bucket holds about one of n codes at any n (three segments at
-least). At radius r every open query probes, in each segment, the values at distance r from its own;
+A code is the sign bits of an embedding's first 64 numbers. Codes are cut into 64 / log2(n / 4) segments,
+rounded, so that an index bucket holds about four of n codes at any n (three segments at
+least): a probe is a row that travels, a code that it meets is a bit count beside it, so fewer probes with more codes
+each cost less. At radius r every open query probes, in each segment, the values at distance r from its own;
 what it meets is verified on the whole code. After radius r in all of m segments every code within
 m*(r+1)-1 bits has been met, so a query closes once its k-th verified distance is within that: the
 result is exact. The join of probes and index lets through only codes within the distance that a
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from . import common
 
 K, EVERY, BITS = 10, 100, 64
-#: Codes of a bucket before it is dealt over salts.
-BUCKET = 4096
+#: Codes that a bucket holds on average, and those of one before it is dealt over salts.
+AVERAGE, BUCKET = 4, 4096
 SHAPE = "query_id long, rank int, vec_id long, distance int"
 
 
@@ -99,7 +100,7 @@ def hamming_topk(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFram
     n, rows = entries.count(), coded.count()
     if not rows:
         return spark.createDataFrame([], SHAPE)
-    widths = segment_widths(n)
+    widths = segment_widths(n // AVERAGE)
     m = len(widths)
     index = common.materialize(entries.select(F.col("code").alias("found"), "least", "ids_here", _segments("code", widths).alias("seg", "value")), "code-index")
     crowded = index.groupBy(F.col("seg").alias("hot_seg"), F.col("value").alias("hot_value")).agg(F.count("*").alias("c")).filter(F.col("c") > BUCKET)
