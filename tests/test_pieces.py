@@ -52,3 +52,9 @@ def test_groups_keep_the_order_of_equal_keys():
         assert order.tolist() == sorted(range(len(keys)), key=lambda i: (keys[i], i))
         assert found.tolist() == sorted(set(keys.tolist())) and keys[order][begin].tolist() == found.tolist()
     assert distinct(keys).tolist() == found.tolist()
+
+
+def test_places_are_cut_in_arrow(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "en", " a  é\x1fb "), (None, "de", "a"), (3, None, None), (4, "en", "")], "doc_id long, lang string, text string")
+    got = {(r["lang"], r["doc_id"], r["pos"], r["token"]) for r in bpe.places(docs, P.white_space, P.nfc).collect()}
+    assert got == {("en", 2**53 + 1, 0, "a"), ("en", 2**53 + 1, 1, "é"), ("en", 2**53 + 1, 2, "b"), ("de", None, 0, "a")}

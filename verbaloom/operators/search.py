@@ -53,7 +53,8 @@ class Index(NamedTuple):
 def build(stream: DataFrame) -> Index:
     """stream: rows with a token, and whatever else its places have."""
     columns = stream.columns
-    occurrences = materialize(stream.repartitionByRange("token").sortWithinPartitions("token"), "token-places")
+    # dealt by hash: ranges would have to be sampled, which makes the stream once more
+    occurrences = materialize(stream.repartition("token").sortWithinPartitions("token"), "token-places")
     vocabulary = materialize(occurrences.select("token").distinct(), "tokens")
     rows = vocabulary.select(F.explode(grams(F.lower("token"))).alias("gram"), "token")
     postings = materialize(rows.repartitionByRange("gram", "token").sortWithinPartitions("gram", "token"), "postings")
