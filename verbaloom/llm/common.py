@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 import pyarrow as pa
@@ -77,6 +78,18 @@ def beside(docs: DataFrame, keep: list[str], inputs: list[str], run: Callable[[I
     return source.mapInArrow(mapped, schema).toDF(*keep, *out.names)
 
 
+@contextmanager
+def rows_a_batch(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Tables written inside give Python at most so many rows at once: what the JVM and a worker hold of a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(before, rows) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -105,9 +105,16 @@ class WordIds:
             if len(w) > TABLE_CHARS:
                 del table[w]
         ids, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        del found, words, new
         begin, size = (np.cumsum(sizes) - sizes)[at], sizes[at]
         ends = np.r_[0, np.cumsum(size)]
-        return ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])], ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        starts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        begin -= ends[:-1]
+        wide = np.int32 if max(len(ids), int(ends[-1])) < 1 << 31 else np.int64
+        place = np.repeat(begin.astype(wide), size)
+        del begin, size, ends, coded, split, at
+        place += np.arange(len(place), dtype=wide)
+        return ids[place], starts
 
 
 _ENCODERS: dict[str, WordIds] = {}
@@ -250,7 +257,8 @@ def slots(patterns: list[tuple[int, dict[int, int]]]) -> dict[int, tuple[np.ndar
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, grain: int = GRAIN, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """One row a piece with its sequence and offset; keep_ids adds the piece's ids as bytes."""
-    cuts = common.materialize(pieces(docs, path, capacity, grain, end_id, keep_ids), "pieces")
+    with common.rows_a_batch(docs.sparkSession, CHUNK):
+        cuts = common.materialize(pieces(docs, path, capacity, grain, end_id, keep_ids), "pieces")
     sizes = common.materialize(cuts.groupBy("class", "part").agg(F.count("*").alias("n")), "piece-counts")
     counts = {r["class"]: r["n"] for r in sizes.groupBy("class").agg(F.sum("n").alias("n")).collect()}
     place = slots(plan(counts, capacity // grain))
