@@ -2,9 +2,11 @@
 
 1. A text is the set of its hashed shingles (ASCII lower case, XXH64) with its SimHash of 64 bits; equal sets
    are one class.
-2. Under any one order of shingles, two sets of Jaccard 0.8 or more share a shingle among the first
-   n - ceil(0.8 n) + 1 of each (prefix filter), so these are the bucket keys: SimHash's own keys can't reach
-   the ten bits by which such texts differ. The order only decides about cost: shingles that a sample of
+2. op7's method gives the first candidates: block keys of the fingerprints, pivot tables and the distance leave
+   classes that differ in at most LINK bits.
+   Under any one order of shingles, two sets of Jaccard 0.8 or more share a shingle among the first
+   n - ceil(0.8 n) + 1 of each (prefix filter), so these are bucket keys too: SimHash's own can't reach
+   the ten bits by which most such texts differ. The order only decides about cost: shingles that a sample of
    texts has often come last, then by hash.
 3. Pairs of buckets of at most `few` rows are dropped if their sizes rule 0.8 out or fingerprints differ in
    more than RADIUS bits (at 0.8 the mean is 9.7, deviation 2.9; about one pair of a million is lost); sets of at
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common, op07_simhash
 
-WIDTH, FEW, BLOCK_ROWS, SLOTS, SAMPLE, RADIUS, FREE, SMALL = 5, 32, 2048, 1 << 22, 8_000, 24, 16, 1_000_000
+WIDTH, FEW, BLOCK_ROWS, SLOTS, SAMPLE, RADIUS, FREE, SMALL, LINK = 5, 32, 2048, 1 << 22, 8_000, 24, 16, 1_000_000, 4
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -121,6 +123,19 @@ def few_pairs(keyed: DataFrame) -> DataFrame:
     return keyed.select("key", "sid", "size", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
 
 
+def simhash_pairs(classes: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes that op7's steps link: by block keys and pivot tables within LINK bits, and by equal fingerprints."""
+    marked = classes.select("fp", "sid")
+    leads = common.materialize(marked.groupBy("fp").agg(F.min("sid").alias("lead")), "fingerprint-leads")
+    found = op07_simhash.links(leads, LINK, op07_simhash.blocks_for(leads.count(), LINK), op07_simhash.BLOCK_ROWS)
+    found = common.materialize(found.distinct(), "fingerprint-links").select(F.col("a").alias("x"), F.col("b").alias("y"))
+    for side, name in (("x", "a"), ("y", "b")):
+        found = found.join(leads.select(F.col("fp").alias(f"fp_{name}"), F.col("lead").alias(name)), F.col(side) == F.col(f"fp_{name}"))
+    equal = common.join_hot(marked, leads.select(F.col("fp").alias("f"), "lead"), "fp", "f").filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    both = found.select("a", "b").unionByName(equal)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     """Spanning forest of the similar pairs: common shingles are counted exactly, by blocks."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
@@ -245,12 +260,13 @@ def near_components(docs: DataFrame, few: int = FEW, block_rows: int = BLOCK_ROW
 
 
 def near_links(docs: DataFrame, classes: DataFrame, few: int, block_rows: int) -> DataFrame:
-    """(a, b): links that join the similar classes; what leads to them is deleted."""
+    """(a, b): links that join the similar classes, all verified exactly; what leads to them is deleted."""
     with common.scratch(docs.sparkSession) as keep:
         keyed = classes.select("sid", "size", "fp", F.explode("prefix").alias("key"))
         hot = common.materialize(keyed.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > few).select("hot"), "hot-buckets")
         hot = common.small(hot)
-        pairs = common.materialize(few_pairs(keyed.join(hot, F.col("key") == F.col("hot"), "left_anti")), "near-candidates")
+        more = few_pairs(keyed.join(hot, F.col("key") == F.col("hot"), "left_anti"))
+        pairs = common.materialize(simhash_pairs(classes).unionByName(more).distinct(), "near-candidates")
         crowd = common.materialize(keyed.join(hot, F.col("key") == F.col("hot"), "left_semi").select("key", "sid"), "hot-rows")
         edges = verified(docs, classes, pair_groups(pairs, block_rows), crowd_groups(crowd, block_rows))
         return keep(common.materialize(edges, "near-links"))

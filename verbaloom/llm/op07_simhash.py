@@ -33,6 +33,8 @@ from . import common
 BITS = 64
 #: Rows of a file of edges: few edges are few files, at any number of shuffle partitions.
 EDGES_A_FILE = 200_000
+#: Rows of a bucket beyond which it is dealt as pairs of chunks.
+BLOCK_ROWS = 4096
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(8).integers(0, 2, 16, dtype=np.uint64)
 
 
@@ -182,7 +184,7 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4, blocks: int | None = None, block_rows: int = 4096) -> DataFrame:
+def simhash_components(docs: DataFrame, width: int = 5, radius: int = 4, blocks: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, text_hash, fingerprint (16 hex digits), component_id (least doc_id that links reach)."""
     marked = common.materialize(fingerprints(docs, width), "fingerprints")
     classes = common.materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
