@@ -1,3 +1,4 @@
+import time
 import tracemalloc
 
 import public_tokenizers
@@ -26,3 +27,17 @@ def test_pieces_are_made_of_small_batches(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "a b") for i in range(5)], "doc_id long, text string")
     assert op06_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).count() == 5
     assert int(seen["pieces"]) == op06_packing.CHUNK and spark.conf.get(key) == before
+
+
+def test_words_are_dropped_when_no_task_comes(monkeypatch):
+    """Tasks that follow each other share an encoder; later stages of a worker don't carry its words."""
+    monkeypatch.setattr(op06_packing, "IDLE_SECONDS", 0.3)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with op06_packing.encoder(path) as first:
+        time.sleep(0.5)
+    with op06_packing.encoder(path) as second:
+        assert second is first
+        time.sleep(0.5)
+        assert path in op06_packing._ENCODERS
+    time.sleep(0.6)
+    assert path not in op06_packing._ENCODERS

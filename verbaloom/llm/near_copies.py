@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common, op07_simhash
 
-WIDTH, FEW, BLOCK_ROWS, SLOTS, SAMPLE, RADIUS, FREE, SMALL, LINK = 5, 32, 2048, 1 << 22, 8_000, 24, 16, 1_000_000, 4
+WIDTH, FEW, BLOCK_ROWS, SLOTS, SAMPLE, RADIUS, FREE, SMALL, LINK, TEXTS = 5, 32, 2048, 1 << 22, 8_000, 24, 16, 1_000_000, 4, 2048
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -246,7 +246,8 @@ def verified(docs: DataFrame, classes: DataFrame, dealt: DataFrame, crowds: Data
 def near_components(docs: DataFrame, few: int = FEW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, text_hash, fingerprint (of the component) and component_id (least doc_id in it)."""
     with common.scratch(docs.sparkSession) as keep:
-        marked = common.materialize(signed(docs), "shingles")
+        with common.rows_a_batch(docs.sparkSession, TEXTS):
+            marked = common.materialize(signed(docs), "shingles")
         rows = keep(common.materialize(marked.select("sid", "doc_id", "text_hash"), "shingle-sets"))
         # equal sets have equal columns: whichever row of a class stays
         classes = marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
@@ -269,4 +270,5 @@ def near_links(docs: DataFrame, classes: DataFrame, few: int, block_rows: int) -
         pairs = common.materialize(simhash_pairs(classes).unionByName(more).distinct(), "near-candidates")
         crowd = common.materialize(keyed.join(hot, F.col("key") == F.col("hot"), "left_semi").select("key", "sid"), "hot-rows")
         edges = verified(docs, classes, pair_groups(pairs, block_rows), crowd_groups(crowd, block_rows))
-        return keep(common.materialize(edges, "near-links"))
+        with common.rows_a_batch(docs.sparkSession, TEXTS):
+            return keep(common.materialize(edges, "near-links"))

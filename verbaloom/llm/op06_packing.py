@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import logging
 import struct
+import threading
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -117,7 +119,25 @@ class WordIds:
         return ids[place], starts
 
 
+#: A worker's encoders; one that no task has used for so many seconds is dropped with its words, so later stages don't
+#: carry them.
 _ENCODERS: dict[str, WordIds] = {}
+_WAITING: dict[str, threading.Timer] = {}
+IDLE_SECONDS = 3.0
+
+
+@contextmanager
+def encoder(path: str) -> Iterator[WordIds]:
+    if waiting := _WAITING.pop(path, None):
+        waiting.cancel()
+    found = _ENCODERS.get(path) or WordIds(path)
+    _ENCODERS[path] = found
+    try:
+        yield found
+    finally:
+        timer = _WAITING[path] = threading.Timer(IDLE_SECONDS, _ENCODERS.pop, (path, None))
+        timer.daemon = True
+        timer.start()
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -144,23 +164,22 @@ def pieces(docs: DataFrame, path: str, capacity: int, grain: int, end_id: int, k
     types = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] + [pa.binary()] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.get(path) or WordIds(path)
-        _ENCODERS[path] = encoder
         ranks, here = {}, TaskContext.get().partitionId()
-        for batch in batches:
-            for lo, n in chunks(batch.column("text")):
-                part, rows = batch.slice(lo, n), []
-                ids, at = encoder.encode(part.column("text"))
-                for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
-                    raw = memoryview(ids[at[k] : at[k + 1]].tobytes() + tail)
-                    total = len(raw) // 4
-                    for start, length in cut(total, capacity):
-                        kind = -(-length // grain)
-                        rank = ranks.get(kind, 0)
-                        ranks[kind] = rank + 1
-                        own = raw[4 * start : 4 * (start + length)]
-                        rows.append((doc_id, start, length, zlib.crc32(own), total, kind, here, rank, *[bytes(own)] * keep_ids))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        with encoder(path) as words:
+            for batch in batches:
+                for lo, n in chunks(batch.column("text")):
+                    part, rows = batch.slice(lo, n), []
+                    ids, at = words.encode(part.column("text"))
+                    for k, doc_id in enumerate(part.column("doc_id").to_pylist()):
+                        raw = memoryview(ids[at[k] : at[k + 1]].tobytes() + tail)
+                        total = len(raw) // 4
+                        for start, length in cut(total, capacity):
+                            kind = -(-length // grain)
+                            rank = ranks.get(kind, 0)
+                            ranks[kind] = rank + 1
+                            own = raw[4 * start : 4 * (start + length)]
+                            rows.append((doc_id, start, length, zlib.crc32(own), total, kind, here, rank, *[bytes(own)] * keep_ids))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, part int, rank long" + ", ids binary" * keep_ids
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
