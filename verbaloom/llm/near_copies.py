@@ -11,6 +11,8 @@
 3. Pairs of buckets of at most `few` rows are dropped if their sizes rule 0.8 out or fingerprints differ in
    more than RADIUS bits (at 0.8 the mean is 9.7, deviation 2.9; about one pair of a million is lost); sets of at
    most FREE shingles, whose fingerprints vary more, pass whatever theirs are. The rest is verified on the sets, by connected groups of pairs, so that a text travels once to its group.
+   Keys are shuffled once: a bucket's rows are counted where they meet. Keys that more than `few` of a PART-th of the
+   classes have are known to be large before, so that no task gets a very long run.
 4. Larger buckets are grouped by their least member, so that the keys of one crowd of copies are one group;
    groups get the texts and are verified in one step by counting common shingles.
    Both kinds of group leave a spanning forest of links, and beyond `block_rows` are dealt as pairs of chunks.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import common, op07_simhash
 
-WIDTH, FEW, BLOCK_ROWS, SLOTS, SAMPLE, RADIUS, FREE, SMALL, LINK, TEXTS = 5, 32, 2048, 1 << 22, 8_000, 24, 16, 1_000_000, 4, 2048
+WIDTH, FEW, BLOCK_ROWS, SLOTS, SAMPLE, RADIUS, FREE, SMALL, LINK, TEXTS, PART = 5, 32, 2048, 1 << 22, 8_000, 24, 16, 1_000_000, 4, 2048, 16
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -102,12 +104,19 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield rest
 
 
-def few_pairs(keyed: DataFrame) -> DataFrame:
-    """(a, b): pairs of equal key whose sizes and fingerprints allow the similarity."""
+def key_runs(keyed: DataFrame, few: int) -> DataFrame:
+    """(a, b, hot), distinct, from one shuffle of the keys: of keys that at most `few` classes have, the pairs whose sizes
+    and fingerprints allow the similarity; of the others (hot) the least member with each member."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _runs(batches):
             k, sid, size, fp = rows["key"].to_numpy(), rows["sid"].to_numpy(), rows["size"].to_numpy(np.int64), rows["fp"].to_numpy(np.int64).view(np.uint64)
+            first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            n = np.diff(np.r_[first, len(k)])
+            hot = np.repeat(n > few, n)
+            if hot.any():
+                yield pd.DataFrame({"a": np.repeat(np.minimum.reduceat(sid, first), n)[hot], "b": sid[hot], "hot": True})
+                k, sid, size, fp = (x[~hot] for x in (k, sid, size, fp))
             at, shift = np.arange(len(k)), 0
             while True:
                 shift += 1
@@ -118,9 +127,14 @@ def few_pairs(keyed: DataFrame) -> DataFrame:
                 left = at[similar(np.minimum(size[at], size[at + shift]), size[at], size[at + shift])]
                 left = left[(np.bitwise_count(fp[left] ^ fp[left + shift]) <= RADIUS) | (np.maximum(size[left], size[left + shift]) <= FREE)]
                 a, b = sid[left], sid[left + shift]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "hot": False})
 
-    return keyed.select("key", "sid", "size", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    return keyed.select("key", "sid", "size", "fp").repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long, hot boolean").distinct()
+
+
+def few_pairs(found: DataFrame) -> DataFrame:
+    """(a, b): the pairs among the rows of `key_runs`."""
+    return found.filter("NOT hot").select("a", "b")
 
 
 def simhash_pairs(classes: DataFrame) -> DataFrame:
@@ -165,10 +179,14 @@ def forest(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
     return a, b
 
 
-def crowd_groups(crowd: DataFrame, block_rows: int) -> DataFrame:
-    """(key, s): groups of hot buckets (crowd: key, sid), all of whose pairs are compared."""
-    lead = crowd.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid"), "sid")).alias("lead")).select(F.col("key").alias("lk"), F.col("lead.sid").alias("lead"))
-    grouped = common.materialize(common.join_hot(crowd, lead, "key", "lk").select("lead", "sid").distinct(), "hot-groups")
+def crowds(crowd: DataFrame) -> DataFrame:
+    """(lead, sid): the members of hot buckets (crowd: key, sid) with the least one."""
+    lead = crowd.groupBy("key").agg(F.min("sid").alias("lead")).withColumnRenamed("key", "lk")
+    return common.join_hot(crowd, lead, "key", "lk").select("lead", "sid")
+
+
+def crowd_groups(grouped: DataFrame, block_rows: int) -> DataFrame:
+    """(key, s): groups of hot buckets (grouped: lead, sid), all of whose pairs are compared."""
     sizes = grouped.groupBy(F.col("lead").alias("l")).agg(F.count("*").alias("n")).filter("n > 1")
     # half-size chunks, so that a pair of them holds block_rows at most on average
     chunks = F.when(F.col("n") <= block_rows, 1).otherwise(F.ceil(F.col("n") / (block_rows // 2))).cast("int")
@@ -264,11 +282,15 @@ def near_links(docs: DataFrame, classes: DataFrame, few: int, block_rows: int) -
     """(a, b): links that join the similar classes, all verified exactly; what leads to them is deleted."""
     with common.scratch(docs.sparkSession) as keep:
         keyed = classes.select("sid", "size", "fp", F.explode("prefix").alias("key"))
-        hot = common.materialize(keyed.groupBy(F.col("key").alias("hot")).agg(F.count("*").alias("n")).filter(F.col("n") > few).select("hot"), "hot-buckets")
-        hot = common.small(hot)
-        more = few_pairs(keyed.join(hot, F.col("key") == F.col("hot"), "left_anti"))
-        pairs = common.materialize(simhash_pairs(classes).unionByName(more).distinct(), "near-candidates")
-        crowd = common.materialize(keyed.join(hot, F.col("key") == F.col("hot"), "left_semi").select("key", "sid"), "hot-rows")
-        edges = verified(docs, classes, pair_groups(pairs, block_rows), crowd_groups(crowd, block_rows))
+        # keys that are hot in a part of the classes are hot in all; the shuffle meets no longer runs than those of the others
+        part = keyed.filter(F.pmod(F.xxhash64(F.lit("part"), "sid"), F.lit(PART)) == 0)
+        known = common.materialize(part.groupBy(F.col("key").alias("known")).agg(F.count("*").alias("n")).filter(F.col("n") > few).select("known"), "hot-buckets")
+        known = common.small(known, SMALL)
+        found = common.materialize(key_runs(keyed.join(known, F.col("key") == F.col("known"), "left_anti"), few), "key-runs")
+        pairs = common.materialize(simhash_pairs(classes).unionByName(few_pairs(found)).distinct(), "near-candidates")
+        crowd = common.materialize(keyed.join(known, F.col("key") == F.col("known"), "left_semi").select("key", "sid"), "hot-rows")
+        members = found.filter("hot").select(F.col("a").alias("lead"), F.col("b").alias("sid"))
+        grouped = common.materialize(crowds(crowd).unionByName(members).distinct(), "hot-groups")
+        edges = verified(docs, classes, pair_groups(pairs, block_rows), crowd_groups(grouped, block_rows))
         with common.rows_a_batch(docs.sparkSession, TEXTS):
             return keep(common.materialize(edges, "near-links"))

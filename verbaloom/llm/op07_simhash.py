@@ -35,6 +35,8 @@ BITS = 64
 EDGES_A_FILE = 200_000
 #: Rows of a bucket beyond which it is dealt as pairs of chunks.
 BLOCK_ROWS = 4096
+#: Rows that leave, or come again, up to which they are broadcast instead of shuffled with the texts.
+LEAVING = 1_000_000
 PIVOTS = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.random.default_rng(8).integers(0, 2, 16, dtype=np.uint64)
 
 
@@ -201,13 +203,24 @@ def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The rows of docs that stay: of each component the row of least doc_id (null last), then of
     least text hash; equal rows are one."""
     rank = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    nowhere = F.lit(-(2**63))
     # a component is named by its least id; where all ids are null, by its fingerprint
-    name = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint"))]
-    stay = found.groupBy(*name).agg(F.min(rank).alias("r")).select(F.coalesce("r.doc_id", F.lit(-(2**63))).alias("stay_id"), F.col("r.text_hash").alias("stay_hash"))
-    own_id, own_hash = F.coalesce(docs["doc_id"], F.lit(-(2**63))), F.xxhash64(docs["text"])
-    kept = docs.withColumns({"__id": own_id, "__hash": own_hash}).join(stay, (F.col("__id") == F.col("stay_id")) & (F.col("__hash") == F.col("stay_hash")), "left_semi")
+    name = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("other")]
+    rows = common.materialize(found.groupBy("doc_id", "text_hash", *name).agg(F.count("*").alias("rows")), "found-rows")
+    stay = rows.groupBy("component_id", "other").agg(F.min(rank).alias("r")).select(F.coalesce("r.doc_id", nowhere).alias("stay_id"), F.col("r.text_hash").alias("stay_hash"))
+    own = rows.select(F.coalesce("doc_id", nowhere).alias("id"), F.col("text_hash").alias("hash"), "rows")
+    own = own.join(stay, (F.col("id") == F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left")
+    # few rows leave or come again, so these travel and the texts stay in their places
+    odd = common.materialize(own.filter("stay_id IS NULL OR rows > 1").select("id", "hash", F.col("stay_id").isNotNull().alias("again")), "leaving-rows")
+    marked = docs.withColumns({"__id": F.coalesce(docs["doc_id"], nowhere), "__hash": F.xxhash64(docs["text"])})
+    on = (F.col("__id") == F.col("id")) & (F.col("__hash") == F.col("hash"))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.groupBy("__id", "__hash").agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row")).select("row.*")
+    kept = marked.join(common.small(odd, LEAVING), on, "left_anti").select(whole.alias("row")).select("row.*")
+    again = odd.filter("again")
+    if again.isEmpty():
+        return kept
+    one = marked.join(common.small(again, LEAVING), on, "left_semi").groupBy("__id", "__hash").agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("row"))
+    return kept.unionByName(one.select("row.*"))
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:
