@@ -38,3 +38,16 @@ def test_parts_change_no_result(spark, monkeypatch, part):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = near_copies.near_components(docs, 2, 64)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == dict(enumerate(groups(texts)))
+
+
+def test_partners_are_bounded_exactly(spark):
+    """Of a crowd that shares a passage, only texts with a possible partner travel; none of a similar pair is lost."""
+    texts = edited()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    signed = near_copies.signed(docs).groupBy("sid").agg(*[F.first(c).alias(c) for c in ("size", "bins")])
+    rows = near_copies.partnered(signed.select(F.lit(1).cast("long").alias("key"), F.col("sid").alias("s")), signed)
+    kept = {r["s"] for r in rows.collect()}
+    sid = {r["doc_id"]: r["sid"] for r in near_copies.signed(docs).collect()}
+    root = groups(texts)
+    partnered = {sid[i] for i in sid for j in sid if root[i] == root[j] and sid[i] != sid[j]}
+    assert partnered <= kept and len(kept) < len(set(sid.values())) - 10

@@ -14,7 +14,8 @@
    Keys are shuffled once: a bucket's rows are counted where they meet. Keys that more than `few` of a PART-th of the
    classes have are known to be large before, so that no task gets a very long run.
 4. Larger buckets are grouped by their least member, so that the keys of one crowd of copies are one group;
-   groups get the texts and are verified in one step by counting common shingles.
+   groups get the texts of members that may have a partner there (sizes and numbers of shingles by bin bound what two
+   sets share, exactly) and are verified in one step by counting common shingles.
    Both kinds of group leave a spanning forest of links, and beyond `block_rows` are dealt as pairs of chunks.
 
 Null text counts as empty; texts without words are one class. Rows with a null doc_id share their
@@ -44,6 +45,17 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([h(join(words[i : i + width]), 42) for i in range(max(1, len(words) - width + 1))], dtype=np.uint64))
 
 
+def binned(sets: list[np.ndarray]) -> np.ndarray:
+    """Numbers of shingles by bin; the sums of the lesser ones bound how many two sets have in common."""
+    return np.stack([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) for x in sets]).astype(np.int32)
+
+
+def packed(bins: np.ndarray) -> bytes:
+    """Numbers by bin in as few bytes each as hold them all."""
+    most = int(bins.max(initial=0))
+    return bins.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
 def similar(common_: np.ndarray, m: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Jaccard of 0.8 or more, in whole numbers, of sets of m and n with so many in common."""
     return 9 * common_ >= 4 * (m + n)
@@ -69,7 +81,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, sid (hash of the set), its size, SimHash and prefix."""
+    """doc_id, text_hash, sid (hash of the set), its size, SimHash, prefix and numbers of shingles by bin."""
     order = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def row(text: str | None) -> tuple:
@@ -78,16 +90,16 @@ def signed(docs: DataFrame) -> DataFrame:
         s = shingles(text)
         n = len(s)
         first = s[np.argsort(order.value[(s % np.uint64(SLOTS)).astype(np.int64)], kind="stable")[: n - (4 * n + 4) // 5 + 1]]
-        return np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), n, np.uint64(op07_simhash.majority(s)).astype(np.int64), first.view(np.int64)
+        return np.uint64(xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64), n, np.uint64(op07_simhash.majority(s)).astype(np.int64), first.view(np.int64), packed(binned([s])[0])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
-                yield pd.DataFrame([row(t) for t in part["text"]], columns=["sid", "size", "fp", "prefix"])
+                yield pd.DataFrame([row(t) for t in part["text"]], columns=["sid", "size", "fp", "prefix", "bins"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return common.beside(hashed, ["doc_id", "text_hash"], ["text"], run, "sid long, size int, fp long, prefix array<long>")
+    return common.beside(hashed, ["doc_id", "text_hash"], ["text"], run, "sid long, size int, fp long, prefix array<long>, bins binary")
 
 
 def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,11 +208,36 @@ def crowd_groups(grouped: DataFrame, block_rows: int) -> DataFrame:
     return spread.select(F.xxhash64(F.lit("crowd"), "lead", F.least("own", "other"), F.greatest("own", "other")).alias("key"), F.col("sid").alias("s"))
 
 
+def partnered(groups: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of groups (key, s) that some other row of their key may be similar to: sizes and numbers of shingles by
+    bin bound what two sets share, so no similar pair is lost and the texts of the others needn't travel."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _runs(batches):
+            for _, group in rows.groupby("key", sort=False):
+                size, bins = group["size"].to_numpy(np.int64), np.stack([np.frombuffer(x, f"<u{len(x) // 256}") for x in group["bins"]])
+                order = np.argsort(size, kind="stable")
+                size, bins, found = size[order], bins[order], np.zeros(len(order), bool)
+                for i in range(len(order)):
+                    # those of at least its size that are at most 5/4 of it
+                    last = int(np.searchsorted(4 * size, 5 * size[i], side="right"))
+                    if last > i + 1:
+                        bound = np.minimum(bins[i], bins[i + 1 : last]).sum(axis=1, dtype=np.int64)
+                        near = similar(bound, size[i], size[i + 1 : last])
+                        found[i + 1 : last] |= near
+                        found[i] |= near.any()
+                kept = group.iloc[np.sort(order[found])]
+                yield pd.DataFrame({"key": kept["key"], "s": kept["s"]})
+
+    known = groups.join(classes.select("sid", "size", "bins"), F.col("s") == F.col("sid")).select("key", "s", "size", "bins")
+    return known.repartition("key").sortWithinPartitions("key").mapInPandas(run, "key long, s long")
+
+
 def joined(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> list[int]:
     """Numbers of similar pairs (a[i], b[i]) that form a spanning forest of all similar ones. Counts of
     shingles by bin bound the overlap; the rest is counted exactly unless joined already."""
     size = np.array([len(x) for x in sets], dtype=np.int64)
-    bins = np.stack([np.bincount((x >> np.uint64(56)).astype(np.int64), minlength=256) for x in sets]).astype(np.int32)
+    bins = binned(sets)
     parent, out = list(range(len(sets))), []
 
     def root(i: int) -> int:
@@ -268,7 +305,7 @@ def near_components(docs: DataFrame, few: int = FEW, block_rows: int = BLOCK_ROW
             marked = common.materialize(signed(docs), "shingles")
         rows = keep(common.materialize(marked.select("sid", "doc_id", "text_hash"), "shingle-sets"))
         # equal sets have equal columns: whichever row of a class stays
-        classes = marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix")])
+        classes = marked.groupBy("sid").agg(F.min("doc_id").alias("least"), F.min(F.struct("text_hash", "doc_id")).alias("rep"), *[F.first(c).alias(c) for c in ("size", "fp", "prefix", "bins")])
         classes = common.materialize(classes, "classes")
         common.drop_materialized(marked)  # the prefixes, of which classes has each once
         tree = op07_simhash.components(near_links(docs, classes, few, block_rows))
@@ -291,6 +328,6 @@ def near_links(docs: DataFrame, classes: DataFrame, few: int, block_rows: int) -
         crowd = common.materialize(keyed.join(known, F.col("key") == F.col("known"), "left_semi").select("key", "sid"), "hot-rows")
         members = found.filter("hot").select(F.col("a").alias("lead"), F.col("b").alias("sid"))
         grouped = common.materialize(crowds(crowd).unionByName(members).distinct(), "hot-groups")
-        edges = verified(docs, classes, pair_groups(pairs, block_rows), crowd_groups(grouped, block_rows))
+        edges = verified(docs, classes, pair_groups(pairs, block_rows), partnered(crowd_groups(grouped, block_rows), classes))
         with common.rows_a_batch(docs.sparkSession, TEXTS):
             return keep(common.materialize(edges, "near-links"))
